@@ -27,6 +27,9 @@ STRFTIME_CODES = {
     "%T": "HH:mm:ss",
 }
 
+# All text that casts to a timestamp starts like this, after blanks and control characters.
+STARTS_LIKE_A_DATE = r"^[\s\p{Cntrl}]*[+-]?[0-9T]"
+
 
 def datetime_pattern(pattern: str) -> str:
     """Accept a strftime pattern as well as Spark's own; the latter holds no percent sign."""
@@ -67,7 +70,8 @@ def moment(c: Column, kind: T.DataType, pattern: str | None = None) -> Column:
         return c
     text = c.cast("string")
     if pattern is None:
-        return text.try_cast("timestamp_ntz")
+        # try_cast pays for an exception per bad value; words need not get that far.
+        return F.when(text.rlike(STARTS_LIKE_A_DATE), text).try_cast("timestamp_ntz")
     return F.try_to_timestamp(text, F.lit(datetime_pattern(pattern)))
 
 

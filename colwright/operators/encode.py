@@ -19,6 +19,9 @@ from colwright.sources.shared import shared_path
 # and broadcast; longer lists are written as a table.
 LIST_VALUES = 10_000
 LIST_WIDTH = 1_000
+# A list kept as a table is broadcast up to this size, counting values and ROW_BYTES per row.
+BROADCAST_BYTES = 32 * 2**20
+ROW_BYTES = 32
 # Types whose values survive a trip through text, as a kept list needs it.
 LISTED_TYPES = (T.StringType, T.IntegralType, T.FloatType, T.DoubleType, T.DecimalType, T.BooleanType, T.DateType)
 
@@ -34,9 +37,9 @@ def _value(df: DataFrame, column: str) -> Column:
 class Categories:
     """Fit of a category list.
 
-    Either {"first", "values"}: all values as text, or {"first", "table"}: the path of a
-    parquet table of (value, code, rows). `first` is the lowest code: 0 if
-    there are exactly two distinct values, counting null as one, else 1.
+    Either {"first", "values"}: all values as text, or {"first", "table", "values_n", "bytes"}: the
+    path of a parquet table of (value, rows, place) and its size. `first` is the lowest
+    code: 0 if there are exactly two distinct values, counting null as one, else 1.
     """
 
     column: str
@@ -66,28 +69,33 @@ def _long_list(values: DataFrame) -> dict[str, Any]:
     """Number any amount of distinct values in ascending order without a single-task window.
 
     The distinct values are range-partitioned and sorted, so that the row id
-    holds the partition in its upper bits and the place within it below. Adding up
-    the partition sizes turns that into a running number. The sorted values are
-    written to the shared folder first: a range partitioning samples its bounds,
-    and both the sizes and the numbers must see the same one.
+    holds the partition in its upper bits and the place within it below. The sorted
+    values are written to the shared folder, because a range partitioning samples
+    its bounds and all uses of the row ids must see the same one.
     """
     spark = values.sparkSession
+    path = shared_path(spark, "categories")
     distinct = values.groupBy("value").agg(F.count("*").alias("rows"))
-    kept = shared_path(spark, "categories")
     ranged = distinct.repartitionByRange("value").sortWithinPartitions("value")
-    ranged.withColumn("place", F.monotonically_increasing_id()).write.parquet(kept + "/sorted")
-    known = spark.read.parquet(kept + "/sorted")
-    size = known.count()
-    first = 0 if size == 2 else 1
+    ranged.withColumn("place", F.monotonically_increasing_id()).write.parquet(path)
+    size = spark.read.parquet(path).agg(
+        F.count("*").alias("n"), F.sum(F.octet_length(F.col("value").cast("string"))).alias("bytes")
+    )
+    found = size.first()
+    return {"first": 0 if found.n == 2 else 1, "table": path, "values_n": found.n, "bytes": found.bytes or 0}
 
-    known = known.where(F.col("value").isNotNull()).withColumn("part", F.shiftright("place", 33))
+
+def _long_codes(table: DataFrame, categories: Mapping[str, Any], name: str) -> DataFrame:
+    """Running numbers from the row ids: the place within a partition plus all rows before it."""
+    known = table.where(F.col("value").isNotNull()).withColumn("part", F.shiftright("place", 33))
     # One row per partition of the range exchange: safe for one task and for a broadcast.
     sizes = known.groupBy("part").agg(F.count("*").alias("size"), F.min("place").alias("start"))
     before = F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("part", "start", F.coalesce(before, F.lit(0)).alias("before"))
-    code = (F.col("before") + F.col("place") - F.col("start") + first).cast("int" if size < 2**31 else "long")
-    known.join(F.broadcast(offsets), "part").select("value", code.alias("code"), "rows").write.parquet(kept + "/codes")
-    return {"first": first, "table": kept + "/codes"}
+    code = F.col("before") + F.col("place") - F.col("start") + int(categories["first"])
+    kind = "int" if categories["values_n"] < 2**31 else "long"
+    numbered = known.join(F.broadcast(offsets), "part")
+    return numbered.select(F.col("value").alias(name), code.cast(kind).alias("__code"))
 
 
 def fit_categories(df: DataFrame, column: str, list_values: int = LIST_VALUES) -> Fit:
@@ -118,10 +126,13 @@ def encode_category(
         coded = keyed.join(F.broadcast(_listed(df, column, categories, held)), held, "left")
     else:
         table = df.sparkSession.read.parquet(categories["table"])
-        total = table.agg(F.sum("rows")).scalar()
-        hot = table.where(F.col("rows") * HOT_SHARE > total).select(F.col("value").alias(held))
-        codes = table.select(F.col("value").alias(held), F.col("code").alias("__code"))
-        coded = join_hot(keyed, codes, [held], "left", hot)
+        codes = _long_codes(table, categories, held)
+        if categories["bytes"] + categories["values_n"] * ROW_BYTES <= BROADCAST_BYTES:
+            coded = keyed.join(F.broadcast(codes), held, "left")
+        else:
+            total = table.agg(F.sum("rows")).scalar()
+            hot = table.where(F.col("rows") * HOT_SHARE > total).select(F.col("value").alias(held))
+            coded = join_hot(keyed, codes, [held], "left", hot.where(col(held).isNotNull()))
     name = fresh_name(df, new_column)
     out = coded.select(*[col(c) for c in df.columns], col("__code").alias(name))
     return out if after is None else move_after(out, [name], after)

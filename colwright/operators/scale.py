@@ -29,13 +29,13 @@ def scale_standard(
     fresh_name(df, new_column)
     x = _number(df, column)
     sd = value(fitted(df, fit_standard(df, column), params)["sd"])
-    scaled = F.when(sd > 0, F.round(x / sd, 4)).otherwise(0.0)
+    scaled = F.coalesce(F.round(F.try_divide(x, sd), 4), F.lit(0.0))
     return add_column(df.where(col(column).isNotNull()), new_column, scaled, after)
 
 
 def fit_minmax(df: DataFrame, column: str) -> Fit:
     x = _number(df, column)
-    return {"lo": F.min(x), "hi": F.max(x)}
+    return {"lo": F.min(x), "range": F.max(x) - F.min(x)}
 
 
 def scale_minmax(
@@ -45,8 +45,8 @@ def scale_minmax(
     fresh_name(df, new_column)
     x = _number(df, column)
     found = fitted(df, fit_minmax(df, column), params)
-    lo, hi = value(found["lo"]), value(found["hi"])
-    scaled = F.when(hi > lo, F.round((x - lo) / (hi - lo), 4)).otherwise(0.5)
+    lo, range_ = value(found["lo"]), value(found["range"])
+    scaled = F.coalesce(F.round(F.try_divide(x - lo, range_), 4), F.lit(0.5))
     return add_column(df.where(col(column).isNotNull()), new_column, scaled, after)
 
 
@@ -73,13 +73,8 @@ def scale_robust(
     A range of 0 divides by 1 instead.
     """
     fresh_name(df, new_column)
-    q1, median, q3 = (
-        value(fitted_quartiles) for fitted_quartiles in _three(fitted(df, fit_robust(df, column, approx), params))
-    )
-    spread = F.when(q3 > q1, q3 - q1).otherwise(1.0)
-    scaled = F.round((_null_as_zero(df, column) - median) / spread, 4)
+    quartiles = fitted(df, fit_robust(df, column, approx), params)["quartiles"]
+    q1, median, q3 = (value(quartiles[i]) for i in range(3))
+    distance = _null_as_zero(df, column) - median
+    scaled = F.round(F.coalesce(F.try_divide(distance, q3 - q1), distance), 4)
     return add_column(df, new_column, scaled, after)
-
-
-def _three(params: Params) -> list:
-    return [params["quartiles"][i] for i in range(3)]

@@ -6,8 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from colwright.columns import add_column, as_list, col, fresh_name, move_after, require
+from colwright.columns import add_column, as_list, col, fresh_name, move_after, require, type_of
+
+# All text that casts to an integer looks like this; blanks and control characters around it are ignored.
+WHOLE_NUMBER = r"^[\s\p{Cntrl}]*[+-]?[0-9]+[\s\p{Cntrl}]*$"
 
 
 def drop_column(df: DataFrame, column: str) -> DataFrame:
@@ -32,8 +36,11 @@ def to_string(df: DataFrame, column: str) -> DataFrame:
 
 def to_integer(df: DataFrame, column: str) -> DataFrame:
     """Cast to a 32-bit integer: fractions are cut off, unreadable text becomes null."""
-    require(df, column)
-    return df.withColumn(column, col(column).try_cast("int"))
+    value = col(column)
+    if isinstance(type_of(df, column), T.StringType):
+        # try_cast pays for an exception per bad value; this lets it see few of them.
+        value = F.when(value.rlike(WHOLE_NUMBER), value)
+    return df.withColumn(column, value.try_cast("int"))
 
 
 def concat_columns(

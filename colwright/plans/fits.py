@@ -16,32 +16,19 @@ and always run up front.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 from typing import Any, Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colwright.plans.quantiles import exact_quantiles
+from colwright.plans.quantiles import Quantiles, exact_quantiles
 
 
 class Job(Protocol):
     def run(self, df: DataFrame) -> Any: ...
 
 
-@dataclass(frozen=True)
-class Quantiles:
-    """Exact quantiles of an expression; the parameter is a list of doubles."""
-
-    values: Column
-    fractions: Sequence[float]
-    interpolate: bool
-
-    def run(self, df: DataFrame) -> list[float | None]:
-        return exact_quantiles(df, self.values, self.fractions, self.interpolate)
-
-
-Fit = Mapping[str, "Column | Job"]
+Fit = Mapping[str, "Column | Quantiles | Job"]
 Params = dict[str, Any]
 
 
@@ -54,24 +41,28 @@ def quantiles(values: Column, fractions: Sequence[float], interpolate: bool, app
 
 
 def settle(df: DataFrame, fits: Sequence[Fit], lazy: bool = True) -> list[Params]:
-    """Parameters of several fits over the same table; all aggregates share one scan."""
-    aggregates = {
-        f"p{i}_{name}": part
-        for i, fit in enumerate(fits)
-        for name, part in fit.items()
-        if isinstance(part, Column)
-    }
-    found: Any = {}
+    """Parameters of several fits over the same table.
+
+    All aggregates share one scan, and so do all exact quantiles in each of their passes.
+    """
+    parts = {(i, name): part for i, fit in enumerate(fits) for name, part in fit.items()}
+    found: dict[tuple[int, str], Any] = {}
+
+    aggregates = {key: part for key, part in parts.items() if isinstance(part, Column)}
     if aggregates:
-        one_row = df.agg(F.struct(*[part.alias(key) for key, part in aggregates.items()]).alias("fit"))
-        found = one_row.scalar() if lazy else one_row.first().fit
-    return [
-        {
-            name: found[f"p{i}_{name}"] if isinstance(part, Column) else part.run(df)
-            for name, part in fit.items()
-        }
-        for i, fit in enumerate(fits)
-    ]
+        names = {key: f"p{key[0]}_{key[1]}" for key in aggregates}
+        one_row = df.agg(F.struct(*[part.alias(names[key]) for key, part in aggregates.items()]).alias("fit"))
+        fit = one_row.scalar() if lazy else one_row.first().fit
+        found.update({key: fit[name] for key, name in names.items()})
+
+    ranked = {key: part for key, part in parts.items() if isinstance(part, Quantiles)}
+    if ranked:
+        found.update(zip(ranked, exact_quantiles(df, list(ranked.values()))))
+
+    for key, part in parts.items():
+        if key not in found:
+            found[key] = part.run(df)
+    return [{name: found[i, name] for name in fit} for i, fit in enumerate(fits)]
 
 
 def fitted(df: DataFrame, fit: Fit, params: Params | None) -> Params:

@@ -1,4 +1,4 @@
-"""Exact quantiles of a column of any size.
+"""Exact quantiles of columns of any size.
 
 Spark's own exact percentile keeps every distinct value of the column in the
 memory of one task, and its approximate one is approximate. Here the wanted
@@ -6,7 +6,7 @@ ranks are narrowed down instead: each pass counts the rows per value bucket (a
 group-by of at most a few thousand groups, combined on the map side) and
 zooms into the buckets that hold the ranks, until such a bucket holds a single
 value. Nothing but those counts is ever shuffled, and a hot value costs nothing
-extra because it is one group.
+extra because it is one group. Several columns share every pass.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,90 +28,140 @@ BUCKETS = 4096
 Span = tuple[float, float]
 
 
-def exact_quantiles(
-    df: DataFrame, values: Column, fractions: Sequence[float], interpolate: bool
-) -> list[float | None]:
-    """Quantiles of the non-null, non-NaN values.
+@dataclass(frozen=True)
+class Quantiles:
+    """Quantiles of the non-null, non-NaN values of an expression.
 
     With `interpolate` a quantile between two rows is interpolated linearly,
     otherwise it is the smallest value with at least that fraction at or below it.
     """
-    data = df.select(values.cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    size = data.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    if size.n == 0:
-        return [None for _ in fractions]
-
-    if interpolate:
-        places = [f * (size.n - 1) + 1 for f in fractions]
-        wanted = {math.floor(p) for p in places} | {math.ceil(p) for p in places}
-    else:
-        places = [max(1, math.ceil(f * size.n)) for f in fractions]
-        wanted = set(places)
-    value = _values_at(data, size.n, (size.lo, size.hi), wanted)
-
-    out: list[float | None] = []
-    for p in places:
-        below, above = value[math.floor(p)], value[math.ceil(p)]
-        share = p - math.floor(p)
-        out.append(below if share == 0 or below == above else (1 - share) * below + share * above)
-    return out
-
-
-def _values_at(data: DataFrame, n: int, whole: Span, ranks: set[int]) -> dict[int, float]:
-    """The values at the given 1-based ranks of the sorted column `v`."""
-    span = dict.fromkeys(ranks, whole)
-    first = True
-    while still_open := sorted({s for s in span.values() if s[0] < s[1]}):
-        bucket = F.col("v") if n <= ONE_PASS_ROWS else _bucket(still_open, logarithmic=first)
-        counts = data.groupBy(bucket.alias("bucket")).agg(
-            F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")
-        )
-        # One unpartitioned window, over bucket counts only: ONE_PASS_ROWS rows at most.
-        upto = F.sum("n").over(Window.orderBy("lo").rowsBetween(Window.unboundedPreceding, 0))
-        holds = [(F.col("upto") - F.col("n") < r) & (F.col("upto") >= r) for r in sorted(ranks)]
-        hit = counts.withColumn("upto", upto).where(reduce(lambda a, b: a | b, holds))
-        for row in hit.collect():  # one row per rank at most
-            for r in ranks:
-                if row.upto - row.n < r <= row.upto:
-                    span[r] = (row.lo, row.hi)
-        first = False
-    return {r: s[0] for r, s in span.items()}
-
-
-def _bucket(spans: Sequence[Span], logarithmic: bool) -> Column:
+
+    values: Column
+    fractions: Sequence[float]
+    interpolate: bool
+
+    def places(self, rows: int) -> list[float]:
+        """Where the quantiles stand among that many sorted rows, counted from 1."""
+        if self.interpolate:
+            return [f * (rows - 1) + 1 for f in self.fractions]
+        return [max(1, math.ceil(f * rows)) for f in self.fractions]
+
+
+@dataclass
+class _Search:
+    """State of one column: for each wanted rank the range its value is known to lie in."""
+
+    number: int
+    rows: int
+    places: list[float]
+    spans: dict[int, Span] = field(default_factory=dict)
+
+    @property
+    def open_ranks(self) -> list[int]:
+        return [rank for rank, (lo, hi) in self.spans.items() if lo < hi]
+
+    @property
+    def open_spans(self) -> list[Span]:
+        return sorted({self.spans[rank] for rank in self.open_ranks})
+
+    def result(self) -> list[float | None]:
+        if not self.rows:
+            return [None for _ in self.places]
+        out: list[float | None] = []
+        for place in self.places:
+            below, above = self.spans[math.floor(place)][0], self.spans[math.ceil(place)][0]
+            share = place - math.floor(place)
+            out.append(below if share == 0 or below == above else (1 - share) * below + share * above)
+        return out
+
+
+def exact_quantiles(df: DataFrame, wanted: Sequence[Quantiles]) -> list[list[float | None]]:
+    """For each request its quantiles, or nulls where the column has no values."""
+    names = [f"v{i}" for i in range(len(wanted))]
+    values = [q.values.cast("double") for q in wanted]
+    data = df.select(*[F.when(~F.isnan(v), v).alias(name) for v, name in zip(values, names)])
+    ends = data.agg(
+        *[F.struct(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).alias(v) for v in names]
+    ).first()
+
+    searches = []
+    for i, (q, end) in enumerate(zip(wanted, ends)):
+        places = q.places(end.n)
+        ranks = {r for p in places for r in (math.floor(p), math.ceil(p))} if end.n else set()
+        searches.append(_Search(i, end.n, places, dict.fromkeys(ranks, (end.lo, end.hi))))
+
+    while still_open := [s for s in searches if s.open_ranks]:
+        _narrow(data, still_open)
+    return [s.result() for s in searches]
+
+
+def _narrow(data: DataFrame, searches: Sequence[_Search]) -> None:
+    """One pass over the data: find the bucket of each wanted rank."""
+    cells = []
+    for s in searches:
+        v = F.col(f"v{s.number}")
+        bucket = v if s.rows <= ONE_PASS_ROWS else _bucket(v, s.open_spans)
+        cells.append(F.struct(F.lit(s.number).alias("i"), bucket.cast("double").alias("bucket"), v.alias("v")))
+    counts = (
+        data.select(F.inline(F.array(*cells)))
+        .where(F.col("v").isNotNull())
+        .groupBy("i", "bucket")
+        .agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    )
+    # Bucket counts only: per column ONE_PASS_ROWS rows at most.
+    sorted_ = Window.partitionBy("i").orderBy("lo").rowsBetween(Window.unboundedPreceding, 0)
+    holds = [
+        (F.col("i") == s.number) & (F.col("upto") - F.col("n") < rank) & (F.col("upto") >= rank)
+        for s in searches
+        for rank in s.open_ranks
+    ]
+    hits = counts.withColumn("upto", F.sum("n").over(sorted_)).where(reduce(lambda a, b: a | b, holds))
+    found = hits.collect()  # one row per wanted rank at most
+    for s in searches:
+        for row in found:
+            for rank in s.open_ranks:
+                if row.i == s.number and row.upto - row.n < rank <= row.upto:
+                    s.spans[rank] = (row.lo, row.hi)
+
+
+def _bucket(v: Column, spans: Sequence[Span]) -> Column:
     """Bucket number that grows with the value: fine inside the spans, one number per gap.
 
     The two ends of a span are buckets of their own, so every pass shrinks every
     span even if all its inner values fall into one bucket.
     """
-    v = F.col("v")
     out: Column | None = None
     for i, (lo, hi) in enumerate(spans):
-        base = i * (BUCKETS + 3)
+        base = i * (BUCKETS + 4)
         out = F.when(v < lo, base) if out is None else out.when(v < lo, base)
-        inner = (
-            F.when(v == lo, 0)
-            .when(v == hi, BUCKETS + 1)
-            .otherwise(1 + F.least(F.lit(BUCKETS - 1), F.floor(_share(v, lo, hi, logarithmic) * BUCKETS)))
-        )
+        inner = F.when(v == lo, 0).when(v == hi, BUCKETS + 2).otherwise(_inside(v, lo, hi))
         out = out.when(v <= hi, base + 1 + inner)
-    return out.otherwise(len(spans) * (BUCKETS + 3))
+    return out.otherwise(len(spans) * (BUCKETS + 4))
 
 
-def _share(v: Column, lo: float, hi: float, logarithmic: bool) -> Column:
-    """Where the value stands between the ends, from 0 to 1.
+def _inside(v: Column, lo: float, hi: float) -> Column:
+    """Bucket 1 to BUCKETS + 1 of a value strictly between the ends.
 
-    The first pass measures on a signed logarithmic scale, so that one absurd
-    outlier does not push everything else into a single bucket.
+    Buckets are evenly wide where the ends are close to each other and grow with
+    the value where they are not, so that one absurd outlier does not push all else
+    into a single bucket. A span across zero is cut there.
     """
     lo, hi = max(lo, -sys.float_info.max), min(hi, sys.float_info.max)
-    if logarithmic:
-        a, b = (math.copysign(math.log1p(abs(x)), x) for x in (lo, hi))
-        place = F.signum(v) * F.log1p(F.abs(v))
-    else:
-        half = 0.5 if math.isinf(hi - lo) else 1.0
-        a, b = lo * half, hi * half
-        place = v * half
-    if not b > a:
-        return F.lit(0.0)
-    return F.greatest(F.lit(0.0), (place - a) / F.lit(b - a))
+    half = BUCKETS // 2
+    if lo <= 0 <= hi:
+        below = half - _step(F.log1p(-v), 0.0, math.log1p(-lo), half)
+        above = half + 2 + _step(F.log1p(v), 0.0, math.log1p(hi), half)
+        return F.when(v < 0, below).when(v == 0, half + 1).otherwise(above)
+    if hi < 0:
+        return BUCKETS + 1 - _inside(-v, -hi, -lo)
+    if hi / lo > 4:
+        return 1 + _step(F.ln(v), math.log(lo), math.log(hi), BUCKETS)
+    return 1 + _step(v, lo, hi, BUCKETS)
+
+
+def _step(place: Column, start: float, end: float, steps: int) -> Column:
+    """Which of equally wide steps between start and end the place is in, from 0."""
+    if not end > start:
+        return F.lit(0)
+    share = (place - start) / F.lit(end - start)
+    return F.greatest(F.lit(0), F.least(F.lit(steps - 1), F.floor(share * steps)))
