@@ -213,7 +213,7 @@ def test_quantiles(spark, monkeypatch, one_pass):
     check_quantiles(spark, [-math.inf, math.inf, 0.0, -0.0, 1e308, -1e308, 5e-324, 1.0, 2.0])
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.floats(allow_nan=False), min_size=1, max_size=40))
 def test_quantiles_of_anything(spark, values):
     before = quantiles.ONE_PASS_ROWS, quantiles.BUCKETS

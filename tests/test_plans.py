@@ -1,0 +1,108 @@
+"""What the physical plans must and must not hold."""
+
+import pytest
+
+import __spark_entry__ as contract
+import colwright as cw
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def scans(text):
+    return text.count("FileScan")
+
+
+@pytest.fixture(scope="module")
+def lineitem(spark):
+    return spark.read.parquet(f"{FOLDER}/lineitem.parquet")
+
+
+@pytest.mark.parametrize("key", sorted(contract.queries()))
+def test_no_python_and_no_cross_join(spark, key):
+    text = plan(contract.queries()[key](spark, FOLDER))
+    for banned in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert banned not in text
+
+
+@pytest.mark.parametrize(
+    "call, pushed",
+    [
+        (lambda df: cw.filter_equal(df, "l_quantity", "5"), "EqualTo(l_quantity,5.0)"),
+        (lambda df: cw.filter_equal(df, "l_returnflag", ["A", "N"]), "In(l_returnflag, [A,N])"),
+        (lambda df: cw.filter_not_equal(df, "l_quantity", 5), "Not(EqualTo(l_quantity,5.0))"),
+        (lambda df: cw.filter_greater(df, "l_linenumber", "3"), "GreaterThan(l_linenumber,3)"),
+        (lambda df: cw.filter_less(df, "l_linenumber", 2.5), "LessThan(l_linenumber"),
+        (lambda df: cw.filter_between(df, "l_shipdate", "1998-01-01", "1998-02-01"), "GreaterThanOrEqual(l_shipdate"),
+        (lambda df: cw.filter_null(df, "l_tax"), "IsNull(l_tax)"),
+        (lambda df: cw.filter_startswith(df, "l_linestatus", "O"), "StringStartsWith(l_linestatus,O)"),
+        (lambda df: cw.delete_negative(df, "l_tax"), "GreaterThanOrEqual(l_tax,0.0)"),
+        (lambda df: cw.delete_zero(df, "l_tax"), "Not(EqualTo(l_tax,0.0))"),
+        (lambda df: cw.delete_null(cw.upper(df, "l_linestatus"), "l_tax"), "IsNotNull(l_tax)"),
+    ],
+)
+def test_filters_reach_the_scan(lineitem, call, pushed):
+    filters = plan(call(lineitem)).split("PushedFilters: ")[1].split("ReadSchema")[0]
+    if pushed.startswith("LessThan(l_linenumber"):
+        # 2.5 against an int column: Spark turns it into an integer comparison.
+        assert "l_linenumber" in filters
+    else:
+        assert pushed in filters
+
+
+def test_columns_are_pruned(lineitem):
+    text = plan(cw.scale_minmax(lineitem, "l_tax", "s").select("l_orderkey", "s"))
+    schemas = {part.split(">")[0] for part in text.split("ReadSchema: struct<")[1:]}
+    assert schemas == {"l_orderkey:bigint,l_tax:double", "l_tax:double"}
+
+
+def test_a_fit_is_one_scan_without_a_join(lineitem):
+    df = cw.scale_minmax(lineitem, "l_tax", "s")
+    df.count()
+    executed = cw.scale_minmax(lineitem, "l_tax", "s")
+    executed.collect()
+    text = plan(executed).split("Initial Plan")[0]
+    assert "Join" not in text
+    assert "ReusedSubquery" in plan(executed) or plan(executed).count("Subquery subquery") == 1
+
+
+def test_profile_scans_once(lineitem):
+    assert scans(plan(cw.column_profile(lineitem))) == 1
+    assert scans(plan(cw.column_profile(lineitem, approx=True))) == 1
+    assert scans(plan(cw.column_min_max(lineitem, "l_tax"))) == 1
+    assert scans(plan(cw.column_describe(lineitem, ["l_tax", "l_quantity"]))) == 1
+
+
+def test_groups_are_cut_before_the_shuffle(lineitem):
+    for df in (
+        cw.pick_first_n(lineitem, "l_suppkey", "l_tax", 3),
+        cw.pick_last_n(lineitem, "l_suppkey", "l_tax", 3, split_ties=True),
+        cw.deduplicate(lineitem, "l_suppkey", order_by=["l_orderkey", "l_linenumber"]),
+    ):
+        text = plan(df)
+        assert "WindowGroupLimit" in text and "Partial" in text
+
+
+def test_row_operators_do_not_shuffle(lineitem):
+    df = cw.filter_greater(cw.sum_columns(cw.upper(lineitem, "l_linestatus"), ["l_tax", "l_discount"], "x"), "x", 0.05)
+    df = cw.bin_labels(df, "l_quantity", [0, 10], [10, 100], ["few", "many"], "class")
+    assert "Exchange" not in plan(df)
+
+
+def test_sort_then_preview_is_a_top_k(lineitem):
+    text = plan(cw.preview(cw.sort_asc(lineitem, "l_tax"), 10))
+    assert "TakeOrderedAndProject" in text and "rangepartitioning" not in text
+
+
+def test_category_list_is_broadcast_without_shuffling_the_table(lineitem):
+    text = plan(cw.encode_category(lineitem, "l_returnflag", "code"))
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
+def test_random_preview_keeps_few_candidates(spark):
+    df = spark.range(100_000)
+    text = plan(cw.preview_random(df, 100, seed=1))
+    assert "TakeOrderedAndProject" in text and "Filter" in text
