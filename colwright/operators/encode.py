@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colwright.columns import col, fresh_name, move_after, type_of
-from colwright.operators.joins import HOT_SHARE, join_hot
+from colwright.operators.joins import join_hot, only_hot
 from colwright.plans.fits import Fit, Params, fitted
 from colwright.sources.shared import shared_path
 
@@ -130,9 +130,9 @@ def encode_category(
         if categories["bytes"] + categories["values_n"] * ROW_BYTES <= BROADCAST_BYTES:
             coded = keyed.join(F.broadcast(codes), held, "left")
         else:
-            total = table.agg(F.sum("rows")).scalar()
-            hot = table.where(F.col("rows") * HOT_SHARE > total).select(F.col("value").alias(held))
-            coded = join_hot(keyed, codes, [held], "left", hot.where(col(held).isNotNull()))
+            counts = table.where(F.col("value").isNotNull()).select(F.col("value").alias(held), F.col("rows").alias("__n"))
+            hot = only_hot(counts, counts.agg(F.sum("__n")).scalar())
+            coded = join_hot(keyed, codes, [held], "left", hot)
     name = fresh_name(df, new_column)
     out = coded.select(*[col(c) for c in df.columns], col("__code").alias(name))
     return out if after is None else move_after(out, [name], after)

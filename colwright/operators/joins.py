@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colwright.columns import as_list, col, require
+from colwright.sources.shared import kept
 
 HOWS = ("inner", "left", "right", "full", "left_semi", "left_anti")
 # Other spellings that Spark knows for the same six joins.
@@ -24,8 +25,8 @@ SPELLINGS = {
 }
 # A key is hot if it holds more than one row in HOT_SHARE: fewer than HOT_SHARE keys can be.
 HOT_SHARE = 1000
-# Tasks over which the rows of one hot key are spread.
-SPLITS = 64
+# Parts into which a key with all rows would be split; a hot key gets its share of them.
+PARTS = 4096
 
 
 def join_tables(
@@ -58,16 +59,26 @@ def join_tables(
     right = _named_as(right, left_on, right_on)
     if not split_hot_keys:
         return left.join(right, on=left_on, how=how)
+
+    # Both sides of a split join must agree on the hot keys, even where the
+    # table itself is not the same each time it is computed: hence kept.
+    def hot_left() -> DataFrame:
+        return kept(hot_keys(left, left_on), "hot-keys")
+
+    def hot_right() -> DataFrame:
+        return kept(hot_keys(right, left_on), "hot-keys")
+
     if how == "right":
-        order = [*left_on, *[c for c in left.columns if c not in left_on], *[c for c in right.columns if c not in left_on]]
-        swapped = join_hot(right, left, left_on, "left", hot_keys(right, left_on))
-        return swapped.select(*[col(c) for c in order])
-    hot = hot_keys(left, left_on)
+        swapped = join_hot(right, left, left_on, "left", hot_right())
+        rest = [c for c in left.columns if c not in left_on] + [c for c in right.columns if c not in left_on]
+        return swapped.select(*[col(c) for c in [*left_on, *rest]])
+    if how == "inner":
+        return join_hot(left, right, left_on, how, hot_left(), hot_right())
     if how == "full":
-        matched = join_hot(left, right, left_on, "left", hot)
-        unmatched = join_hot(right, left, left_on, "left_anti", hot_keys(right, left_on))
+        matched = join_hot(left, right, left_on, "left", hot_left())
+        unmatched = join_hot(right, left, left_on, "left_anti", hot_right())
         return matched.unionByName(unmatched, allowMissingColumns=True)
-    return join_hot(left, right, left_on, how, hot)
+    return join_hot(left, right, left_on, how, hot_left())
 
 
 def _named_as(right: DataFrame, left_on: Sequence[str], right_on: Sequence[str]) -> DataFrame:
@@ -80,29 +91,58 @@ def _named_as(right: DataFrame, left_on: Sequence[str], right_on: Sequence[str])
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The keys that hold more than one row in HOT_SHARE of those with a key."""
-    counts = df.select(*[col(k) for k in keys]).where(_complete(keys)).groupBy(*[col(k) for k in keys])
-    counts = counts.agg(F.count("*").alias("__n"))
-    total = df.where(_complete(keys)).agg(F.count("*")).scalar()
-    return counts.where(F.col("__n") * HOT_SHARE > total).drop("__n")
+    """The keys that hold more than one row in HOT_SHARE, each with its number of `__splits`."""
+    keyed = df.select(*[col(k) for k in keys]).where(_complete(keys))
+    counts = keyed.groupBy(*[col(k) for k in keys]).agg(F.count("*").alias("__n"))
+    return only_hot(counts, keyed.agg(F.count("*")).scalar())
+
 
+def only_hot(counts: DataFrame, total: Column) -> DataFrame:
+    """Keep the hot ones of the keys counted in `__n`: fewer than HOT_SHARE rows, safe to broadcast."""
+    splits = F.ceil(F.col("__n") / total * PARTS).cast("int")
+    return counts.where(F.col("__n") * HOT_SHARE > total).withColumn("__splits", splits).drop("__n")
 
-def join_hot(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, hot: DataFrame) -> DataFrame:
-    """Inner, left, semi or anti join in which the left rows of hot keys go to many tasks.
 
-    The right rows of those keys are repeated for each of the tasks. `hot` holds
-    fewer than HOT_SHARE rows by construction, so it is safe to broadcast. Left
-    rows with a null key match nothing and are spread as well.
+def join_hot(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    how: str,
+    hot: DataFrame,
+    hot_right: DataFrame | None = None,
+) -> DataFrame:
+    """Inner, left, semi or anti join in which the rows of hot keys go to many tasks.
+
+    The left rows of a key in `hot` are dealt out over its splits, and the right rows
+    of that key repeated for each of them. Left rows with a null key match
+    nothing and are dealt out as well. An inner join may do the same the other
+    way round for keys in `hot_right`.
     """
-    marked = F.broadcast(hot.withColumn("__hot", F.lit(True)))
-    # By position, not by content: copies of one row must not end up together either.
-    anywhere = F.pmod(F.monotonically_increasing_id(), F.lit(SPLITS)).cast("int")
-    salted = left.withColumn("__any", anywhere).join(marked, on=list(keys), how="left")
-    spread = F.col("__hot").isNotNull() | ~_complete(keys)
-    salted = salted.withColumn("__salt", F.when(spread, F.col("__any")).otherwise(0)).drop("__any", "__hot")
-    every = F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(SPLITS - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(marked, on=list(keys), how="left").withColumn("__salt", F.explode(every)).drop("__hot")
-    return salted.join(repeated, on=[*keys, "__salt"], how=how).drop("__salt")
+    keys = list(keys)
+    if how in ("left_semi", "left_anti"):
+        right = right.select(*[col(k) for k in keys]).distinct()
+    marks = hot.withColumn("__left", F.lit(True))
+    if hot_right is not None:
+        marks = marks.unionByName(hot_right.join(hot, keys, "left_anti").withColumn("__left", F.lit(False)))
+    marks = F.broadcast(marks)
+
+    def salted(df: DataFrame, deals: Column, lone: Column | None, repeats: bool) -> DataFrame:
+        # By position, not by content: copies of one row must not end up together either.
+        numbered = df.withColumn("__at", F.monotonically_increasing_id()).join(marks, keys, "left")
+        dealt = F.pmod("__at", F.col("__splits")).cast("int")
+        salt = F.when(deals, dealt)
+        if lone is not None:
+            salt = salt.when(lone, F.pmod("__at", F.lit(PARTS)).cast("int"))
+        if repeats:
+            copies = F.sequence(F.lit(0), F.col("__splits") - 1)
+            salt = F.explode(F.when(F.col("__splits").isNotNull() & ~deals, copies).otherwise(F.array(salt.otherwise(0))))
+        else:
+            salt = salt.otherwise(0)
+        return numbered.withColumn("__salt", salt).drop("__at", "__splits", "__left")
+
+    here = salted(left, F.col("__left"), ~_complete(keys), repeats=hot_right is not None)
+    there = salted(right, F.col("__left") == F.lit(False), None, repeats=True)
+    return here.join(there, on=[*keys, "__salt"], how=how).drop("__salt")
 
 
 def _complete(keys: Sequence[str]) -> Column:

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from colwright.columns import as_list, col, fresh_name, require
 
-# Up to this n Spark cuts each group to its first n rows before the shuffle
-# (the default of spark.sql.optimizer.windowGroupLimitThreshold).
+# Up to this n the rows themselves are ranked: each input partition sends at most n
+# ranks of a group to the task that ranks the group.
+RANKED_ROWS = 100
+# Up to this n Spark cuts groups before a shuffle (its windowGroupLimitThreshold) ...
 GROUP_LIMIT = 1000
-# Parts into which a group's values are cut when n is larger than that.
+# ... and beyond it a group's values are first ranked within so many parts.
 PARTS = 512
 
 
@@ -43,9 +45,10 @@ def pick_first_n(
 ) -> DataFrame:
     """Per value of `column` the rows with the n largest `order_column`, and their `rank`.
 
-    Rows that tie at the edge all stay. Spark cuts every group to its first n
-    ranks before it shuffles, so a hot group is no burden unless very many of its
-    rows tie; `split_ties` is for that case and gives the same result.
+    Rows that tie at the edge all stay. For a small n, Spark cuts every group to its
+    first n ranks before it shuffles, so a hot group is no burden unless very many of
+    its rows tie. A large n, or `split_ties`, ranks value counts instead of rows,
+    with the same result.
     """
     return _pick(df, column, order_column, int(n), True, split_ties)
 
@@ -60,7 +63,7 @@ def pick_last_n(
 def _pick(df: DataFrame, group: str, value: str, n: int, largest: bool, split_ties: bool) -> DataFrame:
     require(df, group, value)
     fresh_name(df, "rank")
-    if split_ties or n > GROUP_LIMIT:
+    if split_ties or n > RANKED_ROWS:
         return _pick_by_counts(df, group, value, n, largest)
     order = col(value).desc() if largest else col(value).asc()
     window = Window.partitionBy(col(group)).orderBy(order)
