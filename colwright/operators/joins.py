@@ -44,7 +44,7 @@ def join_tables(
     threshold, and adaptive execution splits skewed partitions of a sort-merge
     join where the join type allows. `split_hot_keys` does this by
     key instead, for every join type and for null keys too: worth the extra pass
-    over the left keys where a few of them hold much of the table.
+    over the keys where a few of them hold much of a table.
     """
     left_on = as_list(left_on)
     right_on = left_on if right_on is None else as_list(right_on)
@@ -69,16 +69,24 @@ def join_tables(
         return kept(hot_keys(right, left_on), "hot-keys")
 
     if how == "right":
-        swapped = join_hot(right, left, left_on, "left", hot_right())
+        swapped = _join_left(right, left, left_on, hot_right(), hot_left())
         rest = [c for c in left.columns if c not in left_on] + [c for c in right.columns if c not in left_on]
         return swapped.select(*[col(c) for c in [*left_on, *rest]])
-    if how == "inner":
-        return join_hot(left, right, left_on, how, hot_left(), hot_right())
+    if how == "left":
+        return _join_left(left, right, left_on, hot_left(), hot_right())
     if how == "full":
-        matched = join_hot(left, right, left_on, "left", hot_left())
-        unmatched = join_hot(right, left, left_on, "left_anti", hot_right())
-        return matched.unionByName(unmatched, allowMissingColumns=True)
-    return join_hot(left, right, left_on, how, hot_left())
+        hot, hot_there = hot_left(), hot_right()
+        unmatched = join_hot(right, left, left_on, "left_anti", hot_there)
+        return _join_left(left, right, left_on, hot, hot_there).unionByName(unmatched, allowMissingColumns=True)
+    return join_hot(left, right, left_on, how, hot_left(), hot_right() if how == "inner" else None)
+
+
+def _join_left(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataFrame, hot_right: DataFrame) -> DataFrame:
+    """Left join. Right rows can be dealt out only where all left rows match: if need be, those are joined apart."""
+    if hot_right.isEmpty():
+        return join_hot(left, right, keys, "left", hot)
+    matched = join_hot(left, right, keys, "inner", hot, hot_right)
+    return matched.unionByName(join_hot(left, right, keys, "left_anti", hot), allowMissingColumns=True)
 
 
 def _named_as(right: DataFrame, left_on: Sequence[str], right_on: Sequence[str]) -> DataFrame:
@@ -100,7 +108,8 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def only_hot(counts: DataFrame, total: Column) -> DataFrame:
     """Keep the hot ones of the keys counted in `__n`: fewer than HOT_SHARE rows, safe to broadcast."""
     splits = F.ceil(F.col("__n") / total * PARTS).cast("int")
-    return counts.where(F.col("__n") * HOT_SHARE > total).withColumn("__splits", splits).drop("__n")
+    hot = (F.col("__n") > 1) & (F.col("__n") * HOT_SHARE > total)
+    return counts.where(hot).withColumn("__splits", splits).drop("__n")
 
 
 def join_hot(
