@@ -26,9 +26,24 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def save_table(df: DataFrame, path: str, *, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
-    """Write the table as parquet."""
+def save_table(
+    df: DataFrame,
+    path: str,
+    *,
+    partition_by: Sequence[str] = (),
+    mode: str = "overwrite",
+    rebalance: bool | None = None,
+) -> None:
+    """Write the table as parquet.
+
+    A partitioned table is rebalanced on the partition columns first, else every
+    task would write a file into every folder. Adaptive execution sizes the
+    resulting partitions: it merges small ones and splits that of a hot value.
+    `rebalance` decides otherwise.
+    """
     require(df, *partition_by)
+    if partition_by if rebalance is None else rebalance:
+        df = df.hint("rebalance", *[col(c) for c in partition_by])
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
