@@ -35,11 +35,13 @@ def to_string(df: DataFrame, column: str) -> DataFrame:
 
 
 def to_integer(df: DataFrame, column: str) -> DataFrame:
-    """Cast to a 32-bit integer: fractions are cut off, unreadable text becomes null."""
-    value = col(column)
-    if isinstance(type_of(df, column), T.StringType):
-        # try_cast pays for an exception per bad value; this lets it see few of them.
+    """Cast to a 32-bit integer: fractions are cut off, what does not fit or read as one becomes null."""
+    value, kind = col(column), type_of(df, column)
+    # try_cast pays for an exception per bad value; the conditions let it see few of them.
+    if isinstance(kind, T.StringType):
         value = F.when(value.rlike(WHOLE_NUMBER), value)
+    elif isinstance(kind, (T.LongType, T.FractionalType)):
+        value = F.when((value > -(2**31) - 1) & (value < 2**31), value)
     return df.withColumn(column, value.try_cast("int"))
 
 

@@ -201,3 +201,14 @@ def test_shared_folder_comes_from_the_session(spark, monkeypatch):
     if configured:
         assert shared_path(spark, "x").startswith(configured)
     assert shared_path(spark, "x") != shared_path(spark, "x")
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from colwright.sources.shared import shared_path
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_path(session, "x")

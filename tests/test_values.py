@@ -92,6 +92,12 @@ def test_to_integer(spark, num):
     plain = column(df.withColumn("t", F.col("t").try_cast("int")), "t")
     assert column(cw.to_integer(df, "t"), "t") == plain == [7, 8, -9, 3, None, None, None, None, None, 4]
     assert cw.to_integer(num, "v").schema["v"].dataType.simpleString() == "int"
+    numbers = [2147483647.9, -2147483648.9, 2147483648.0, -2147483649.0, float("nan"), float("inf"), -0.5, None]
+    df = spark.createDataFrame(list(enumerate(numbers)), "i int, v double")
+    want = [2147483647, -2147483648, None, None, None, None, 0, None]
+    assert column(cw.to_integer(df, "v"), "v") == column(df.select("i", F.col("v").try_cast("int")), "v") == want
+    whole = df.select("i", F.when(F.col("i") < 4, F.col("v")).cast("bigint").alias("v"))
+    assert column(cw.to_integer(whole, "v"), "v")[:4] == [2147483647, -2147483648, None, None]
 
 
 def test_concat_and_merge_are_null_if_any_is(num):
