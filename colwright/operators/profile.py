@@ -15,23 +15,63 @@ def _kind(kind: T.DataType) -> str:
     return "integer" if isinstance(kind, T.NumericType) else "string"
 
 
-def _about_distinct(c: Column) -> Column:
-    """Distinct count within about one percent, from a sketch of a few kilobytes."""
-    return F.hll_sketch_estimate(F.hll_sketch_agg(c.cast("string"), 14))
+# Text above this many bytes is told apart by its SHA-256 digest, so that no long text is shuffled.
+SHORT_TEXT = 64
+
+
+def _plain(df: DataFrame, column: str) -> Column:
+    """The column as a bigint, double or text that is equal exactly where the column is."""
+    c, kind = col(column), type_of(df, column)
+    if isinstance(kind, T.IntegralType):
+        return c.cast("bigint")
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return c.cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c)
+    if isinstance(kind, T.BinaryType):
+        c = F.hex(c)
+    text = F.to_json(c) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else c.cast("string")
+    return F.when(F.octet_length(text) > SHORT_TEXT, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
+
+
+def _about_distinct(df: DataFrame) -> DataFrame:
+    """Rows, and distinct values per column within about one percent, from sketches of a few kilobytes."""
+    sketches = [F.hll_sketch_agg(_plain(df, c).cast("string"), 14) for c in df.columns]
+    return df.agg(
+        F.count("*").alias("rows"), *[F.hll_sketch_estimate(s).alias(f"d{i}") for i, s in enumerate(sketches)]
+    )
+
+
+def _distinct(df: DataFrame) -> DataFrame:
+    """Rows, and distinct non-null values per column, in one scan.
+
+    Each row becomes one narrow cell per column, and equal cells are combined before
+    the shuffle. Several count_distinct in one aggregation would instead shuffle
+    cells as wide as the whole table.
+    """
+    plain = df.select(*[_plain(df, c).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    kinds = {"bigint": "whole", "double": "broken", "string": "text"}
+    cells = []
+    for i, f in enumerate(plain.schema.fields):
+        slot = kinds[f.dataType.simpleString()]
+        values = [(F.col(f.name) if name == slot else F.lit(None)).cast(kind).alias(name) for kind, name in kinds.items()]
+        cells.append(F.struct(F.lit(i).alias("i"), *values))
+    value = F.col("whole").isNotNull() | F.col("broken").isNotNull() | F.col("text").isNotNull()
+    combined = plain.select(F.inline(F.array(*cells))).groupBy("i", "whole", "broken", "text").agg(F.count("*").alias("n"))
+    return combined.agg(
+        F.coalesce(F.sum(F.when(F.col("i") == 0, F.col("n"))), F.lit(0)).alias("rows"),
+        *[F.count_if((F.col("i") == i) & value).alias(f"d{i}") for i in range(len(cells))],
+    )
 
 
 def column_profile(df: DataFrame, *, approx: bool = False) -> DataFrame:
     """One row per column: `column_name`, `ftype`, `type` and position `rank`.
 
     `ftype` is `classification` when at most a tenth as many distinct values as
-    rows occur, else `continuous`. Exact distinct counts of k columns put k
-    narrow copies of each row through a (map-side combined) shuffle; `approx`
-    needs a single narrow pass.
+    rows occur, else `continuous`. The counts are exact; `approx` uses sketches,
+    which shuffle next to nothing, for tables of very many distinct values.
     """
-    distinct = _about_distinct if approx else F.count_distinct
-    counts = df.agg(
-        F.count("*").alias("rows"), *[distinct(col(c)).alias(f"d{i}") for i, c in enumerate(df.columns)]
-    )
+    counts = _about_distinct(df) if approx else _distinct(df)
     few = lambda i: F.col(f"d{i}") <= F.col("rows") / 10
     lines = [
         F.struct(

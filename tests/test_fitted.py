@@ -159,6 +159,28 @@ def test_profile(spark):
     assert [tuple(r) for r in cw.column_profile(df, approx=True).collect()] == want
 
 
+def test_profile_counts_every_type(spark):
+    from colwright.operators.profile import _about_distinct, _distinct
+
+    df = spark.sql(
+        "SELECT i, cast(nullif(i % 4, 0) AS float) / 10 AS f, cast(i % 5 AS decimal(5,2)) AS d, i % 2 = 0 AS odd,"
+        " timestamp'2024-11-03 00:00:00' + make_interval(0,0,0,0,0,i*30) AS ts, array('a, b', if(i > 9, 'a', null)) AS a,"
+        " named_struct('x', i % 3) AS s, map('k', i % 6) AS m, encode(concat(i % 7, ''), 'utf-8') AS bin,"
+        " concat(repeat('long ', 100), i % 8) AS t, cast(null AS string) AS nothing,"
+        " if(i = 1, double('nan'), if(i % 2 = 0, 0D, -0D)) AS z FROM (SELECT explode(sequence(1, 40)) AS i)"
+    )
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        want = (40, 40, 3, 5, 2, 40, 2, 3, 6, 7, 8, 0, 2)
+        assert tuple(_distinct(df).first()) == want
+        assert tuple(_about_distinct(df.drop("z")).first()) == want[:-1]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    empty = df.where("i < 0").select("i", "t")
+    assert [r.ftype for r in cw.column_profile(empty).collect()] == ["classification"] * 2
+    assert [r.ftype for r in cw.column_profile(empty, approx=True).collect()] == ["classification"] * 2
+
+
 def test_min_max_mean_describe(spark):
     df = spark.createDataFrame([(-1.9, "3.7"), (2.9, "-4.2"), (None, None)], "v double, t string")
     assert tuple(cw.column_min_max(df, "v").first()) == (-1, 2)
