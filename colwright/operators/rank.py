@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colwright.columns import as_list, col, fresh_name, require
+from colwright.sources.shared import kept
 
 # Up to this n the rows themselves are ranked: each input partition sends at most n
 # ranks of a group to the task that ranks the group.
@@ -47,8 +48,8 @@ def pick_first_n(
 
     Rows that tie at the edge all stay. For a small n, Spark cuts every group to its
     first n ranks before it shuffles, so a hot group is no burden unless very many of
-    its rows tie. A large n, or `split_ties`, ranks value counts instead of rows,
-    with the same result.
+    its rows tie. A large n, or `split_ties`, ranks value counts instead of rows (in a
+    job of its own, when called), with the same result.
     """
     return _pick(df, column, order_column, int(n), True, split_ties)
 
@@ -75,7 +76,8 @@ def _pick_by_counts(df: DataFrame, group: str, value: str, n: int, largest: bool
 
     Rows enter only a count per group and value, which is combined before the
     shuffle, and then an inner join with one unique side: nothing needs the rows
-    of a group, or of a tie, in one task.
+    of a group, or of a tie, in one task. The ranks are kept first, so that Spark knows
+    their size: with few groups they are broadcast and no row is shuffled at all.
     """
     pairs = df.groupBy(col(group).alias("__group"), col(value).alias("__value")).agg(F.count("*").alias("__n"))
     order = F.col("__value").desc() if largest else F.col("__value").asc()
@@ -92,7 +94,7 @@ def _pick_by_counts(df: DataFrame, group: str, value: str, n: int, largest: bool
         .select("__group", "__value", F.col("rank").cast("int").alias("rank"))
     )
     same = col(group).eqNullSafe(F.col("__group")) & col(value).eqNullSafe(F.col("__value"))
-    return df.join(ranks, same).drop("__group", "__value")
+    return df.join(kept(ranks, "ranks"), same).drop("__group", "__value")
 
 
 def deduplicate(df: DataFrame, column: str, *, order_by: str | Sequence[str] | None = None) -> DataFrame:

@@ -79,13 +79,17 @@ def test_profile_scans_once(lineitem):
 def test_groups_are_cut_before_the_shuffle(lineitem):
     for df in (
         cw.pick_first_n(lineitem, "l_suppkey", "l_tax", 3),
-        cw.pick_last_n(lineitem, "l_suppkey", "l_tax", 3, split_ties=True),
+        cw.pick_last_n(lineitem, "l_suppkey", "l_tax", 3),
         cw.deduplicate(lineitem, "l_suppkey", order_by=["l_orderkey", "l_linenumber"]),
     ):
         text = plan(df)
         assert "WindowGroupLimit" in text and "Partial" in text
 
 
+def test_ranking_counts_does_not_shuffle_the_rows(lineitem):
+    assert "Exchange hashpartitioning" not in plan(cw.pick_last_n(lineitem, "l_suppkey", "l_tax", 3, split_ties=True))
+
+
 def test_row_operators_do_not_shuffle(lineitem):
     df = cw.filter_greater(cw.sum_columns(cw.upper(lineitem, "l_linestatus"), ["l_tax", "l_discount"], "x"), "x", 0.05)
     df = cw.bin_labels(df, "l_quantity", [0, 10], [10, 100], ["few", "many"], "class")
