@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path for a table in the session's `spark.checkpoint.dir`.
 
-    Only a local session without that setting falls back to a temporary folder.
+    A session without that setting keeps its tables beside its own, in the warehouse,
+    which a cluster shares too. Nothing is ever kept in a machine's temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="colwright-")
+    root = root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_kept"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

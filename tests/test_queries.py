@@ -6,9 +6,9 @@ import pytest
 
 import __spark_entry__ as contract
 from tests.oracle import database, differences
+from workload import QUERIES, SQL
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
-SQL = contract.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -17,10 +17,10 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert sorted(SQL) == sorted(contract.queries())
+    assert sorted(SQL) == sorted(QUERIES)
 
 
-@pytest.mark.parametrize("key", sorted(contract.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query(spark, con, key):
     df = contract.queries()[key](spark, FOLDER)
     assert differences(df, con, SQL[key]) == []
