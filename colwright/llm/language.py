@@ -49,21 +49,22 @@ def _letters() -> np.ndarray:
 _TABLE: list[np.ndarray] = []
 
 
-def _codes(text: str) -> np.ndarray:
+def _codes(text: str, after_blank: bool) -> np.ndarray:
+    """The letters, with one blank for whatever stands between words."""
     if not _TABLE:
         _TABLE.append(_letters())
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     # Beyond the first plane every character counts as a letter.
     codes = np.where(points < 1 << 16, _TABLE[0][np.minimum(points, (1 << 16) - 1)], points)
     blank = codes == 32
-    return codes[~(blank & np.r_[True, blank[:-1]])]
+    return codes[~(blank & np.r_[after_blank, blank[:-1]])]
 
 
 def counts(text: str) -> np.ndarray | None:
     """How often each cell's n-grams occur in the whole text; None without letters. Works in blocks."""
     total, tail, seen = np.zeros(DIMENSIONS, np.int64), np.array([32], np.uint32), False
     for i in range(0, len(text), BLOCK):
-        new = _codes(text[i : i + BLOCK])
+        new = _codes(text[i : i + BLOCK], bool(tail[-1] == 32))
         if not len(new):
             continue
         seen |= bool((new != 32).any())
@@ -137,7 +138,7 @@ def _cluster(idf: np.ndarray, k: int):
                 break
             c = new
         limit = float(np.quantile((x @ c.T).max(axis=1), REJECT_QUANTILE)) / 2
-        return pd.DataFrame({"lang": [key[0]] * len(c), "centroid": [v.tolist() for v in c], "limit": [limit] * len(c)})
+        return pd.DataFrame({"lang": pd.Series([key[0]] * len(c), dtype=object), "centroid": [v.tolist() for v in c], "limit": [limit] * len(c)})
 
     return run
 
@@ -186,7 +187,7 @@ def _nearest(texts: list[str], model: Model) -> pd.DataFrame:
     score = np.clip(cosine[np.arange(len(at)), at], 0, 1).astype(float)
     return pd.DataFrame(
         {
-            "lang": np.where(has, names[at], UNKNOWN),
+            "lang": pd.Series(np.where(has, names[at], UNKNOWN), dtype=object),
             "score": np.where(has, score, 0.0),
             "rejected": ~has | (score < limits[at]),
         }

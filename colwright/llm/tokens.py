@@ -18,6 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,34 +90,40 @@ class Cutter:
 
 
 def _gather(path: str):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, seen = Cutter.of(path), Counter()
-        for frame in frames:
-            for text in frame["text"]:
-                seen.update(cutter.cut(text)[0])
+
+        def gathered() -> pa.RecordBatch:
+            columns = pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())
+            seen.clear()
+            return pa.RecordBatch.from_arrays(list(columns), ["token", "n"])
+
+        for batch in batches:
+            for text in batch.column("text"):
+                seen.update(cutter.cut(text.as_py())[0])
                 if len(seen) >= GATHERED:
-                    yield pd.DataFrame({"token": list(seen), "n": list(seen.values())})
-                    seen.clear()
-        yield pd.DataFrame({"token": list(seen), "n": list(seen.values())})
+                    yield gathered()
+        yield gathered()
 
     return run
 
 
 def _encode(path: str):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter.of(path)
-        for frame in frames:
-            for i in range(0, len(frame), ENCODED):
-                part = frame.iloc[i : i + ENCODED]
-                yield part.assign(pieces=cutter.pieces(part["token"].tolist()))
+        for batch in batches:
+            for i in range(0, batch.num_rows, ENCODED):
+                part = batch.slice(i, ENCODED)
+                found = pa.array(cutter.pieces(part.column("token").to_pylist()), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("token"), part.column("n"), found], ["token", "n", "pieces"])
 
     return run
 
 
 def pieces(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """token, n, pieces: every different pre-token, its frequency in all texts and its number of tokens."""
-    cut = df.select(whole(text).alias("text")).mapInPandas(_gather(path), "token string, n bigint")
-    return cut.groupBy("token").agg(F.sum("n").alias("n")).mapInPandas(_encode(path), "token string, n bigint, pieces int")
+    cut = df.select(whole(text).alias("text")).mapInArrow(_gather(path), "token string, n bigint")
+    return cut.groupBy("token").agg(F.sum("n").alias("n")).mapInArrow(_encode(path), "token string, n bigint, pieces int")
 
 
 def _count(path: str, listed: dict[str, int]):
