@@ -93,7 +93,10 @@ def literal_like(df: DataFrame, name: str, value: Any) -> Column:
             raise ValueError(f"{value!r} does not fit column {name!r} of type {kind.simpleString()}")
         return F.lit(int(number)).cast(kind)
     if isinstance(kind, T.DecimalType):
-        return F.lit(_decimal(value, name)).cast(kind)
+        number = _decimal(value, name)
+        if not number.is_finite() or number != round(number, kind.scale) or abs(number) >= Decimal(10) ** (kind.precision - kind.scale):
+            raise ValueError(f"{value!r} does not fit column {name!r} of type {kind.simpleString()}")
+        return F.lit(number).cast(kind)
     if isinstance(kind, T.FractionalType):
         return F.lit(float(_decimal(value, name))).cast(kind)
     return literal_for(df, name, value)

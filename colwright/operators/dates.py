@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from colwright.columns import add_column, col, type_of
 from colwright.functions.calendar import datetime_pattern, leap_year, moment, working_day
-from colwright.operators.rank import stable_sort
+from colwright.operators.rank import spread_sort
 
 
 def _moment(df: DataFrame, column: str, pattern: str | None = None) -> Column:
@@ -63,7 +63,7 @@ def is_weekday(df: DataFrame, column: str, new_column: str, *, after: str | None
 def is_leap_year(df: DataFrame, column: str, new_column: str, *, after: str | None = None) -> DataFrame:
     """Whether the year number in an integer column is a leap year."""
     type_of(df, column)
-    return add_column(df, new_column, leap_year(col(column)), after)
+    return add_column(df, new_column, leap_year(col(column).try_cast("bigint")), after)
 
 
 def date_diff(
@@ -92,4 +92,4 @@ def change_date_format(df: DataFrame, column: str, pattern: str, *, read_as: str
 def sort_by_date(df: DataFrame, column: str, pattern: str, *, read_as: str | None = None) -> DataFrame:
     """Sort by the date a column stands for, missing ones last, and render it with `pattern`."""
     when = _moment(df, column, read_as)
-    return change_date_format(stable_sort(df, when.asc_nulls_last()), column, pattern, read_as=read_as)
+    return change_date_format(spread_sort(df, when.asc_nulls_last()), column, pattern, read_as=read_as)

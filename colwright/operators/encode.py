@@ -11,21 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colwright.columns import col, fresh_name, move_after, type_of
-from colwright.operators.joins import join_hot, only_hot
+from colwright.operators.joins import COUNT, join_to_unique, only_hot
 from colwright.plans.fits import Fit, Params, fitted
 from colwright.sources.shared import shared_path
 
-# Up to this many distinct values, none longer than this many bytes, are kept as a list
-# and broadcast; longer lists are written as a table.
-LIST_VALUES = 10_000
-LIST_WIDTH = 1_000
-# A list kept as a table is broadcast up to this size, counting values and ROW_BYTES per row.
-BROADCAST_BYTES = 32 * 2**20
-ROW_BYTES = 32
-# Types whose values survive a trip through text, as a kept list needs it.
-LISTED_TYPES = (T.StringType, T.IntegralType, T.FloatType, T.DoubleType, T.DecimalType, T.BooleanType, T.DateType)
-
-
 def _value(df: DataFrame, column: str) -> Column:
     """The column with NaN counting as missing."""
     if isinstance(type_of(df, column), (T.FloatType, T.DoubleType)):
@@ -35,72 +24,44 @@ def _value(df: DataFrame, column: str) -> Column:
 
 @dataclass(frozen=True)
 class Categories:
-    """Fit of a category list.
+    """Fit of a category list: {"first", "table"}.
 
-    Either {"first", "values"}: all values as text, or {"first", "table", "values_n", "bytes"}: the
-    path of a parquet table of (value, rows, place) and its size. `first` is the lowest
+    `table` is the path of a parquet table of (value, rows, place), whatever its size. `first` is the lowest
     code: 0 if there are exactly two distinct values, counting null as one, else 1.
     """
 
     column: str
-    list_values: int = LIST_VALUES
 
     def run(self, df: DataFrame) -> dict[str, Any]:
-        values = df.select(_value(df, self.column).alias("value"))
-        if isinstance(type_of(df, self.column), LISTED_TYPES):
-            found = _short_list(values, self.list_values)
-            if found is not None:
-                return {"first": 0 if len(found) == 2 else 1, "values": [v for v in found if v is not None]}
-        return _long_list(values)
-
-
-def _short_list(values: DataFrame, most: int) -> list[str | None] | None:
-    """All distinct values as text, or None if they are too many or too long for a list."""
-    text = F.col("value").cast("string")
-    wide = F.octet_length(text) > LIST_WIDTH
-    # Bounds what reaches the driver to `most` + 1 rows of LIST_WIDTH bytes.
-    some = values.distinct().select(F.when(~wide, text).alias("text"), wide.alias("wide")).take(most + 1)
-    if len(some) > most or any(row.wide for row in some):
-        return None
-    return [row.text for row in some]
-
-
-def _long_list(values: DataFrame) -> dict[str, Any]:
-    """Number any amount of distinct values in ascending order without a single-task window.
-
-    The distinct values are range-partitioned and sorted, so that the row id
-    holds the partition in its upper bits and the place within it below. The sorted
-    values are written to the shared folder, because a range partitioning samples
-    its bounds and all uses of the row ids must see the same one.
-    """
-    spark = values.sparkSession
-    path = shared_path(spark, "categories")
-    distinct = values.groupBy("value").agg(F.count("*").alias("rows"))
-    ranged = distinct.repartitionByRange("value").sortWithinPartitions("value")
-    ranged.withColumn("place", F.monotonically_increasing_id()).write.parquet(path)
-    size = spark.read.parquet(path).agg(
-        F.count("*").alias("n"), F.sum(F.octet_length(F.col("value").cast("string"))).alias("bytes")
-    )
-    found = size.first()
-    return {"first": 0 if found.n == 2 else 1, "table": path, "values_n": found.n, "bytes": found.bytes or 0}
-
-
-def _long_codes(table: DataFrame, categories: Mapping[str, Any], name: str) -> DataFrame:
+        """Number the distinct values in ascending order without a single-task window.
+
+        They are range-partitioned and sorted, so that the row id holds the partition in its upper bits and the
+        place within it below. The sorted values are written to the shared folder, because a range partitioning samples
+        its bounds and all uses of the row ids must see the same one.
+        """
+        spark = df.sparkSession
+        path = shared_path(spark, "categories")
+        distinct = df.groupBy(_value(df, self.column).alias("value")).agg(F.count("*").alias("rows"))
+        ranged = distinct.repartitionByRange("value").sortWithinPartitions("value")
+        ranged.withColumn("place", F.monotonically_increasing_id()).write.parquet(path)
+        return {"first": 0 if spark.read.parquet(path).count() == 2 else 1, "table": path}
+
+
+def _codes(table: DataFrame, first: int, name: str, code_name: str) -> DataFrame:
     """Running numbers from the row ids: the place within a partition plus all rows before it."""
     known = table.where(F.col("value").isNotNull()).withColumn("part", F.shiftright("place", 33))
     # One row per partition of the range exchange: safe for one task and for a broadcast.
     sizes = known.groupBy("part").agg(F.count("*").alias("size"), F.min("place").alias("start"))
     before = F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("part", "start", F.coalesce(before, F.lit(0)).alias("before"))
-    code = F.col("before") + F.col("place") - F.col("start") + int(categories["first"])
-    kind = "int" if categories["values_n"] < 2**31 else "long"
+    code = F.col("before") + F.col("place") - F.col("start") + first
     numbered = known.join(F.broadcast(offsets), "part")
-    return numbered.select(F.col("value").alias(name), code.cast(kind).alias("__code"))
+    return numbered.select(F.col("value").alias(name), code.cast("bigint").alias(code_name))
 
 
-def fit_categories(df: DataFrame, column: str, list_values: int = LIST_VALUES) -> Fit:
+def fit_categories(df: DataFrame, column: str) -> Fit:
     type_of(df, column)
-    return {"categories": Categories(column, list_values)}
+    return {"categories": Categories(column)}
 
 
 def encode_category(
@@ -108,39 +69,24 @@ def encode_category(
     column: str,
     new_column: str,
     *,
-    list_values: int = LIST_VALUES,
     after: str | None = None,
     params: Params | None = None,
 ) -> DataFrame:
-    """An integer code per distinct value, in ascending order of the values; null stays null.
+    """A bigint code per distinct value, in ascending order of the values; null stays null.
 
     Codes start at 0 if the column has exactly two distinct values, counting null
     as one, and at 1 otherwise. Fitting runs when the operator is called; values not
-    seen by the fit get no code.
+    seen by the fit get no code. Spark joins the codes by their kept size; rows of hot values are split in any case.
     """
-    fresh_name(df, new_column)
-    categories: Mapping[str, Any] = fitted(df, fit_categories(df, column, list_values), params)["categories"]
-    held = fresh_name(df, "__value")
-    keyed = df.withColumn(held, _value(df, column))
-    if "values" in categories:
-        coded = keyed.join(F.broadcast(_listed(df, column, categories, held)), held, "left")
-    else:
-        table = df.sparkSession.read.parquet(categories["table"])
-        codes = _long_codes(table, categories, held)
-        if categories["bytes"] + categories["values_n"] * ROW_BYTES <= BROADCAST_BYTES:
-            coded = keyed.join(F.broadcast(codes), held, "left")
-        else:
-            counts = table.where(F.col("value").isNotNull()).select(F.col("value").alias(held), F.col("rows").alias("__n"))
-            hot = only_hot(counts, counts.agg(F.sum("__n")).scalar())
-            coded = join_hot(keyed, codes, [held], "left", hot)
     name = fresh_name(df, new_column)
-    out = coded.select(*[col(c) for c in df.columns], col("__code").alias(name))
+    categories: Mapping[str, Any] = fitted(df, fit_categories(df, column), params)["categories"]
+    held, code = fresh_name(df, "__value"), fresh_name(df, "__code")
+    keyed = df.withColumn(held, _value(df, column))
+    table = df.sparkSession.read.parquet(categories["table"])
+    codes = _codes(table, int(categories["first"]), held, code)
+    known = table.where(F.col("value").isNotNull())
+    hot = only_hot(known.select(F.col("value").alias(held), F.col("rows").alias(COUNT)), known.agg(F.sum("rows")).scalar())
+    # A stream's rows cannot be numbered, and come in small batches.
+    coded = keyed.join(codes, held, "left") if df.isStreaming else join_to_unique(keyed, codes, held, hot)
+    out = coded.select(*[col(c) for c in df.columns], col(code).alias(name))
     return out if after is None else move_after(out, [name], after)
-
-
-def _listed(df: DataFrame, column: str, categories: Mapping[str, Any], name: str) -> DataFrame:
-    """The category list as a table, numbered by Spark's own order of the column's type."""
-    texts = df.sparkSession.createDataFrame([(v,) for v in categories["values"]], "text string")
-    values = texts.select(F.col("text").cast(type_of(df, column)).alias(name))
-    place = F.row_number().over(Window.orderBy(name))
-    return values.select(name, (place - 1 + int(categories["first"])).cast("int").alias("__code"))

@@ -56,11 +56,11 @@ def filter_not_null(df: DataFrame, column: str) -> DataFrame:
 def filter_contains(df: DataFrame, column: str, value: str, *, literal: bool = False) -> DataFrame:
     """Keep text that contains the value, case-sensitively.
 
-    `%` and `_` in the value are wildcards unless `literal` is set.
+    `%` and `_` in the value are wildcards unless `literal` is set; a backslash is an ordinary character.
     """
     require(df, column)
     text = col(column).cast("string")
-    return df.where(text.contains(value) if literal else text.like(f"%{value}%"))
+    return df.where(text.contains(value) if literal else text.like("%" + value.replace("\\", "\\\\") + "%"))
 
 
 def filter_startswith(df: DataFrame, column: str, value: str) -> DataFrame:

@@ -26,7 +26,8 @@ SPELLINGS = {
 # A key is hot if it holds more than one row in HOT_SHARE: fewer than HOT_SHARE keys can be.
 HOT_SHARE = 1000
 # Parts into which a key with all rows would be split; a hot key gets its share of them.
-PARTS = 4096
+PARTS = 256
+COUNT, SPLITS = "__rows_of_key", "__splits_of_key"
 
 
 def join_tables(
@@ -36,15 +37,18 @@ def join_tables(
     right_on: str | Sequence[str] | None = None,
     how: str = "inner",
     *,
-    split_hot_keys: bool = False,
+    split_hot_keys: bool = True,
 ) -> DataFrame:
     """Equi-join on pairs of key columns; one key column per pair comes out, under the left name.
 
-    The strategy is Spark's choice: it broadcasts a side only below its size
-    threshold, and adaptive execution splits skewed partitions of a sort-merge
-    join where the join type allows. `split_hot_keys` does this by
-    key instead, for every join type and for null keys too: worth the extra pass
-    over the keys where a few of them hold much of a table.
+    Other columns of the right table whose names the left one has get the ending `_right`.
+
+    Keys that hold more than a thousandth of a table's rows are found first (a count per table when
+    called) and joined apart, on a grid: such a key's left rows are dealt over parts by its share of the
+    left table, its right rows by its share of the right one, and each side is repeated over the other's parts. For these
+    few keys it is known whether the other table has them, so outer, semi and anti joins need no further join for
+    them. Rows with null keys match nothing and never meet in a join where they are hot. All other rows take Spark's
+    own join: broadcast below its size threshold, else sort-merge. `split_hot_keys=False` leaves all to Spark.
     """
     left_on = as_list(left_on)
     right_on = left_on if right_on is None else as_list(right_on)
@@ -57,36 +61,25 @@ def join_tables(
     if how not in HOWS:
         raise ValueError(f"join type {how!r} is none of {HOWS}")
     right = _named_as(right, left_on, right_on)
+    right = _apart(left, right, left_on)
     if not split_hot_keys:
         return left.join(right, on=left_on, how=how)
-
-    # Both sides of a split join must agree on the hot keys, even where the
-    # table itself is not the same each time it is computed: hence kept.
-    def hot_left() -> DataFrame:
-        return kept(hot_keys(left, left_on), "hot-keys")
-
-    def hot_right() -> DataFrame:
-        return kept(hot_keys(right, left_on), "hot-keys")
-
-    if how == "right":
-        swapped = _join_left(right, left, left_on, hot_right(), hot_left())
-        rest = [c for c in left.columns if c not in left_on] + [c for c in right.columns if c not in left_on]
-        return swapped.select(*[col(c) for c in [*left_on, *rest]])
-    if how == "left":
-        return _join_left(left, right, left_on, hot_left(), hot_right())
-    if how == "full":
-        hot, hot_there = hot_left(), hot_right()
-        unmatched = join_hot(right, left, left_on, "left_anti", hot_there)
-        return _join_left(left, right, left_on, hot, hot_there).unionByName(unmatched, allowMissingColumns=True)
-    return join_hot(left, right, left_on, how, hot_left(), hot_right() if how == "inner" else None)
+    return _split_join(left, right, left_on, how)
 
 
-def _join_left(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataFrame, hot_right: DataFrame) -> DataFrame:
-    """Left join. Right rows can be dealt out only where all left rows match: if need be, those are joined apart."""
-    if hot_right.isEmpty():
-        return join_hot(left, right, keys, "left", hot)
-    matched = join_hot(left, right, keys, "inner", hot, hot_right)
-    return matched.unionByName(join_hot(left, right, keys, "left_anti", hot), allowMissingColumns=True)
+def _apart(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rename the right columns that clash with left ones."""
+    taken = {c.lower() for c in [*left.columns, *right.columns]}
+    theirs = {c.lower() for c in left.columns} - {k.lower() for k in keys}
+    names = []
+    for c in right.columns:
+        name = c
+        if c.lower() in theirs:
+            while name.lower() in taken:
+                name += "_right"
+            taken.add(name.lower())
+        names.append(name)
+    return right.toDF(*names)
 
 
 def _named_as(right: DataFrame, left_on: Sequence[str], right_on: Sequence[str]) -> DataFrame:
@@ -98,60 +91,102 @@ def _named_as(right: DataFrame, left_on: Sequence[str], right_on: Sequence[str])
     return right.select(*[col(c).alias(renamed.get(c, c)) for c in right.columns])
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The keys that hold more than one row in HOT_SHARE, each with its number of `__splits`."""
-    keyed = df.select(*[col(k) for k in keys]).where(_complete(keys))
-    counts = keyed.groupBy(*[col(k) for k in keys]).agg(F.count("*").alias("__n"))
-    return only_hot(counts, keyed.agg(F.count("*")).scalar())
-
-
 def only_hot(counts: DataFrame, total: Column) -> DataFrame:
-    """Keep the hot ones of the keys counted in `__n`: fewer than HOT_SHARE rows, safe to broadcast."""
-    splits = F.ceil(F.col("__n") / total * PARTS).cast("int")
-    hot = (F.col("__n") > 1) & (F.col("__n") * HOT_SHARE > total)
-    return counts.where(hot).withColumn("__splits", splits).drop("__n")
+    """Keep the hot ones of the keys counted in COUNT: fewer than HOT_SHARE rows, safe to broadcast."""
+    hot = (F.col(COUNT) > 1) & (F.col(COUNT) * HOT_SHARE > total)
+    return counts.where(hot).withColumn(SPLITS, F.ceil(F.col(COUNT) / total * PARTS).cast("int")).drop(COUNT)
 
 
-def join_hot(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    how: str,
-    hot: DataFrame,
-    hot_right: DataFrame | None = None,
-) -> DataFrame:
-    """Inner, left, semi or anti join in which the rows of hot keys go to many tasks.
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys, incomplete ones as one key of nulls, that hold more than one row in HOT_SHARE, with their SPLITS."""
+    complete = _complete(keys)
+    keyed = df.select(*[F.when(complete, col(k)).alias(k) for k in keys])
+    counts = keyed.groupBy(*[col(k) for k in keys]).agg(F.count("*").alias(COUNT))
+    return only_hot(counts, keyed.agg(F.count("*")).scalar())
 
-    The left rows of a key in `hot` are dealt out over its splits, and the right rows
-    of that key repeated for each of them. Left rows with a null key match
-    nothing and are dealt out as well. An inner join may do the same the other
-    way round for keys in `hot_right`.
-    """
-    keys = list(keys)
-    if how in ("left_semi", "left_anti"):
-        right = right.select(*[col(k) for k in keys]).distinct()
-    marks = hot.withColumn("__left", F.lit(True))
-    if hot_right is not None:
-        marks = marks.unionByName(hot_right.join(hot, keys, "left_anti").withColumn("__left", F.lit(False)))
-    marks = F.broadcast(marks)
-
-    def salted(df: DataFrame, deals: Column, lone: Column | None, repeats: bool) -> DataFrame:
+
+def _split_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """All branches of a join agree on the hot keys, because they are kept, whatever the tables do when computed again."""
+    found = kept(
+        hot_keys(left, keys).withColumn("side", F.lit("l")).unionByName(hot_keys(right, keys).withColumn("side", F.lit("r"))),
+        "hot-keys",
+    )
+    if found.isEmpty():
+        return left.join(right, on=list(keys), how=how)
+    splits = lambda side: F.max(F.when(F.col("side") == side, F.col(SPLITS)))
+    marks = found.groupBy(*[col(k) for k in keys]).agg(
+        F.coalesce(splits("l"), F.lit(1)).alias("__l"), F.coalesce(splits("r"), F.lit(1)).alias("__r")
+    )
+    known = marks.where(_complete(keys))
+    there = [
+        df.join(F.broadcast(known.select(*[col(k) for k in keys])), list(keys), "left_semi").select(*[col(k) for k in keys]).distinct()
+        for df in (left, right)
+    ]
+    for name, df in zip(("__in_l", "__in_r"), there):
+        marks = marks.join(df.withColumn(name, F.lit(True)), list(keys), "left")
+    marks = kept(marks.withColumns({n: F.coalesce(n, F.lit(False)) for n in ("__in_l", "__in_r")}), "hot-keys")
+
+    helpers = {n: _unused(n, left, right) for n in ("__l", "__r", "__in_l", "__in_r", "__at", "__a", "__b")}
+    marks = marks.select(*[col(k) for k in keys], *[col(n).alias(helpers[n]) for n in ("__l", "__r", "__in_l", "__in_r")])
+    names = [_unused(f"__key{i}", left, right) for i in range(len(keys))]
+    joined_marks = F.broadcast(marks.select(*[col(k).alias(n) for k, n in zip(keys, names)], *[col(n) for n in marks.columns[len(keys) :]]))
+    l, r, in_l, in_r, at, a, b = (col(helpers[n]) for n in ("__l", "__r", "__in_l", "__in_r", "__at", "__a", "__b"))
+
+    def same(df: DataFrame) -> Column:
+        # A row with an incomplete key belongs to the key of nulls, if that one is hot.
+        complete = reduce(lambda x, y: x & y, [df[_quoted(k)].isNotNull() for k in keys])
+        return reduce(lambda x, y: x & y, [F.when(complete, df[_quoted(k)]).eqNullSafe(col(n)) for k, n in zip(keys, names)])
+
+    def hot(df: DataFrame) -> DataFrame:
+        return df.join(joined_marks, same(df))
+
+    def cold(df: DataFrame) -> DataFrame:
+        return df.join(joined_marks, same(df), "left_anti")
+
+    parts = [cold(left).join(cold(right), on=list(keys), how=how)]
+    columns = parts[0].columns
+    if how == "left_semi":
+        parts.append(hot(left).where(in_r).select(*[col(c) for c in columns]))
+    elif how == "left_anti":
+        parts.append(hot(left).where(~in_r).select(*[col(c) for c in columns]))
+    else:
         # By position, not by content: copies of one row must not end up together either.
-        numbered = df.withColumn("__at", F.monotonically_increasing_id()).join(marks, keys, "left")
-        dealt = F.pmod("__at", F.col("__splits")).cast("int")
-        salt = F.when(deals, dealt)
-        if lone is not None:
-            salt = salt.when(lone, F.pmod("__at", F.lit(PARTS)).cast("int"))
-        if repeats:
-            copies = F.sequence(F.lit(0), F.col("__splits") - 1)
-            salt = F.explode(F.when(F.col("__splits").isNotNull() & ~deals, copies).otherwise(F.array(salt.otherwise(0))))
-        else:
-            salt = salt.otherwise(0)
-        return numbered.withColumn("__salt", salt).drop("__at", "__splits", "__left")
-
-    here = salted(left, F.col("__left"), ~_complete(keys), repeats=hot_right is not None)
-    there = salted(right, F.col("__left") == F.lit(False), None, repeats=True)
-    return here.join(there, on=[*keys, "__salt"], how=how).drop("__salt")
+        here = hot(left).where(in_l & in_r).withColumn(helpers["__at"], F.monotonically_increasing_id())
+        here = here.withColumn(helpers["__a"], F.pmod(at, l).cast("int")).withColumn(helpers["__b"], F.explode(F.sequence(F.lit(0), r - 1)))
+        there_ = hot(right).where(in_l & in_r).withColumn(helpers["__at"], F.monotonically_increasing_id())
+        there_ = there_.withColumn(helpers["__b"], F.pmod(at, r).cast("int")).withColumn(helpers["__a"], F.explode(F.sequence(F.lit(0), l - 1)))
+        cells = [helpers["__a"], helpers["__b"]]
+        here = here.select(*[col(c) for c in left.columns], *[col(c) for c in cells])
+        there_ = there_.select(*[col(c) for c in right.columns], *[col(c) for c in cells])
+        parts.append(here.join(there_, on=[*keys, *cells]).select(*[col(c) for c in columns]))
+        if how in ("left", "full"):
+            parts.append(hot(left).where(~in_r).select(*[col(c) for c in left.columns]))
+        if how in ("right", "full"):
+            parts.append(hot(right).where(~in_l).select(*[col(c) for c in right.columns]))
+    out = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    return out.select(*[col(c) for c in columns])
+
+
+def join_to_unique(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Left join to a table with one row per key, in which the left rows of hot keys and of nulls go to many tasks."""
+    at, salt = _unused("__at", left, right), _unused("__salt", left, right)
+    marks = F.broadcast(hot)
+    dealt = F.when(col(key).isNull(), F.pmod(at, F.lit(PARTS))).otherwise(F.pmod(at, F.coalesce(SPLITS, F.lit(1)))).cast("int")
+    here = left.withColumn(at, F.monotonically_increasing_id()).join(marks, key, "left").withColumn(salt, dealt).drop(at, SPLITS)
+    copies = F.sequence(F.lit(0), F.coalesce(SPLITS, F.lit(1)) - 1)
+    there = right.join(marks, key, "left").withColumn(salt, F.explode(copies)).drop(SPLITS)
+    return here.join(there, on=[key, salt], how="left").drop(salt)
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _unused(name: str, *tables: DataFrame) -> str:
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def _complete(keys: Sequence[str]) -> Column:

@@ -6,8 +6,9 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from colwright.columns import add_column, as_list, col, require
+from colwright.columns import add_column, as_list, col, is_numeric, require, type_of
 from colwright.functions.arithmetic import fold, log4, sqrt4, square
 
 
@@ -67,20 +68,37 @@ def round_column(df: DataFrame, column: str, digits: int) -> DataFrame:
 
 def sqrt_new(df: DataFrame, column: str, new_column: str, *, after: str | None = None) -> DataFrame:
     """Square root, four digits; NaN for negatives."""
-    return _derive(df, column, new_column, sqrt4(col(column)), after)
+    return _derive(df, column, new_column, sqrt4(col(column).try_cast("double")), after)
 
 
 def square_new(df: DataFrame, column: str, new_column: str, *, after: str | None = None) -> DataFrame:
     return _derive(df, column, new_column, square(col(column)), after)
 
 
+def _rounded(df: DataFrame, column: str, how: Callable[[Column], Column]) -> Column:
+    """The function of the column, null where a double is no bigint or the text no number."""
+    if isinstance(type_of(df, column), (T.IntegralType, T.DecimalType)):
+        return how(col(column))
+    x = col(column).try_cast("double")
+    return F.when((x >= -(2.0**63)) & (x < 2.0**63), how(x))
+
+
 def ceil_new(df: DataFrame, column: str, new_column: str, *, after: str | None = None) -> DataFrame:
-    return _derive(df, column, new_column, F.ceil(col(column)), after)
+    """Smallest whole number not below the value; null for text, NaN and what no bigint holds."""
+    return _derive(df, column, new_column, _rounded(df, column, F.ceil), after)
 
 
 def floor_new(df: DataFrame, column: str, new_column: str, *, after: str | None = None) -> DataFrame:
-    return _derive(df, column, new_column, F.floor(col(column)), after)
+    """Largest whole number not above the value; null for text, NaN and what no bigint holds."""
+    return _derive(df, column, new_column, _rounded(df, column, F.floor), after)
 
 
 def abs_new(df: DataFrame, column: str, new_column: str, *, after: str | None = None) -> DataFrame:
-    return _derive(df, column, new_column, F.abs(col(column)), after)
+    """Magnitude; null where the type does not hold it, and for text."""
+    c = col(column)
+    if not is_numeric(df, column):
+        c = c.try_cast("double")
+    elif isinstance(type_of(df, column), T.IntegralType):
+        lowest = -(2 ** (8 * {"byte": 1, "short": 2, "integer": 4, "long": 8}[type_of(df, column).typeName()] - 1))
+        c = F.when(c != lowest, c)
+    return _derive(df, column, new_column, F.abs(c), after)

@@ -6,108 +6,88 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colwright.columns import as_list, col, fresh_name, require
 from colwright.sources.shared import kept
 
-# Up to this n the rows themselves are ranked: each input partition sends at most n
-# ranks of a group to the task that ranks the group.
-RANKED_ROWS = 100
-# Up to this n Spark cuts groups before a shuffle (its windowGroupLimitThreshold) ...
-GROUP_LIMIT = 1000
-# ... and beyond it a group's values are first ranked within so many parts.
-PARTS = 512
+def spread_sort(df: DataFrame, *order: Column) -> DataFrame:
+    """Global sort in which a hash of the row is the last key.
 
+    The hash lets the range partitioning cut through a hot value; sorted on the value
+    alone, all its rows would share a task (many full copies of one row still do). It is deterministic, so filters
+    after the sort still reach the scan. Rows that tie come out in the order of their hashes.
+    """
+    tie = fresh_name(df, "__tie")
+    hashed = [col(f.name) for f in df.schema.fields if _orderable(f.dataType)]
+    return df.withColumn(tie, F.xxhash64(*hashed) if hashed else F.lit(0)).orderBy(*order, col(tie)).drop(tie)
 
-def stable_sort(df: DataFrame, *order: Column) -> DataFrame:
-    """Global sort in which equal rows keep their order.
 
-    The row position as the last sort key also lets the range partitioning cut
-    through a hot value; sorted on the value alone, all its rows would share a task.
-    """
-    position = fresh_name(df, "__position")
-    return df.withColumn(position, F.monotonically_increasing_id()).orderBy(*order, col(position)).drop(position)
+def _orderable(kind: T.DataType) -> bool:
+    """Whether Spark can hash and compare the type: maps it can't, wherever they are."""
+    return "map<" not in kind.simpleString() and "variant" not in kind.simpleString()
 
 
 def sort_asc(df: DataFrame, column: str) -> DataFrame:
     """Ascending, nulls first."""
     require(df, column)
-    return stable_sort(df, col(column).asc())
+    return spread_sort(df, col(column).asc())
 
 
 def sort_desc(df: DataFrame, column: str) -> DataFrame:
     """Descending, nulls last."""
     require(df, column)
-    return stable_sort(df, col(column).desc())
+    return spread_sort(df, col(column).desc())
 
 
-def pick_first_n(
-    df: DataFrame, column: str, order_column: str, n: int, *, split_ties: bool = False
-) -> DataFrame:
+def pick_first_n(df: DataFrame, column: str, order_column: str, n: int) -> DataFrame:
     """Per value of `column` the rows with the n largest `order_column`, and their `rank`.
 
-    Rows that tie at the edge all stay. For a small n, Spark cuts every group to its
-    first n ranks before it shuffles, so a hot group is no burden unless very many of
-    its rows tie. A large n, or `split_ties`, ranks value counts instead of rows (in a
-    job of its own, when called), with the same result.
+    Rows that tie at the edge all stay. Values are ranked, not rows, in a job of its own when called: rows enter only a
+    count per group and value. The counts are dealt by ranges of (group, value), and running sums within a range plus the sums of
+    a group's earlier ranges are the ranks. So no task needs a group, or a tie, as a whole, at any n.
     """
-    return _pick(df, column, order_column, int(n), True, split_ties)
+    return _pick(df, column, order_column, int(n), True)
 
 
-def pick_last_n(
-    df: DataFrame, column: str, order_column: str, n: int, *, split_ties: bool = False
-) -> DataFrame:
+def pick_last_n(df: DataFrame, column: str, order_column: str, n: int) -> DataFrame:
     """As `pick_first_n`, with the n smallest values."""
-    return _pick(df, column, order_column, int(n), False, split_ties)
+    return _pick(df, column, order_column, int(n), False)
 
 
-def _pick(df: DataFrame, group: str, value: str, n: int, largest: bool, split_ties: bool) -> DataFrame:
+def _pick(df: DataFrame, group: str, value: str, n: int, largest: bool) -> DataFrame:
     require(df, group, value)
     fresh_name(df, "rank")
-    if split_ties or n > RANKED_ROWS:
-        return _pick_by_counts(df, group, value, n, largest)
-    order = col(value).desc() if largest else col(value).asc()
-    window = Window.partitionBy(col(group)).orderBy(order)
-    return df.withColumn("rank", F.rank().over(window)).where(F.col("rank") <= n)
-
-
-def _pick_by_counts(df: DataFrame, group: str, value: str, n: int, largest: bool) -> DataFrame:
-    """Rank the distinct values of each group, not its rows, and join the ranks back.
-
-    Rows enter only a count per group and value, which is combined before the
-    shuffle, and then an inner join with one unique side: nothing needs the rows
-    of a group, or of a tie, in one task. The ranks are kept first, so that Spark knows
-    their size: with few groups they are broadcast and no row is shuffled at all.
-    """
-    pairs = df.groupBy(col(group).alias("__group"), col(value).alias("__value")).agg(F.count("*").alias("__n"))
-    order = F.col("__value").desc() if largest else F.col("__value").asc()
-    if n > GROUP_LIMIT:
-        part = Window.partitionBy("__group", F.pmod(F.xxhash64("__value"), F.lit(PARTS))).orderBy(order)
-        pairs = pairs.withColumn("__at", F.row_number().over(part)).where(F.col("__at") <= n)
-    whole = Window.partitionBy("__group").orderBy(order)
-    before = F.sum("__n").over(whole.rowsBetween(Window.unboundedPreceding, -1))
-    ranks = (
-        pairs.withColumn("__at", F.row_number().over(whole))
-        .where(F.col("__at") <= n)
-        .withColumn("rank", F.coalesce(before, F.lit(0)) + 1)
-        .where(F.col("rank") <= n)
-        .select("__group", "__value", F.col("rank").cast("int").alias("rank"))
+    group_, value_ = fresh_name(df, "__group"), fresh_name(df, "__value")
+    order = F.col("v").desc() if largest else F.col("v").asc()
+    pairs = df.groupBy(col(group).alias("g"), col(value).alias("v")).agg(F.count("*").alias("n"))
+    dealt = kept(pairs.repartitionByRange(F.col("g"), order).withColumn("part", F.spark_partition_id()), "values")
+    before = Window.unboundedPreceding, -1
+    inner = Window.partitionBy("g", "part").orderBy(order).rowsBetween(*before)
+    # A group has at most one row per range here.
+    sums = dealt.groupBy("g", "part").agg(F.sum("n").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy("part").rowsBetween(*before)), F.lit(0))
+    earlier = sums.select(F.col("g").alias("h"), F.col("part").alias("p"), earlier.alias("earlier"))
+    ranked = dealt.withColumn("here", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(
+        earlier, F.col("g").eqNullSafe(F.col("h")) & (F.col("part") == F.col("p"))
     )
-    same = col(group).eqNullSafe(F.col("__group")) & col(value).eqNullSafe(F.col("__value"))
-    return df.join(kept(ranks, "ranks"), same).drop("__group", "__value")
+    rank = F.col("earlier") + F.col("here") + 1
+    ranks = ranked.where(rank <= n).select(F.col("g").alias(group_), F.col("v").alias(value_), rank.cast("int").alias("rank"))
+    same = col(group).eqNullSafe(F.col(group_)) & col(value).eqNullSafe(F.col(value_))
+    return df.join(kept(ranks, "ranks"), same).drop(group_, value_)
 
 
 def deduplicate(df: DataFrame, column: str, *, order_by: str | Sequence[str] | None = None) -> DataFrame:
-    """One row per value of the column (null is one value).
+    """One row per value of the column (null is one value): the first in the order of `order_by`, then of all other columns.
 
-    Any row of the group may stay; with `order_by` it is the first one in that order.
-    Both forms reduce each group before the shuffle.
+    So the row that stays is the same whenever the table is computed. Groups are reduced before the shuffle.
     """
     require(df, column)
-    if order_by is None:
-        return df.dropDuplicates([column])
-    order_by = as_list(order_by)
-    require(df, *order_by)
+    first = [] if order_by is None else as_list(order_by)
+    require(df, *first)
+    rest = [f for f in df.schema.fields if f.name not in (column, *first)]
+    order = [col(c).asc() for c in first]
+    order += [(col(f.name) if _orderable(f.dataType) else F.to_json(col(f.name))).asc() for f in rest]
     place = fresh_name(df, "__place")
-    window = Window.partitionBy(col(column)).orderBy(*[col(c).asc() for c in order_by])
+    window = Window.partitionBy(col(column)).orderBy(*(order or [col(column)]))
     return df.withColumn(place, F.row_number().over(window)).where(col(place) == 1).drop(place)

@@ -20,8 +20,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this many rows the values themselves are the buckets, and one pass is enough.
-ONE_PASS_ROWS = 200_000
 # Buckets per zoomed range; bounds the groups of a pass and hence its ranking window.
 BUCKETS = 4096
 
@@ -91,7 +89,10 @@ def exact_quantiles(df: DataFrame, wanted: Sequence[Quantiles]) -> list[list[flo
         searches.append(_Search(i, end.n, places, dict.fromkeys(ranks, (end.lo, end.hi))))
 
     while still_open := [s for s in searches if s.open_ranks]:
+        before = [dict(s.spans) for s in still_open]
         _narrow(data, still_open)
+        if before == [s.spans for s in still_open]:
+            raise RuntimeError("the table changes while its quantiles are computed: write it down first")
     return [s.result() for s in searches]
 
 
@@ -100,7 +101,7 @@ def _narrow(data: DataFrame, searches: Sequence[_Search]) -> None:
     cells = []
     for s in searches:
         v = F.col(f"v{s.number}")
-        bucket = v if s.rows <= ONE_PASS_ROWS else _bucket(v, s.open_spans)
+        bucket = _bucket(v, s.open_spans)
         cells.append(F.struct(F.lit(s.number).alias("i"), bucket.cast("double").alias("bucket"), v.alias("v")))
     counts = (
         data.select(F.inline(F.array(*cells)))
@@ -108,7 +109,7 @@ def _narrow(data: DataFrame, searches: Sequence[_Search]) -> None:
         .groupBy("i", "bucket")
         .agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
     )
-    # Bucket counts only: per column ONE_PASS_ROWS rows at most.
+    # Bucket counts only: a few times BUCKETS rows per column.
     sorted_ = Window.partitionBy("i").orderBy("lo").rowsBetween(Window.unboundedPreceding, 0)
     holds = [
         (F.col("i") == s.number) & (F.col("upto") - F.col("n") < rank) & (F.col("upto") >= rank)

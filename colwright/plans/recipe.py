@@ -3,18 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 from colwright.plans.fits import Fit, Params, settle
-from colwright.plans.registry import FIT, Operator, operator
-
-# A lazy fit is a subquery over all steps before it, including the fits among them,
-# so dependent fits double the plan each time. From this many on they run up front.
-LAZY_ROUNDS = 2
+from colwright.plans.registry import CLOSING, FIT, Operator, operator
 
 
 @dataclass(frozen=True)
@@ -33,32 +29,31 @@ Tables = Mapping[str, DataFrame]
 def apply_recipe(df: DataFrame, steps: Iterable[Step], tables: Tables | None = None) -> DataFrame:
     """Apply the steps in order.
 
-    Fits that look at the same state of the table share one scan. Steps that
-    come with their parameters are applied as they are. A join step names
+    Fits run when it is called, those that look at the same state of the table in one scan. Steps that
+    come with their parameters are applied as they are; steps without fits run nothing. A join step names
     its right table as `right`, to be found in `tables`.
     """
-    return _replay(df, steps, tables or {}, lambda round_: round_ < LAZY_ROUNDS)[0]
+    return _replay(df, steps, tables or {})[0]
 
 
 def fit_recipe(df: DataFrame, steps: Iterable[Step], tables: Tables | None = None) -> list[Step]:
     """Fit all steps on this table, for use on others: one job per round of independent fits."""
-    return _replay(df, steps, tables or {}, lambda round_: False)[1]
+    return _replay(df, steps, tables or {})[1]
 
 
 def _replay(
-    df: DataFrame, steps: Iterable[Step], tables: Tables, lazy: Callable[[int], bool]
+    df: DataFrame, steps: Iterable[Step], tables: Tables
 ) -> tuple[DataFrame, list[Step]]:
     """Collect steps while all fits among them see the same table, then fit and apply them."""
     done: list[Step] = []
     waiting: list[tuple[Step, Fit | None]] = []
     written: set[str] = set()
-    rows_changed, rounds = False, 0
+    rows_changed = False
 
     def catch_up() -> DataFrame:
-        nonlocal rows_changed, rounds
+        nonlocal rows_changed
         fits = [fit for _, fit in waiting if fit is not None]
-        found = iter(settle(df, fits, lazy(rounds)) if fits else [])
-        rounds += bool(fits)
+        found = iter(settle(df, fits, lazy=False) if fits else [])
         out = df
         for step, fit in waiting:
             if fit is not None:
@@ -70,8 +65,12 @@ def _replay(
         rows_changed = False
         return out
 
+    closed = None
     for step in steps:
         key, op = operator(step.op)
+        if closed:
+            raise ValueError(f"step {step.op} comes after {closed}, which ends a recipe")
+        closed = key if op.kind == CLOSING else None
         step = replace(step, op=key)
         fit = None
         if op.fit is not None and step.params is None:
@@ -143,8 +142,25 @@ def steps_of(table: DataFrame) -> list[Step]:
 
 
 def save_recipe(spark: SparkSession, steps: Iterable[Step], path: str) -> None:
-    steps_table(spark, steps).write.mode("overwrite").parquet(path)
+    """Save the steps below `path`, and with them copies of the category tables that their parameters name."""
+    saved = []
+    for i, step in enumerate(steps):
+        categories = (step.params or {}).get("categories")
+        if categories:
+            copy = f"tables/{i}"
+            spark.read.parquet(categories["table"]).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{copy}")
+            step = replace(step, params={**step.params, "categories": {**categories, "table": copy}})
+        saved.append(step)
+    steps_table(spark, saved).write.mode("overwrite").parquet(f"{path.rstrip('/')}/steps")
 
 
 def load_recipe(spark: SparkSession, path: str) -> list[Step]:
-    return steps_of(spark.read.parquet(path))
+    """The steps of a saved recipe, whose tables are those saved with it."""
+    steps = []
+    for step in steps_of(spark.read.parquet(f"{path.rstrip('/')}/steps")):
+        categories = (step.params or {}).get("categories")
+        if categories:
+            table = f"{path.rstrip('/')}/{categories['table']}"
+            step = replace(step, params={**step.params, "categories": {**categories, "table": table}})
+        steps.append(step)
+    return steps

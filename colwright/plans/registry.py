@@ -7,11 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from colwright.operators import binning, dates, encode, filters, impute, joins, numeric, rank, scale, structure, text
+from colwright.operators import binning, dates, encode, filters, impute, joins, numeric, profile, rank, scale, structure, text
 from colwright.plans.fits import Fit
+from colwright.sources import tables
 
-# How an operator runs: on each row alone, on parameters fitted to the table, or with a shuffle.
-ROW, FIT, SHUFFLE = "row", "fit", "shuffle"
+# How an operator runs: on each row alone, on parameters fitted to the table, with a shuffle, or
+# as the last step of a recipe, because what it returns is no longer the table.
+ROW, FIT, SHUFFLE, CLOSING = "row", "fit", "shuffle", "closing"
 
 
 @dataclass(frozen=True)
@@ -37,6 +39,15 @@ def _fewer(*functions: Callable[..., DataFrame]) -> dict[str, Operator]:
     return {f.__name__: Operator(f, changes_rows=True) for f in functions}
 
 
+def _closing(function: Callable[..., DataFrame]) -> Operator:
+    return Operator(function, CLOSING, changes_rows=True)
+
+
+def _closing_whole(function: Callable[..., DataFrame]) -> Operator:
+    """Of the table as a whole; the step's column is not looked at."""
+    return _closing(lambda df, column, **args: function(df, **args))
+
+
 OPERATORS: dict[str, Operator] = {
     **_rows(
         structure.drop_column,
@@ -119,7 +130,7 @@ OPERATORS: dict[str, Operator] = {
     "scale_minmax": _fit(scale.scale_minmax, scale.fit_minmax, changes_rows=True),
     "scale_robust": _fit(scale.scale_robust, scale.fit_robust, "approx"),
     "bin_quantile": _fit(binning.bin_quantile, binning.fit_quantile, "approx"),
-    "encode_category": _fit(encode.encode_category, encode.fit_categories, "list_values"),
+    "encode_category": _fit(encode.encode_category, encode.fit_categories),
     "sort_asc": Operator(rank.sort_asc, SHUFFLE),
     "sort_desc": Operator(rank.sort_desc, SHUFFLE),
     "sort_by_date": Operator(dates.sort_by_date, SHUFFLE),
@@ -127,6 +138,18 @@ OPERATORS: dict[str, Operator] = {
     "pick_last_n": Operator(rank.pick_last_n, SHUFFLE, changes_rows=True),
     "deduplicate": Operator(rank.deduplicate, SHUFFLE, changes_rows=True),
     "join_tables": Operator(joins.join_tables, SHUFFLE, changes_rows=True),
+    "column_min_max": _closing(profile.column_min_max),
+    "column_mean": _closing(profile.column_mean),
+    "column_describe": _closing(profile.column_describe),
+    "distinct_values": _closing(profile.distinct_values),
+    "distinct_count": _closing(profile.distinct_count),
+    "max_split_size": _closing(structure.max_split_size),
+    "column_profile": _closing_whole(profile.column_profile),
+    "column_metadata": _closing_whole(profile.column_metadata),
+    "row_count": _closing_whole(profile.row_count),
+    "table_size": _closing_whole(profile.table_size),
+    "preview": _closing_whole(tables.preview),
+    "preview_random": _closing_whole(tables.preview_random),
 }
 
 # Operation ids found in recorded recipes, and the operators they stand for.

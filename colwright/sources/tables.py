@@ -4,20 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colwright.columns import col, fresh_name, require
 
+# Random parts among which a random preview is drawn.
+PARTS = 512
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with a header row.
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, **options: str | bool) -> DataFrame:
+    """CSV with a header row; `options` go to Spark's reader (`multiLine=True, escape='"'` for text with line breaks).
 
     Without a schema the types are inferred, which reads the file once more: give
     one for large files.
     """
-    reader = spark.read.option("header", True)
+    reader = spark.read.options(**{"header": True, **options})
     reader = reader.option("inferSchema", True) if schema is None else reader.schema(schema)
     return reader.csv(path)
 
@@ -59,14 +62,13 @@ def preview(df: DataFrame, n: int = 1000) -> DataFrame:
 def preview_random(df: DataFrame, n: int = 1000, seed: int | None = None) -> DataFrame:
     """n random rows, or all rows of a smaller table, each as a JSON object in the column `row`.
 
-    The rows with the n smallest of independent random numbers. A bound on those
-    numbers, set from the row count, leaves some hundred candidates more than needed
-    for the final choice; otherwise every input partition would send n of them
-    to one task. The bound sits ten standard deviations above n, so it does
-    not come short of n rows in practice (less likely than one in 10^20).
+    The rows with the n smallest of independent random numbers, in one scan. Each of PARTS random parts
+    is cut to its n first rows (before the shuffle, where Spark limits groups), and the final choice is among those.
     """
-    lot = fresh_name(df, "__lot")
-    rows = df.agg(F.count("*").cast("double")).scalar()
-    candidates = n + 10 * n**0.5 + 100
+    lot, part = fresh_name(df, "__lot"), fresh_name(df, "__part")
+    place = fresh_name(df, "__place")
     drawn = df.withColumn(lot, F.rand() if seed is None else F.rand(seed))
-    return _as_json(drawn.where(col(lot) * rows < candidates).orderBy(col(lot)).limit(n).drop(lot))
+    drawn = drawn.withColumn(part, F.pmod(F.xxhash64(col(lot)), F.lit(PARTS)))
+    first = F.row_number().over(Window.partitionBy(col(part)).orderBy(col(lot)))
+    chosen = drawn.withColumn(place, first).where(col(place) <= n).orderBy(col(lot)).limit(n)
+    return _as_json(chosen.select(*[col(c) for c in df.columns]))

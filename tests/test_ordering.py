@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import colwright as cw
@@ -16,12 +17,9 @@ def rows(df):
 def test_sorts(spark):
     values = [3, None, 1, 2, None, 3, 1]
     df = spark.createDataFrame(list(enumerate(values)), "i int, v int").coalesce(1)
-    assert [tuple(r) for r in cw.sort_asc(df, "v").collect()] == [
-        (1, None), (4, None), (2, 1), (6, 1), (3, 2), (0, 3), (5, 3),
-    ]
-    assert [tuple(r) for r in cw.sort_desc(df, "v").collect()] == [
-        (0, 3), (5, 3), (3, 2), (2, 1), (6, 1), (1, None), (4, None),
-    ]
+    assert [r.v for r in cw.sort_asc(df, "v").collect()] == [None, None, 1, 1, 2, 3, 3]
+    assert [r.v for r in cw.sort_desc(df, "v").collect()] == [3, 3, 2, 1, 1, None, None]
+    assert cw.sort_asc(df, "v").collect() == cw.sort_asc(df.repartition(3), "v").collect()
     assert cw.sort_asc(df, "v").columns == ["i", "v"]
 
 
@@ -44,24 +42,25 @@ def test_sort_by_date(spark):
     ]
 
 
-@pytest.mark.parametrize("split_ties", [False, True])
-def test_pick_keeps_ties(spark, split_ties):
+def test_pick_keeps_ties(spark):
     data = [("p", 5), ("p", 5), ("p", 4), ("p", 3), ("q", 1), (None, 2), (None, None)]
     ties = spark.createDataFrame(data, "g string, x int")
-    first = cw.pick_first_n(ties, "g", "x", "2", split_ties=split_ties)
+    first = cw.pick_first_n(ties, "g", "x", "2")
     assert first.columns == ["g", "x", "rank"]
     assert rows(first) == Counter({("p", 5, 1): 2, ("q", 1, 1): 1, (None, 2, 1): 1, (None, None, 2): 1})
-    last = cw.pick_last_n(ties, "g", "x", 1, split_ties=split_ties)
+    last = cw.pick_last_n(ties, "g", "x", 1)
     assert rows(last) == Counter({("p", 3, 1): 1, ("q", 1, 1): 1, (None, None, 1): 1})
 
 
-def test_both_ways_of_picking_agree(spark):
+def test_picking_agrees_with_ranking_rows(spark):
     random.seed(3)
     data = [(random.choice("aaab"), random.choice([None, *range(3000)])) for _ in range(9000)]
     df = spark.createDataFrame(data, "g string, x int")
     for pick in (cw.pick_first_n, cw.pick_last_n):
         for n in (3, 90):
-            assert rows(pick(df, "g", "x", n)) == rows(pick(df, "g", "x", n, split_ties=True))
+            order = F.col("x").desc() if pick is cw.pick_first_n else F.col("x").asc()
+            ranked = df.withColumn("rank", F.rank().over(Window.partitionBy("g").orderBy(order))).where(F.col("rank") <= n)
+            assert rows(pick(df, "g", "x", n)) == rows(ranked)
     assert rows(cw.pick_first_n(df, "g", "x", 1000)) == rows(cw.pick_first_n(df, "g", "x", 1500).where("rank <= 1000"))
     assert rows(cw.pick_first_n(df, "g", "x", 10_000).drop("rank")) == rows(df)
 
@@ -114,13 +113,51 @@ def test_splitting_hot_keys_changes_no_result(spark, how, swap):
     try:
         one, other = (right, left) if swap else (left, right)
         split = cw.join_tables(one, other, "k", how=how, split_hot_keys=True)
-        plain = cw.join_tables(one, other, "k", how=how)
+        plain = cw.join_tables(one, other, "k", how=how, split_hot_keys=False)
         assert split.columns == plain.columns
         assert rows(split) == rows(plain)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_a_key_hot_on_both_sides_is_dealt_on_a_grid(spark):
+    left = spark.range(4000).selectExpr("if(id % 400 = 0, 1, id + 10) AS k", "id AS l")
+    right = spark.range(4000).selectExpr("if(id % 2 = 0, 1, -id) AS k", "id AS r", "id AS __at")
+    joined = cw.join_tables(left, right, "k")
+    assert joined.count() == 10 * 2000 and joined.columns == ["k", "l", "r", "__at"]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = [r["count"] for r in cw.join_tables(left, right, "k").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(sizes) == 8 and max(sizes) < 2 * 10 * 2000 / 8
+
+
+@pytest.mark.parametrize("how", sorted(EXPECTED))
+def test_names_that_clash(spark, how):
+    left = spark.range(3000).selectExpr("if(id % 2 = 0, 1, id) AS k", "id AS v", "id AS __a")
+    right = spark.range(300).selectExpr("if(id % 3 = 0, 1, id * 2) AS k", "id AS v")
+    split, plain = (cw.join_tables(left, right, "k", how=how, split_hot_keys=s) for s in (True, False))
+    assert split.columns == plain.columns and rows(split) == rows(plain)
+    if how not in ("left_semi", "left_anti"):
+        assert plain.columns == ["k", "v", "__a", "v_right"]
+
+
+@pytest.mark.parametrize("sort", [cw.sort_asc, cw.sort_desc])
+def test_filters_after_a_sort_reach_the_scan(spark, sort):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    df = cw.filter_equal(sort(orders, "o_totalprice"), "o_orderstatus", "F")
+    assert "EqualTo(o_orderstatus,F)" in df._jdf.queryExecution().toString()
+
+
+def test_random_previews_are_whole(spark):
+    for n in (1, 50, 700):
+        drawn = [r.row for r in cw.preview_random(spark.range(600), n, seed=3).collect()]
+        assert len(drawn) == len(set(drawn)) == min(n, 600)
+
+
 def test_join_spellings_and_checks(spark):
     left = spark.createDataFrame([(1, 2)], "a int, b int")
     right = spark.createDataFrame([(2, 1, 5)], "a int, c int, d int")

@@ -28,6 +28,14 @@ def read_csv_with_schema(t):
     return cw.read_csv(t.spark, path, part.schema)
 
 
+@query("read_csv_multiline", "SELECT * FROM documents")
+def read_csv_multiline(t):
+    path = shared_path(t.spark, "documents-csv")
+    documents = t.documents
+    documents.write.option("header", True).option("escape", '"').csv(path)
+    return cw.read_csv(t.spark, path, documents.schema, multiLine=True, escape='"')
+
+
 @query("read_parquet", "SELECT * FROM supplier")
 def read_parquet(t):
     return cw.read_parquet(t.spark, f"{t.folder}/supplier.parquet")

@@ -127,27 +127,24 @@ def bin_quantile_ties(t):
 
 @query(
     "encode_category",
-    """SELECT doc_id, source, cast(dense_rank() OVER (ORDER BY source) AS INTEGER) AS code FROM documents""",
+    """SELECT doc_id, source, dense_rank() OVER (ORDER BY source) AS code FROM documents""",
 )
 def encode_category(t):
     return cw.encode_category(t.documents, "source", "code").select("doc_id", "source", "code")
 
 
-@query("encode_category_two", "SELECT doc_id, toxic, cast(dense_rank() OVER (ORDER BY toxic) - 1 AS INTEGER) AS code FROM labels")
+@query("encode_category_two", "SELECT doc_id, toxic, dense_rank() OVER (ORDER BY toxic) - 1 AS code FROM labels")
 def encode_category_two(t):
     return cw.encode_category(t.labels, "toxic", "code").select("doc_id", "toxic", "code")
 
 
 @query(
     "encode_category_many",
-    """SELECT l_orderkey, l_linenumber, cast(dense_rank() OVER (ORDER BY l_orderkey) AS INTEGER) AS code
+    """SELECT l_orderkey, l_linenumber, dense_rank() OVER (ORDER BY l_orderkey) AS code
        FROM lineitem""",
 )
 def encode_category_many(t):
-    # More distinct values than a list holds: the codes become a table.
-    return cw.encode_category(t.lineitem, "l_orderkey", "code", list_values=1000).select(
-        "l_orderkey", "l_linenumber", "code"
-    )
+    return cw.encode_category(t.lineitem, "l_orderkey", "code").select("l_orderkey", "l_linenumber", "code")
 
 
 # Statistics
@@ -178,21 +175,58 @@ def column_profile(t):
     return cw.column_profile(t.customer)
 
 
-@query(
-    "column_profile_approx",
-    _profile_sql(
-        "orders",
-        {
-            "o_orderkey": "integer",
-            "o_orderstatus": "string",
-            "o_totalprice": "integer",
-            "o_orderpriority": "string",
-        },
-    ),
+ORDERS = _profile_sql(
+    "orders",
+    {
+        "o_orderkey": "integer",
+        "o_custkey": "integer",
+        "o_orderstatus": "string",
+        "o_totalprice": "integer",
+        "o_orderdate": "string",
+        "o_orderpriority": "string",
+    },
+)
+LINEITEM = _profile_sql(
+    "lineitem",
+    {
+        "l_orderkey": "integer",
+        "l_partkey": "integer",
+        "l_suppkey": "integer",
+        "l_linenumber": "integer",
+        "l_quantity": "integer",
+        "l_extendedprice": "integer",
+        "l_discount": "integer",
+        "l_tax": "integer",
+        "l_returnflag": "string",
+        "l_linestatus": "string",
+        "l_shipdate": "string",
+    },
 )
+
+
+@query("column_profile_approx", ORDERS)
 def column_profile_approx(t):
-    df = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-    return cw.column_profile(df, approx=True)
+    return cw.column_profile(t.orders, approx=True)
+
+
+@query("column_profile_orders", ORDERS)
+def column_profile_orders(t):
+    return cw.column_profile(t.orders)
+
+
+@query("column_profile_lineitem", LINEITEM)
+def column_profile_lineitem(t):
+    return cw.column_profile(t.lineitem)
+
+
+@query("column_profile_lineitem_approx", LINEITEM)
+def column_profile_lineitem_approx(t):
+    return cw.column_profile(t.lineitem, approx=True)
+
+
+@query("column_min_max_bigint", "SELECT min(big) AS min, max(big) AS max FROM (SELECT l_orderkey + 9007199254740993 AS big FROM lineitem)")
+def column_min_max_bigint(t):
+    return cw.column_min_max(t.lineitem.selectExpr("l_orderkey + 9007199254740993 AS big"), "big")
 
 
 @query(

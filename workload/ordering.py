@@ -73,7 +73,7 @@ TIES = PICK.format(
 @query("pick_first_n_ties", TIES.format(way="DESC NULLS LAST", n=500))
 def pick_first_n_ties(t):
     df = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
-    return cw.pick_first_n(df, "l_returnflag", "l_quantity", 500, split_ties=True)
+    return cw.pick_first_n(df, "l_returnflag", "l_quantity", 500)
 
 
 @query("pick_last_n_many", TIES.format(way="ASC NULLS FIRST", n=5000))
@@ -91,10 +91,13 @@ def deduplicate(t):
     return cw.deduplicate(t.orders, "o_custkey", order_by="o_orderkey")
 
 
-@query("deduplicate_any", "SELECT DISTINCT user_id FROM events")
+@query(
+    "deduplicate_any",
+    """SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY user_id
+           ORDER BY event_id, ts, event_type, value, props) AS place FROM events) WHERE place = 1""",
+)
 def deduplicate_any(t):
-    # Which row of a group stays is open, which values stay is not.
-    return cw.deduplicate(t.events, "user_id").select("user_id")
+    return cw.deduplicate(t.events, "user_id")
 
 
 # Joins. Neither of the two tables covers the keys of the other.

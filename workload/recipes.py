@@ -81,3 +81,34 @@ def fitted(t):
     stored = cw.steps_table(t.spark, known)
     suppliers = cw.rename_column(cw.drop_column(t.supplier, "s_name"), "s_acctbal", "acctbal")
     return cw.apply_recipe(suppliers, cw.steps_of(stored))
+
+
+@query(
+    "apply_recipe_closed_by_count",
+    "SELECT count(DISTINCT upper(l_linestatus) || l_returnflag) AS distinct_count FROM lineitem WHERE l_discount <> 0",
+)
+def closed_by_count(t):
+    steps = [
+        Step("delete_zero", "l_discount"),
+        Step("upper", "l_linestatus"),
+        Step("concat_columns", ["l_linestatus", "l_returnflag"], {"new_column": "both"}),
+        Step("distinct_count", "both"),
+    ]
+    return cw.apply_recipe(t.lineitem, steps)
+
+
+@query(
+    "apply_recipe_closed_by_profile",
+    """WITH kept AS (SELECT c_custkey, c_nationkey FROM customer WHERE c_acctbal > 0)
+       SELECT 'c_custkey' AS column_name, CASE WHEN count(DISTINCT c_custkey) <= count(*) / 10 THEN 'classification'
+              ELSE 'continuous' END AS ftype, 'integer' AS type, 0 AS rank FROM kept
+       UNION ALL SELECT 'c_nationkey', CASE WHEN count(DISTINCT c_nationkey) <= count(*) / 10 THEN 'classification'
+              ELSE 'continuous' END, 'integer', 1 FROM kept""",
+)
+def closed_by_profile(t):
+    steps = [
+        Step("filter_greater", "c_acctbal", {"value": 0}),
+        Step("delete_mul", ["c_name", "c_acctbal", "c_mktsegment"]),
+        Step("column_profile", ""),
+    ]
+    return cw.apply_recipe(t.customer, steps)
