@@ -113,10 +113,14 @@ def scan_licenses(
         ),
         "sections",
     )
-    scored = _score(rows.select(F.explode("sections").alias("section")).distinct(), weights, idf, unseen, threshold)
+    # Sections go by their digests: a long one must not travel along with each of its terms.
+    digest = F.sha2("section", 256).alias("digest")
+    different = rows.select(F.explode("sections").alias("section")).select(digest, "section").dropDuplicates(["digest"])
+    scored = _score(different, weights, idf, unseen, threshold)
     best = (
         rows.select("at", F.explode("sections").alias("section"))
-        .join(scored, "section")
+        .select("at", digest)
+        .join(scored, "digest")
         .groupBy("at")
         .agg(F.min(F.struct((-F.col("score")).alias("minus"), "name")).alias("b"))
         .select("at", F.col("b.name").alias("own_license"), (-F.col("b.minus")).alias("own_score"))
@@ -136,7 +140,7 @@ def scan_licenses(
 
 
 def _score(sections: DataFrame, weights: list, idf: dict[str, float], unseen: float, threshold: float) -> DataFrame:
-    """section, name, score of the best template of each section that reaches the threshold."""
+    """digest, name, score of the best template of each section that reaches the threshold."""
     spark = sections.sparkSession
     flat = [
         (t, i, name, w / math.sqrt(math.fsum(x * x for x in s.values())))
@@ -144,19 +148,19 @@ def _score(sections: DataFrame, weights: list, idf: dict[str, float], unseen: fl
         for t, w in s.items()
     ]
     known = spark.createDataFrame([(t, i, n, w, idf[t]) for t, i, n, w in flat], "term string, template int, name string, weight double, idf double")
-    counts = sections.select("section", F.explode(F.split("section", " ")).alias("term")).groupBy("section", "term").agg(F.count("*").alias("tf"))
+    counts = sections.select("digest", F.explode(F.split("section", " ")).alias("term")).groupBy("digest", "term").agg(F.count("*").alias("tf"))
     idfs = known.select("term", "idf").distinct()
     value = F.col("tf") * F.coalesce("idf", F.lit(unseen))
-    norms = counts.join(F.broadcast(idfs), "term", "left").groupBy("section").agg(F.sqrt(F.sum(value * value)).alias("norm"))
+    norms = counts.join(F.broadcast(idfs), "term", "left").groupBy("digest").agg(F.sqrt(F.sum(value * value)).alias("norm"))
     dots = (
         counts.join(F.broadcast(known), "term")
-        .groupBy("section", "template", "name")
+        .groupBy("digest", "template", "name")
         .agg(F.sum(F.col("tf") * F.col("idf") * F.col("weight")).alias("dot"))
     )
     score = F.round(F.col("dot") / F.col("norm"), 9)
-    found = dots.join(norms, "section").select("section", "name", score.alias("score")).filter(F.col("score") >= threshold)
+    found = dots.join(norms, "digest").select("digest", "name", score.alias("score")).filter(F.col("score") >= threshold)
     best = F.min(F.struct((-F.col("score")).alias("minus"), "name")).alias("b")
-    return found.groupBy("section").agg(best).select("section", "b.name", (-F.col("b.minus")).alias("score"))
+    return found.groupBy("digest").agg(best).select("digest", "b.name", (-F.col("b.minus")).alias("score"))
 
 
 def _inherit(files: DataFrame) -> DataFrame:
