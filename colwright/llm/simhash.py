@@ -181,15 +181,18 @@ def keep_one(
     prints, named = _components(df, doc_id, text, shingle_words, max_bits)
     id_, point, own = free_name(df, "__id"), free_name(df, "__point"), free_name(df, "__own")
     best = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "point")).alias("best")
-    reps = prints.join(named, "point").groupBy("root").agg(best).select("best.id", "best.point")
+    reps = prints.join(named, "point").groupBy("root").agg(best).select(F.col("best.id").alias(id_), F.col("best.point").alias(point))
     rows = prints.groupBy("id").agg(F.count("*").alias("rows"))
-    chosen = kept(
-        reps.join(rows, reps["id"].eqNullSafe(rows["id"])).select(reps["id"].alias(id_), reps["point"].alias(point), "rows"),
-        "chosen",
+    # Only ids that lose a row meet the texts: a row whose id is its own and is chosen needs no partner.
+    losing = kept(
+        rows.join(reps, rows["id"].eqNullSafe(reps[id_]), "left")
+        .filter(F.col(point).isNull() | (F.col("rows") > 1))
+        .select(F.col("id").alias(id_), point),
+        "losing",
     )
     same_id = col(doc_id).eqNullSafe(F.col(id_))
-    alone = df.join(chosen.filter("rows = 1"), same_id, "left_semi")
-    shared = chosen.filter("rows > 1").drop("rows")
+    alone = df.join(losing.select(id_), same_id, "left_anti")
+    shared = losing.filter(F.col(point).isNotNull())
     if shared.isEmpty():
         return alone
     repeated = df.join(shared.select(id_).distinct(), same_id, "left_semi").withColumn(
