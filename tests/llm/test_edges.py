@@ -97,6 +97,25 @@ def test_simhash(spark):
     assert simhash.near_copies(frame(spark, [])).count() == 0 and simhash.keep_one(frame(spark, [])).count() == 0
 
 
+def test_one_of_each_group_stays_with_repeated_and_null_ids(spark):
+    draw = random.Random(5)
+    texts = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(30)) for _ in range(25)]
+    rows = [(draw.choice([None, *range(40)]), draw.choice(texts)) for _ in range(90)]
+    prints = {t: simhash.fingerprint(t) for t in texts}
+    group = {t: t for t in texts}
+    for a in texts:
+        for b in texts:
+            if (prints[a] ^ prints[b]).bit_count() <= simhash.MAX_BITS:
+                old, new = group[b], group[a]
+                group = {t: new if g == old else g for t, g in group.items()}
+    want = {}
+    for i, t in rows:
+        key = (i is None, i or 0)
+        want[group[t]] = min(want.get(group[t], key), key)
+    found = simhash.keep_one(frame(spark, rows)).select("doc_id", "text").collect()
+    assert sorted((group[r.text], (r.doc_id is None, r.doc_id or 0)) for r in found) == sorted(want.items())
+
+
 def test_links_match_all_pairs(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**64, 40, dtype=np.uint64)
