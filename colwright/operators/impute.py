@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colwright.columns import add_column, col, is_numeric, literal_like, require
-from colwright.plans.fits import Fit, Params, fitted, quantiles, value as param
+from colwright.plans.fits import Fit, Params, fitted, present, quantiles, value as param
 
 
 def _is_null(column: str) -> Column:
@@ -52,9 +52,9 @@ def replace_zero_const(df: DataFrame, column: str, value: Any) -> DataFrame:
 
 
 def fit_mean(df: DataFrame, column: str) -> Fit:
-    """Mean over all non-null values, the ones to be replaced included."""
+    """Mean over all values but null and NaN, the ones to be replaced included."""
     _need_number(df, column)
-    return {"mean": F.avg(col(column).cast("double"))}
+    return {"mean": F.avg(present(col(column)))}
 
 
 def fit_median(df: DataFrame, column: str, approx: bool = False) -> Fit:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colwright.columns import add_column, col, fresh_name, is_numeric
-from colwright.plans.fits import Fit, Params, fitted, quantiles, value
+from colwright.plans.fits import Fit, Params, fitted, present, quantiles, value
 
 
 def _number(df: DataFrame, column: str) -> Column:
@@ -15,14 +15,21 @@ def _number(df: DataFrame, column: str) -> Column:
     return col(column).cast("double")
 
 
+def _with_value(df: DataFrame, column: str) -> DataFrame:
+    """The rows that have a value; only columns that can hold NaN are asked for it."""
+    rows = df.where(col(column).isNotNull())
+    fractional = rows.select(col(column)).schema[0].dataType.typeName() in ("float", "double")
+    return rows.where(~F.isnan(col(column))) if fractional else rows
+
+
 def fit_standard(df: DataFrame, column: str) -> Fit:
-    return {"sd": F.stddev_samp(_number(df, column))}
+    return {"sd": F.stddev_samp(present(_number(df, column)))}
 
 
 def scale_standard(
     df: DataFrame, column: str, new_column: str, *, after: str | None = None, params: Params | None = None
 ) -> DataFrame:
-    """Value by sample standard deviation, not centred; rows without a value are dropped.
+    """Value by sample standard deviation, not centred; rows without a value (null, NaN) are dropped.
 
     Without any spread (a constant column, or a single row) the result is 0.
     """
@@ -30,24 +37,24 @@ def scale_standard(
     x = _number(df, column)
     sd = value(fitted(df, fit_standard(df, column), params)["sd"])
     scaled = F.coalesce(F.round(F.try_divide(x, sd), 4), F.lit(0.0))
-    return add_column(df.where(col(column).isNotNull()), new_column, scaled, after)
+    return add_column(_with_value(df, column), new_column, scaled, after)
 
 
 def fit_minmax(df: DataFrame, column: str) -> Fit:
-    x = _number(df, column)
+    x = present(_number(df, column))
     return {"lo": F.min(x), "range": F.max(x) - F.min(x)}
 
 
 def scale_minmax(
     df: DataFrame, column: str, new_column: str, *, after: str | None = None, params: Params | None = None
 ) -> DataFrame:
-    """Stretch to 0..1; rows without a value are dropped. A constant column becomes 0.5."""
+    """Stretch to 0..1; rows without a value (null, NaN) are dropped. A constant column becomes 0.5."""
     fresh_name(df, new_column)
     x = _number(df, column)
     found = fitted(df, fit_minmax(df, column), params)
     lo, range_ = value(found["lo"]), value(found["range"])
     scaled = F.coalesce(F.round(F.try_divide(x - lo, range_), 4), F.lit(0.5))
-    return add_column(df.where(col(column).isNotNull()), new_column, scaled, after)
+    return add_column(_with_value(df, column), new_column, scaled, after)
 
 
 def _null_as_zero(df: DataFrame, column: str) -> Column:

@@ -32,12 +32,17 @@ Fit = Mapping[str, "Column | Quantiles | Job"]
 Params = dict[str, Any]
 
 
+def present(values: Column) -> Column:
+    """The values as double; NaN counts as missing, in every fit."""
+    x = values.cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def quantiles(values: Column, fractions: Sequence[float], interpolate: bool, approx: bool) -> Column | Quantiles:
     """Quantiles to put into a fit; the approximate form is an ordinary one-pass aggregate."""
     if not approx:
         return Quantiles(values, fractions, interpolate)
-    x = values.cast("double")
-    return F.percentile_approx(F.when(~F.isnan(x), x), list(fractions), 10_000)
+    return F.percentile_approx(present(values), list(fractions), 10_000)
 
 
 def settle(df: DataFrame, fits: Sequence[Fit], lazy: bool = True) -> list[Params]:

@@ -55,6 +55,16 @@ def test_scales_and_nulls(spark):
     assert column(cw.scale_robust(df.where("v is null"), "v", "s"), "s") == [0.0]
 
 
+def test_nan_counts_as_missing_in_every_fit(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, 3.0), (3, float("nan")), (4, None), (5, 5.0)], "i int, x double")
+    by_id = lambda t, c: {r.i: r[c] for r in t.collect()}
+    assert by_id(cw.scale_minmax(df, "x", "s"), "s") == {1: 0.0, 2: 0.5, 5: 1.0}
+    assert by_id(cw.scale_standard(df, "x", "s"), "s") == {1: 0.5, 2: 1.5, 5: 2.5}
+    for filled in (cw.replace_null_mean(df, "x"), cw.replace_null_median(df, "x")):
+        found = by_id(filled, "x")
+        assert found[4] == 3.0 and math.isnan(found[3])
+
+
 def test_scaled_values_lie_between_0_and_1(spark):
     random.seed(5)
     df = spark.createDataFrame([(random.gauss(0, 100),) for _ in range(500)], "v double")
