@@ -2,8 +2,8 @@
 
 Letters, lower-cased, with one blank between words, give n-grams of one to three characters, hashed into
 DIMENSIONS cells. A vector holds (1 + log count) * idf per cell and has length one. Idf comes from all training texts;
-each language's centroids from spherical k-means over a bounded sample of its training texts, in one task per
-language. A text gets the language of the nearest centroid by cosine; one that is nearer to none than
+each language's centroids from spherical k-means over a bounded sample of its different training texts (those with the
+smallest hashes), in one task per language that reads their counts, not the texts. A text gets the language of the nearest centroid by cosine; one that is nearer to none than
 the language's own training texts nearly all are is marked as rejected.
 
 Null, empty and letterless texts are `und` with score 0 and rejected. Without training texts every text is.
@@ -18,16 +18,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from colwright.columns import col, require
 from colwright.llm.text import free_name, whole
 
 DIMENSIONS = 4096
 CENTROIDS = 4
-# Training texts per language that the clustering sees; idf counts all of them.
+# Different training texts per language that the clustering sees; idf counts all of them.
 SAMPLE_PER_LANGUAGE = 400
 MAX_LANGUAGES = 500
+# Tasks that the smallest hashes of all input partitions pass before one task sees a language's.
+SPREAD = 64
 REJECT_QUANTILE = 0.001
 UNKNOWN = "und"
 BLOCK = 1 << 18
@@ -81,12 +82,11 @@ def counts(text: str) -> np.ndarray | None:
     return total if seen else None
 
 
-def _vectors(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of the texts, and which texts have letters."""
-    found = np.zeros((len(texts), DIMENSIONS), np.float32)
-    has = np.zeros(len(texts), bool)
-    for i, text in enumerate(texts):
-        n = counts(text)
+def _vectors(cells: list[np.ndarray | None], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of the texts with these counts, and which texts have letters."""
+    found = np.zeros((len(cells), DIMENSIONS), np.float32)
+    has = np.zeros(len(cells), bool)
+    for i, n in enumerate(cells):
         if n is not None:
             at = np.flatnonzero(n)
             found[i, at] = (1 + np.log(n[at])) * idf[at]
@@ -118,8 +118,7 @@ def _frequencies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _cluster(idf: np.ndarray, k: int):
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        texts = sorted(frame["text"])
-        x, has = _vectors(texts, idf)
+        x, has = _vectors(list(frame.sort_values("hash")["cells"]), idf)
         x = x[has]
         if not len(x):
             return pd.DataFrame({"lang": [], "centroid": [], "limit": []})
@@ -143,6 +142,46 @@ def _cluster(idf: np.ndarray, k: int):
     return run
 
 
+def _lowest(k: int):
+    """Over rows of (lang, deal, hash): the k smallest different hashes of each language in the partition."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[str, tuple[int, np.ndarray]] = {}
+        for frame in frames:
+            for lang, part in frame.groupby("lang"):
+                deal, known = best.get(lang, (int(part["deal"].iloc[0]), np.empty(0, np.int64)))
+                best[lang] = deal, np.unique(np.r_[known, part["hash"].to_numpy(np.int64)])[:k]
+        for lang, (deal, hashes) in best.items():
+            yield pd.DataFrame({"lang": lang, "deal": deal, "hash": hashes})
+
+    return run
+
+
+def _drawn(rows: DataFrame, sample: int) -> DataFrame:
+    """lang, hash, cells of the `sample` different texts with the smallest hashes of each language.
+
+    Every partition passes on `sample` hashes of a language, SPREAD tasks cut them down, and one task sees what those keep,
+    so none reads more with more partitions but hashes. Copies are one text before texts are shuffled.
+    """
+    shape = "lang string, deal int, hash bigint"
+    hashed = rows.select("lang", (F.spark_partition_id() % SPREAD).alias("deal"), F.xxhash64("text").alias("hash"))
+    low = hashed.mapInPandas(_lowest(sample), shape).repartition("lang", "deal").mapInPandas(_lowest(sample), shape)
+    low = low.repartition("lang").mapInPandas(_lowest(sample), shape)
+    # One number per language, so the table is bounded before it goes to every task.
+    limits = low.groupBy("lang").agg(F.max("hash").alias("most")).limit(MAX_LANGUAGES + 1).collect()
+    if len(limits) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    known = rows.sparkSession.createDataFrame([tuple(r) for r in limits], "lang string, most bigint")
+
+    @F.pandas_udf("array<bigint>")
+    def cells(texts: pd.Series) -> pd.Series:
+        return pd.Series([counts(t) for t in texts], dtype=object)
+
+    near = rows.withColumn("hash", F.xxhash64("text")).join(F.broadcast(known), "lang").filter("hash <= most")
+    different = near.groupBy("lang", "hash").agg(F.first("text").alias("text"))
+    return different.select("lang", "hash", cells.asNondeterministic()("text").alias("cells"))
+
+
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", k: int = CENTROIDS, sample: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Learn from the rows with a language. What comes to the driver is bounded by MAX_LANGUAGES * k vectors."""
     require(df, text, lang)
@@ -151,12 +190,8 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", k: int = CENTROID
     seen = dict(map(tuple, found))
     total = seen.get(-1, 0)
     idf = np.log((1 + total) / (1 + np.array([seen.get(i, 0) for i in range(DIMENSIONS)]))) + 1
-    by_text = Window.partitionBy("lang").orderBy(F.xxhash64("text"))
-    drawn = rows.withColumn("turn", F.row_number().over(by_text)).filter(F.col("turn") <= sample)
-    made = drawn.groupBy("lang").applyInPandas(_cluster(idf, k), "lang string, centroid array<float>, limit double")
-    best = made.orderBy("lang").limit(MAX_LANGUAGES * k + 1).collect()
-    if len(best) > MAX_LANGUAGES * k:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    shape = "lang string, centroid array<float>, limit double"
+    best = _drawn(rows, sample).groupBy("lang").applyInPandas(_cluster(idf, k), shape).orderBy("lang").collect()
     centroids = np.array([r["centroid"] for r in best], np.float32).reshape(len(best), DIMENSIONS)
     return Model([r["lang"] for r in best], centroids, np.array([r["limit"] for r in best]), idf)
 
@@ -176,7 +211,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def _nearest(texts: list[str], model: Model) -> pd.DataFrame:
-    x, has = _vectors(texts, model.idf)
+    x, has = _vectors([counts(t) for t in texts], model.idf)
     if not model.languages:
         has[:] = False
         cosine = np.zeros((len(texts), 1))

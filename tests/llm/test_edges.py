@@ -212,6 +212,17 @@ def test_far_texts_are_rejected(spark):
     assert [r.rejected for r in language.predict(df, language.fit(train)).collect()] == [True, False]
 
 
+def test_the_sample_is_of_different_texts_however_rows_are_dealt(spark):
+    rows = [(f"kala {i}", "aa") for i in range(50)] + [("kala 7", "aa")] * 500 + [(f"xyr {i}", "bb") for i in range(5)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    hashes = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) AS h").distinct().collect()}
+    wanted = {(k, h) for k in ("aa", "bb") for h in sorted(hashes[t] for t in {t for t, lang in rows if lang == k})[:20]}
+    for parts in (1, 90):
+        drawn = language._drawn(df.repartition(parts), 20).collect()
+        assert sorted((r.lang, r.hash) for r in drawn) == sorted(wanted)
+        assert all(len(r.cells) == language.DIMENSIONS for r in drawn)
+
+
 def test_counting_in_blocks_changes_nothing(monkeypatch):
     text = "Ab c—dé 12 fgh" * 50
     whole = language.counts(text)
