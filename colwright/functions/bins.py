@@ -35,9 +35,8 @@ def labelled_bin(c: Column, edges: Sequence[float], labels: Sequence[str], outsi
 
 def bucket_number(c: Column, cuts: Sequence[Column]) -> Column:
     """Number of distinct cut points at or below the value, as a double; null stays null."""
-    x = c.cast("double")
     passed = F.lit(0.0)
     for i, cut in enumerate(cuts):
         new = F.lit(True) if i == 0 else cut != cuts[i - 1]
-        passed = passed + F.when(new & (x >= cut), 1.0).otherwise(0.0)
-    return F.when(x.isNotNull(), passed)
+        passed = passed + F.when(new & (c >= cut), 1.0).otherwise(0.0)
+    return F.when(c.isNotNull(), passed)

@@ -7,10 +7,12 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from colwright.columns import add_column, as_list, col, fresh_name, is_numeric
+from colwright.columns import add_column, as_list, col, fresh_name, is_numeric, type_of
 from colwright.functions.bins import bin_edges, bucket_number, labelled_bin
 from colwright.plans.fits import Fit, Params, fitted, quantiles, value
+from colwright.plans.quantiles import exact_type
 
 
 def _need_number(df: DataFrame, column: str) -> None:
@@ -69,4 +71,5 @@ def bin_quantile(
     """Quartile bucket 0.0 to 3.0: the number of distinct quartile cuts at or below the value."""
     fresh_name(df, new_column)
     found = fitted(df, fit_quantile(df, column, approx), params)["cuts"]
-    return add_column(df, new_column, bucket_number(col(column), [value(found[i]) for i in range(3)]), after)
+    kind = exact_type(type_of(df, column)) or T.DoubleType()
+    return add_column(df, new_column, bucket_number(col(column).cast(kind), [value(found[i], kind) for i in range(3)]), after)

@@ -1,7 +1,10 @@
 """Replacement of nulls, negatives and zeros by constants, means and medians.
 
 Only the matching rows change. A constant must fit the column's type. A mean or
-median is a double, so an integer column becomes a double column.
+median makes a column of small integers a double column, which holds them all. A bigint
+column becomes decimal(25,6), so that its own values keep all digits; a decimal column keeps
+its type, and the mean or median is rounded to its scale. The approximate median
+of either is still computed in double.
 """
 
 from __future__ import annotations
@@ -10,9 +13,11 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from colwright.columns import add_column, col, is_numeric, literal_like, require
+from colwright.columns import add_column, col, is_numeric, literal_like, require, type_of
 from colwright.plans.fits import Fit, Params, fitted, present, quantiles, value as param
+from colwright.plans.quantiles import exact_type
 
 
 def _is_null(column: str) -> Column:
@@ -54,6 +59,9 @@ def replace_zero_const(df: DataFrame, column: str, value: Any) -> DataFrame:
 def fit_mean(df: DataFrame, column: str) -> Fit:
     """Mean over all values but null and NaN, the ones to be replaced included."""
     _need_number(df, column)
+    exact = exact_type(type_of(df, column))
+    if exact:
+        return {"mean": F.try_avg(col(column).cast(exact)).cast("string")}
     return {"mean": F.avg(present(col(column)))}
 
 
@@ -62,12 +70,24 @@ def fit_median(df: DataFrame, column: str, approx: bool = False) -> Fit:
     return {"median": quantiles(col(column), [0.5], interpolate=True, approx=approx)}
 
 
+def _filled_type(df: DataFrame, column: str) -> T.DataType:
+    kind = type_of(df, column)
+    if isinstance(kind, T.LongType):
+        return T.DecimalType(25, 6)
+    return kind if isinstance(kind, T.DecimalType) else T.DoubleType()
+
+
+def _fill(df: DataFrame, column: str, hit: Column, by: Any) -> DataFrame:
+    kind = _filled_type(df, column)
+    return df.withColumn(column, F.when(hit, param(by, kind)).otherwise(col(column).cast(kind)))
+
+
 def _by_mean(df: DataFrame, column: str, hit: Column, params: Params | None) -> DataFrame:
-    return _replace(df, column, hit, param(fitted(df, fit_mean(df, column), params)["mean"]))
+    return _fill(df, column, hit, fitted(df, fit_mean(df, column), params)["mean"])
 
 
 def _by_median(df: DataFrame, column: str, hit: Column, approx: bool, params: Params | None) -> DataFrame:
-    return _replace(df, column, hit, param(fitted(df, fit_median(df, column, approx), params)["median"][0]))
+    return _fill(df, column, hit, fitted(df, fit_median(df, column, approx), params)["median"][0])
 
 
 def replace_null_mean(df: DataFrame, column: str, *, params: Params | None = None) -> DataFrame:

@@ -16,10 +16,12 @@ and always run up front.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 from typing import Any, Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colwright.plans.quantiles import Quantiles, exact_quantiles
 
@@ -62,7 +64,9 @@ def settle(df: DataFrame, fits: Sequence[Fit], lazy: bool = True) -> list[Params
 
     ranked = {key: part for key, part in parts.items() if isinstance(part, Quantiles)}
     if ranked:
-        found.update(zip(ranked, exact_quantiles(df, list(ranked.values()))))
+        # Decimals become text, so that parameters can be saved; `value` takes a type to read them with.
+        texts = [[str(q) if isinstance(q, Decimal) else q for q in qs] for qs in exact_quantiles(df, list(ranked.values()))]
+        found.update(zip(ranked, texts))
 
     for key, part in parts.items():
         if key not in found:
@@ -75,6 +79,7 @@ def fitted(df: DataFrame, fit: Fit, params: Params | None) -> Params:
     return params if params is not None else settle(df, [fit])[0]
 
 
-def value(param: Any) -> Column:
-    """A parameter as a column, whether it is a subquery field or a plain number."""
-    return param if isinstance(param, Column) else F.lit(param)
+def value(param: Any, kind: T.DataType | None = None) -> Column:
+    """A parameter as a column, whether it is a subquery field or a plain number; of a type, if one is given."""
+    found = param if isinstance(param, Column) else F.lit(param)
+    return found if kind is None else found.try_cast(kind)

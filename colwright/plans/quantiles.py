@@ -7,6 +7,10 @@ group-by of at most a few thousand groups, combined on the map side) and
 zooms into the buckets that hold the ranks, until such a bucket holds a single
 value. Nothing but those counts is ever shuffled, and a hot value costs nothing
 extra because it is one group. Several columns share every pass.
+
+The table itself is read once: its wanted columns, and no others, are written to the shared
+folder, every pass reads those, and they are removed at the end. Big integers and decimals are
+compared and returned as decimals, with all their digits; everything else as doubles.
 """
 
 from __future__ import annotations
@@ -15,15 +19,30 @@ import math
 import sys
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from decimal import Decimal, localcontext
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from colwright.sources.shared import briefly_kept
 
 # Buckets per zoomed range; bounds the groups of a pass and hence its ranking window.
 BUCKETS = 4096
 
-Span = tuple[float, float]
+# More digits than any two decimals and their mean have.
+DIGITS = 80
+
+Number = float | Decimal
+Span = tuple[Number, Number]
+
+
+def exact_type(kind: T.DataType) -> T.DecimalType | None:
+    """The decimal type that holds all values of a type which double does not; null for other types."""
+    if isinstance(kind, T.LongType):
+        return T.DecimalType(19, 0)
+    return kind if isinstance(kind, T.DecimalType) else None
 
 
 @dataclass(frozen=True)
@@ -50,6 +69,7 @@ class _Search:
     """State of one column: for each wanted rank the range its value is known to lie in."""
 
     number: int
+    kind: str
     rows: int
     places: list[float]
     spans: dict[int, Span] = field(default_factory=dict)
@@ -62,22 +82,32 @@ class _Search:
     def open_spans(self) -> list[Span]:
         return sorted({self.spans[rank] for rank in self.open_ranks})
 
-    def result(self) -> list[float | None]:
+    def result(self) -> list[Number | None]:
         if not self.rows:
             return [None for _ in self.places]
-        out: list[float | None] = []
+        out: list[Number | None] = []
         for place in self.places:
             below, above = self.spans[math.floor(place)][0], self.spans[math.ceil(place)][0]
-            share = place - math.floor(place)
-            out.append(below if share == 0 or below == above else (1 - share) * below + share * above)
+            share = type(below)(place - math.floor(place))
+            with localcontext() as context:
+                context.prec = DIGITS
+                out.append(below if share == 0 or below == above else (1 - share) * below + share * above)
         return out
 
 
-def exact_quantiles(df: DataFrame, wanted: Sequence[Quantiles]) -> list[list[float | None]]:
+def exact_quantiles(df: DataFrame, wanted: Sequence[Quantiles]) -> list[list[Number | None]]:
     """For each request its quantiles, or nulls where the column has no values."""
     names = [f"v{i}" for i in range(len(wanted))]
-    values = [q.values.cast("double") for q in wanted]
-    data = df.select(*[F.when(~F.isnan(v), v).alias(name) for v, name in zip(values, names)])
+    types = [f.dataType for f in df.select(*[q.values.alias(name) for q, name in zip(wanted, names)]).schema]
+    values = []
+    for q, kind in zip(wanted, types):
+        exact, double = exact_type(kind), q.values.cast("double")
+        values.append(q.values.cast(exact) if exact else F.when(~F.isnan(double), double))
+    with briefly_kept(df.select(*[v.alias(name) for v, name in zip(values, names)]), "quantiles") as data:
+        return _find(data, names, wanted)
+
+
+def _find(data: DataFrame, names: Sequence[str], wanted: Sequence[Quantiles]) -> list[list[Number | None]]:
     ends = data.agg(
         *[F.struct(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).alias(v) for v in names]
     ).first()
@@ -86,7 +116,8 @@ def exact_quantiles(df: DataFrame, wanted: Sequence[Quantiles]) -> list[list[flo
     for i, (q, end) in enumerate(zip(wanted, ends)):
         places = q.places(end.n)
         ranks = {r for p in places for r in (math.floor(p), math.ceil(p))} if end.n else set()
-        searches.append(_Search(i, end.n, places, dict.fromkeys(ranks, (end.lo, end.hi))))
+        kind = data.schema[i].dataType.simpleString()
+        searches.append(_Search(i, kind, end.n, places, dict.fromkeys(ranks, (end.lo, end.hi))))
 
     while still_open := [s for s in searches if s.open_ranks]:
         before = [dict(s.spans) for s in still_open]
@@ -98,19 +129,26 @@ def exact_quantiles(df: DataFrame, wanted: Sequence[Quantiles]) -> list[list[flo
 
 def _narrow(data: DataFrame, searches: Sequence[_Search]) -> None:
     """One pass over the data: find the bucket of each wanted rank."""
+    kinds = sorted({s.kind for s in searches})
     cells = []
     for s in searches:
         v = F.col(f"v{s.number}")
-        bucket = _bucket(v, s.open_spans)
-        cells.append(F.struct(F.lit(s.number).alias("i"), bucket.cast("double").alias("bucket"), v.alias("v")))
+        # A field per type, so that no value is cast to another column's.
+        fields = [(v if s.kind == kind else F.lit(None).cast(kind)).alias(f"v{k}") for k, kind in enumerate(kinds)]
+        bucket = F.when(v.isNotNull(), _bucket(v, s.open_spans)).cast("double").alias("bucket")
+        cells.append(F.struct(F.lit(s.number).alias("i"), bucket, *fields))
     counts = (
         data.select(F.inline(F.array(*cells)))
-        .where(F.col("v").isNotNull())
+        .where(F.col("bucket").isNotNull())
         .groupBy("i", "bucket")
-        .agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+        .agg(
+            F.count("*").alias("n"),
+            *[F.min(f"v{k}").alias(f"lo{k}") for k in range(len(kinds))],
+            *[F.max(f"v{k}").alias(f"hi{k}") for k in range(len(kinds))],
+        )
     )
-    # Bucket counts only: a few times BUCKETS rows per column.
-    sorted_ = Window.partitionBy("i").orderBy("lo").rowsBetween(Window.unboundedPreceding, 0)
+    # Bucket counts only: a few times BUCKETS rows per column. Bucket numbers grow with the values.
+    sorted_ = Window.partitionBy("i").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     holds = [
         (F.col("i") == s.number) & (F.col("upto") - F.col("n") < rank) & (F.col("upto") >= rank)
         for s in searches
@@ -119,10 +157,11 @@ def _narrow(data: DataFrame, searches: Sequence[_Search]) -> None:
     hits = counts.withColumn("upto", F.sum("n").over(sorted_)).where(reduce(lambda a, b: a | b, holds))
     found = hits.collect()  # one row per wanted rank at most
     for s in searches:
+        k = kinds.index(s.kind)
         for row in found:
             for rank in s.open_ranks:
                 if row.i == s.number and row.upto - row.n < rank <= row.upto:
-                    s.spans[rank] = (row.lo, row.hi)
+                    s.spans[rank] = (row[f"lo{k}"], row[f"hi{k}"])
 
 
 def _bucket(v: Column, spans: Sequence[Span]) -> Column:
@@ -140,7 +179,7 @@ def _bucket(v: Column, spans: Sequence[Span]) -> Column:
     return out.otherwise(len(spans) * (BUCKETS + 4))
 
 
-def _inside(v: Column, lo: float, hi: float) -> Column:
+def _inside(v: Column, lo: Number, hi: Number) -> Column:
     """Bucket 1 to BUCKETS + 1 of a value strictly between the ends.
 
     Buckets are evenly wide where the ends are close to each other and grow with
@@ -148,16 +187,17 @@ def _inside(v: Column, lo: float, hi: float) -> Column:
     into a single bucket. A span across zero is cut there.
     """
     lo, hi = max(lo, -sys.float_info.max), min(hi, sys.float_info.max)
-    half = BUCKETS // 2
+    half, x = BUCKETS // 2, v.cast("double")
     if lo <= 0 <= hi:
-        below = half - _step(F.log1p(-v), 0.0, math.log1p(-lo), half)
-        above = half + 2 + _step(F.log1p(v), 0.0, math.log1p(hi), half)
+        below = half - _step(F.log1p(-x), 0.0, math.log1p(-lo), half)
+        above = half + 2 + _step(F.log1p(x), 0.0, math.log1p(hi), half)
         return F.when(v < 0, below).when(v == 0, half + 1).otherwise(above)
     if hi < 0:
         return BUCKETS + 1 - _inside(-v, -hi, -lo)
     if hi / lo > 4:
-        return 1 + _step(F.ln(v), math.log(lo), math.log(hi), BUCKETS)
-    return 1 + _step(v, lo, hi, BUCKETS)
+        return 1 + _step(F.ln(x), math.log(lo), math.log(hi), BUCKETS)
+    # The difference is taken before digits are lost.
+    return 1 + _step((v - F.lit(lo)).cast("double"), 0.0, float(hi - lo), BUCKETS)
 
 
 def _step(place: Column, start: float, end: float, steps: int) -> Column:

@@ -2,6 +2,7 @@
 
 import math
 import random
+from decimal import Context, Decimal
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ import colwright as cw
 from colwright.operators import encode
 from colwright.plans import quantiles
 from colwright.plans.quantiles import Quantiles, exact_quantiles
+from colwright.sources import shared
 
 
 def column(df, name):
@@ -265,6 +267,35 @@ def test_quantiles(spark, monkeypatch):
     check_quantiles(spark, [-math.inf, math.inf, 0.0, -0.0, 1e308, -1e308, 5e-324, 1.0, 2.0])
 
 
+def test_quantiles_of_big_integers_and_decimals(spark):
+    random.seed(9)
+    ints = [2**62 + random.randrange(900) for _ in range(300)] + [-(2**63), 2**63 - 1, 0, 7]
+    decs = [Decimal(random.randrange(-(10**37), 10**37)).scaleb(-10, Context(prec=60)) for _ in ints]
+    df = spark.createDataFrame(list(zip(ints, decs, map(float, ints))), "i long, d decimal(38,10), f double")
+    at = (0.0, 0.25, 0.5, 1.0)
+    found = exact_quantiles(df, [Quantiles(F.col(c), at, False) for c in "idf"])
+    for got, values in zip(found, (ints, decs, list(map(float, ints)))):
+        values = sorted(values)
+        assert got == [values[max(1, math.ceil(f * len(values))) - 1] for f in at]
+    middle = sorted(ints)[len(ints) // 2 - 1 : len(ints) // 2 + 1]
+    assert exact_quantiles(df, [Quantiles(F.col("i"), [0.5], True)]) == [[Decimal(sum(middle)) / 2]]
+
+
+def test_quantiles_read_their_input_once_and_leave_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "shared_path", lambda _, name: f"{tmp_path}/{name}")
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(v):
+        read.add(1)
+        return v
+
+    df = spark.range(1000).select(seen.asNondeterministic()(F.col("id").cast("double")).alias("v"))
+    assert exact_quantiles(df, [Quantiles(F.col("v"), [0.5], True)]) == [[499.5]]
+    assert read.value == 1000
+    assert not list(tmp_path.iterdir())
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.floats(allow_nan=False), min_size=1, max_size=40))
 def test_quantiles_of_anything(spark, values):

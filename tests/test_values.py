@@ -223,6 +223,28 @@ def test_replacement_by_mean_and_median(num):
     assert column(cw.replace_zero_mean(cw.to_integer(num, "v"), "v"), "v") == [-2.0, 1.0, 5.0, None]
 
 
+def test_replacement_keeps_big_integers_and_decimals(spark):
+    from decimal import Decimal
+
+    big = 9007199254740993
+    rows = [(1, big, "0.10"), (2, None, None), (3, big + 1, "9.99"), (4, 0, "0.00"), (5, -5, "-1.01")]
+    df = spark.createDataFrame(rows, "i int, b long, s string")
+    df = df.select("i", "b", df.s.cast("decimal(12,2)").alias("d"))
+    for filled in (cw.replace_null_mean(df, "b"), cw.replace_null_median(df, "b")):
+        assert filled.schema["b"].dataType.simpleString() == "decimal(25,6)"
+        rows = column(filled, "b")
+        assert (rows[0], rows[2:]) == (big, [big + 1, 0, -5])
+    assert column(cw.replace_null_mean(df, "b"), "b")[1] == Decimal("4503599627370495.5")
+    assert column(cw.replace_null_median(df, "b"), "b")[1] == Decimal("4503599627370496.5")
+    assert column(cw.replace_zero_median(df, "b"), "b")[3] == Decimal("4503599627370496.5")
+    assert cw.replace_null_median(df, "d").schema["d"].dataType.simpleString() == "decimal(12,2)"
+    assert column(cw.replace_null_mean(df, "d"), "d")[1] == Decimal("2.27")
+    assert column(cw.replace_negative_median(df, "d"), "d") == [Decimal(x) if x else None for x in ("0.10", None, "9.99", "0.00", "0.05")]
+    steps = [cw.Step("replace_null_median", "b"), cw.Step("replace_null_mean", "d"), cw.Step("bin_quantile", "b", {"new_column": "q"})]
+    fitted = cw.steps_of(cw.steps_table(spark, cw.fit_recipe(df, steps)))
+    assert [tuple(r) for r in cw.apply_recipe(df, fitted).collect()] == [tuple(r) for r in cw.apply_recipe(df, steps).collect()]
+
+
 def test_replacement_without_any_value(num):
     empty = num.where("v is null")
     assert column(cw.replace_null_mean(empty, "v"), "v") == [None]

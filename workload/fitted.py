@@ -36,6 +36,19 @@ _impute("replace_zero_mean", "lineitem", "l_orderkey, l_linenumber", "l_discount
 _impute("replace_zero_median", "lineitem", "l_orderkey, l_linenumber", "l_discount", "= 0", MEDIAN)
 
 
+@query(
+    "replace_zero_median_decimal",
+    """WITH x AS (SELECT l_orderkey, l_linenumber, l_discount, row_number() OVER (ORDER BY l_discount) AS k, count(*) OVER () AS n FROM lineitem),
+            m AS (SELECT avg(l_discount) AS median FROM x WHERE k IN ((n + 1) // 2, n // 2 + 1))
+       SELECT l_orderkey, l_linenumber,
+              CAST(CAST(CASE WHEN l_discount = 0 THEN (SELECT median FROM m) ELSE l_discount END AS DECIMAL(12, 4)) AS VARCHAR) AS l_discount
+       FROM lineitem""",
+)
+def replace_zero_median_decimal(t):
+    exact = t.lineitem.selectExpr("l_orderkey", "l_linenumber", "cast(l_discount AS decimal(12,4)) AS l_discount")
+    return cw.to_string(cw.replace_zero_median(exact, "l_discount"), "l_discount")
+
+
 # Scaling
 
 
