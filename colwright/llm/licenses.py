@@ -1,12 +1,17 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory above.
 
 DataFrame functions only. A section is a line of a file (a header notice), and of a licence file (by its name) also
-its whole text. A section counts if its cosine to a template is at least THRESHOLD. Inverse document
+its whole text; the latter is also compared to whole licence texts (license_texts/). A section counts if its cosine to a template is at least THRESHOLD. Inverse document
 frequencies of the templates' terms are counted over all files; a term in no template weighs as one that
-no file has, so it only lowers a cosine. By the prefix filter of similarity joins a section that has none of a template's
+no file has, so it only lowers a cosine. Whole licence texts have frequencies of
+their own, over the licence files. By the prefix filter of similarity joins a section that has none of a template's
 heaviest terms can't reach the threshold, so only sections with such a term are scored, each different one once.
 
-A file's own licence is that of its best section (ties: the smallest id). Licence files give theirs to their directory. A
+An SPDX tag names its licence itself, so it is read and not scored: SPDX-License-Identifier with an expression has
+score 1 and as its licence the expression as written, whatever ids it names.
+
+A file's own licence is that of its tag or whole licence text, if it has one, else of its best section, as licences share lines (of
+several the best score, ties: the smallest id). Licence files give theirs to their directory. A
 file without its own inherits from the nearest directory above that has one. Null and empty texts have no sections; a
 null path has no directory. Repeated rows are judged each by itself; of several licence files in a directory the best counts.
 """
@@ -17,6 +22,7 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +34,16 @@ from colwright.sources.shared import kept
 THRESHOLD = 0.6
 LICENSE_FILE = r"(?i)^(licen[sc]e|copying|notice)([._-].*)?$"
 # SPDX ids and the customary notices.
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
+       "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+_CC_VERSIONS = {"2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
+_CC_NOTICES = (
+    "Licensed under CC {short} {version}.",
+    "This work is licensed under CC {short} {version}.",
+    "Licensed under the Creative Commons {long} {version} {scope} License.",
+    "This work is licensed under a Creative Commons {long} {version} {scope} License.",
+    "Creative Commons {long} {version} {scope} Public License",
+)
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT license."),
@@ -40,10 +56,17 @@ TEMPLATES = (
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
+    *((f"CC-{short}-{version}", notice.format(short=short, long=long, version=version, scope=scope))
+      for short, long in _CC.items() for version, scope in _CC_VERSIONS.items() for notice in _CC_NOTICES),
 )
+_ID = r"\(*[A-Za-z0-9](?:[A-Za-z0-9.+:-]*[A-Za-z0-9+])?\)*"
+SPDX_TAG = rf"(?i)SPDX-License-Identifier:[ \t]*({_ID}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{_ID})*)"
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(id, text) of the licences whose whole texts are known."""
+    return [(p.stem, p.read_text("utf-8")) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
 
 
 def _terms(text: Column) -> Column:
@@ -69,63 +92,85 @@ def _anchors(terms: dict[str, float], threshold: float) -> list[str]:
     return chosen
 
 
+def _weights(shapes: list, seen: dict[str, int], total: int) -> tuple[list, dict[str, float], float]:
+    """(template, id, weights of its terms), the inverse frequency of each term, and that of a term in no file."""
+    idf = {t: math.log((1 + total) / (1 + seen.get(t, 0))) + 1 for _, _, s in shapes for t in s}
+    return [(i, name, {t: n * idf[t] for t, n in s.items()}) for i, name, s in shapes], idf, math.log(1 + total) + 1
+
+
+def _any_of(anchors: set[str]) -> str:
+    """A pattern that finds one of the terms; without terms, nothing."""
+    return r"(?i)(?<![a-z0-9])(?:" + "|".join(sorted(anchors)) + r")(?![a-z0-9])" if anchors else r"(?!)"
+
+
 def scan_licenses(
     df: DataFrame,
     path: str = "path",
     text: str = "text",
     templates: Sequence[tuple[str, str]] = TEMPLATES,
     threshold: float = THRESHOLD,
+    texts: Sequence[tuple[str, str]] | None = None,
 ) -> DataFrame:
     """The rows, without their text, with own_license, own_score, license and inherited_from (a directory) appended.
 
-    The new columns replace columns of their names.
+    The new columns replace columns of their names. `texts` are whole licences, to be found as licence files; None stands for those
+    of `whole_texts` if the templates are the usual ones, else for none.
     """
     require(df, path, text)
-    spark = df.sparkSession
     added = ("own_license", "own_score", "license", "inherited_from")
     own = [c for c in df.columns if c != text and c.lower() not in added]
+    if texts is None:
+        texts = whole_texts() if templates is TEMPLATES else ()
     shapes = [(i, name, _template_terms(body)) for i, (name, body) in enumerate(templates)]
-    vocabulary = sorted({t for _, _, s in shapes for t in s})
+    whole_shapes = [(i, name, _template_terms(body)) for i, (name, body) in enumerate(texts)]
 
-    # Document frequencies of the templates' terms: at most as many rows as they have terms.
-    present = F.array_intersect(F.array_distinct(_terms(whole(text))), F.array(*map(F.lit, vocabulary)))
-    met = df.select(F.explode_outer(F.concat(present, F.array(F.lit("")))).alias("term")).groupBy("term").count()
-    seen = {r["term"]: r["count"] for r in met.collect()}
-    total = seen.get("", 0)
-    unseen = math.log(1 + total) + 1
-    idf = {t: math.log((1 + total) / (1 + seen.get(t, 0))) + 1 for t in vocabulary}
-    weights = [(i, name, {t: n * idf[t] for t, n in s.items()}) for i, name, s in shapes]
-    anchors = sorted({a for _, _, w in weights for a in _anchors(w, threshold)})
-
-    has_anchor = r"(?i)(?<![a-z0-9])(?:" + "|".join(anchors) + r")(?![a-z0-9])"
     name = F.element_at(F.split(col(path), "/"), -1)
     is_file = F.coalesce(name.rlike(LICENSE_FILE), F.lit(False))
+    # Document frequencies of the templates' terms, over all files and (marked) over licence files: at most as many rows as there are terms.
+    met = F.concat(_present(text, shapes), F.array(F.lit("")))
+    of_files = F.transform(F.concat(_present(text, whole_shapes), F.array(F.lit(""))), lambda t: F.concat(F.lit("\n"), t))
+    both = F.when(is_file, F.concat(met, of_files)).otherwise(met)
+    seen = {r["term"]: r["count"] for r in df.select(F.explode(both).alias("term")).groupBy("term").count().collect()}
+    weights, idf, unseen = _weights(shapes, seen, seen.get("", 0))
+    in_files = {t[1:]: n for t, n in seen.items() if t.startswith("\n")}
+    whole_weights, whole_idf, whole_unseen = _weights(whole_shapes, in_files, in_files.get("", 0))
+
+    has_anchor = _any_of({a for _, _, w in weights for a in _anchors(w, threshold)})
+    has_whole = _any_of({a for _, _, w in whole_weights for a in _anchors(w, threshold)})
     lines = F.split(whole(text), "\n")
     sections = F.filter(F.when(is_file, F.concat(lines, F.array(whole(text)))).otherwise(lines), lambda x: x.rlike(has_anchor))
     plain = F.transform(sections, lambda x: F.array_join(_terms(x), " "))
+    none = F.array().cast("array<string>")
+    # A bracket that encloses the tag is not part of the expression.
+    tags = F.transform(F.regexp_extract_all(whole(text), F.lit(SPDX_TAG), 1), lambda t: F.when(F.contains(t, F.lit("(")), t).otherwise(F.rtrim(t, F.lit(")"))))
+    tags = F.transform(tags, lambda t: F.regexp_replace(t, r"[ \t]+", " "))
     rows = kept(
         df.select(
             F.monotonically_increasing_id().alias("at"),
             F.struct(*[col(c) for c in own]).alias("row"),
             col(path).alias("path"),
             is_file.alias("is_file"),
-            F.when(whole(text).rlike(has_anchor), F.array_distinct(plain)).otherwise(F.array().cast("array<string>")).alias("sections"),
+            F.when(whole(text).rlike(has_anchor), F.array_distinct(plain)).otherwise(none).alias("sections"),
+            F.when(is_file & whole(text).rlike(has_whole), F.array(F.array_join(_terms(whole(text)), " "))).otherwise(none).alias("bodies"),
+            F.when(
+                whole(text).rlike("(?i)SPDX-License-Identifier:"),
+                F.filter(F.array_distinct(tags), lambda t: ~F.upper(t).isin("NONE", "NOASSERTION")),
+            ).otherwise(none).alias("tags"),
         ),
         "sections",
     )
-    # Sections go by their digests: a long one must not travel along with each of its terms.
-    digest = F.sha2("section", 256).alias("digest")
-    different = rows.select(F.explode("sections").alias("section")).select(digest, "section").dropDuplicates(["digest"])
-    scored = _score(different, weights, idf, unseen, threshold)
+    found = (
+        _matches(rows, "bodies", whole_weights, whole_idf, whole_unseen, threshold)
+        .unionByName(rows.select("at", F.explode("tags").alias("name"), F.lit(1.0).alias("score")))
+        .withColumn("last", F.lit(False))
+        .unionByName(_matches(rows, "sections", weights, idf, unseen, threshold).withColumn("last", F.lit(True)))
+    )
     best = (
-        rows.select("at", F.explode("sections").alias("section"))
-        .select("at", digest)
-        .join(scored, "digest")
-        .groupBy("at")
-        .agg(F.min(F.struct((-F.col("score")).alias("minus"), "name")).alias("b"))
+        found.groupBy("at")
+        .agg(F.min(F.struct("last", (-F.col("score")).alias("minus"), "name")).alias("b"))
         .select("at", F.col("b.name").alias("own_license"), (-F.col("b.minus")).alias("own_score"))
     )
-    judged = rows.drop("sections").join(best, "at", "left").withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", ""))
+    judged = rows.drop("sections", "bodies", "tags").join(best, "at", "left").withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", ""))
     judged = kept(judged, "licenses")
     inherited = _inherit(judged)
     found = judged.join(inherited, "dir", "left")
@@ -139,6 +184,23 @@ def scan_licenses(
     )
 
 
+def _present(text: str, shapes: list) -> Column:
+    """The templates' terms that the text has."""
+    vocabulary = sorted({t for _, _, s in shapes for t in s})
+    known = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
+    return F.array_intersect(F.array_distinct(_terms(whole(text))), known)
+
+
+def _matches(rows: DataFrame, sections: str, weights: list, idf: dict[str, float], unseen: float, threshold: float) -> DataFrame:
+    """at, name, score of the sections that reach the threshold."""
+    # Sections go by their digests: a long one must not travel along with each of its terms.
+    digest = F.sha2("section", 256).alias("digest")
+    each = rows.select("at", F.explode(sections).alias("section"))
+    different = each.select(digest, "section").dropDuplicates(["digest"])
+    scored = _score(different, weights, idf, unseen, threshold)
+    return each.select("at", digest).join(scored, "digest").select("at", "name", "score")
+
+
 def _score(sections: DataFrame, weights: list, idf: dict[str, float], unseen: float, threshold: float) -> DataFrame:
     """digest, name, score of the best template of each section that reaches the threshold."""
     spark = sections.sparkSession

@@ -321,6 +321,27 @@ def test_licenses(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_more_licenses(spark):
+    mit = dict(licenses.whole_texts())["MIT"].upper()
+    notices = {
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "// This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License.": "CC-BY-NC-SA-3.0",
+        "Licensed under CC BY 4.0": "CC-BY-4.0",
+        "/* SPDX-License-Identifier: Apache-2.0  OR (MIT AND EUPL-1.2) */": "Apache-2.0 OR (MIT AND EUPL-1.2)",
+        "# (SPDX-License-Identifier: Zlib).": "Zlib",
+        "SPDX-License-Identifier: NONE": None,
+        "version 4.0 by someone": None,
+    }
+    rows = [(f"a{i}/x.py", f"code\n{t}\nmore code") for i, t in enumerate(notices)]
+    texts = licenses.whole_texts()
+    rows += [(f"w{i}/LICENSE", "Copyright (c) 2020 Some One\n\n" + t) for i, (_, t) in enumerate(texts)]
+    rows += [("m/COPYING", "Copyright (c) 2020 Some One\n" + "\n".join(mit.split(" "))), ("m/x.py", "\n".join(mit.split(" ")))]
+    found = {r.path: r.own_license for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert [found[f"a{i}/x.py"] for i in range(len(notices))] == list(notices.values())
+    assert [found[f"w{i}/LICENSE"] for i in range(len(texts))] == [name for name, _ in texts]
+    assert (found["m/COPYING"], found["m/x.py"]) == ("MIT", None)
+
+
 def test_prefix_filter_loses_nothing():
     rng = random.Random(2)
     for _ in range(100):

@@ -77,6 +77,15 @@ def test_op1_finds_every_notice(spark, docs):
             assert (r.license, r.inherited_from) == (wanted or (None, None))
 
 
+def test_op1_finds_the_noncommercial_notice(spark, docs):
+    rows = {r.doc_id: r for r in run(spark, "op1_licenses").collect()}
+    wanted = [d for d, row in docs.items() if "Licensed under CC BY-NC 4.0." in row[0].split("\n")]
+    assert wanted
+    for d in wanted:
+        assert rows[d].own_license and rows[d].own_score == 1.0
+    assert any(rows[d].own_license == "CC-BY-NC-4.0" for d in wanted)
+
+
 def test_op2_reads_back(spark):
     rows = duckdb.sql(f"SELECT conv_id, turn, role, text FROM '{FOLDER}/conversations.parquet' ORDER BY 1, 2").fetchall()
     said = "</s>[INST] ok [/INST]"
