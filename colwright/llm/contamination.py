@@ -6,9 +6,10 @@ apart fall back into step, so their outputs differ in few places. Sampled places
 to a key, REPEATS times with new walks; a window of a text that shares a key with an item of
 its size class is verified by the edit distance in words, which may be MAX_EDITS of the item's words.
 
-Windows start at the item's own seeds (the longest SEEDS pairs of neighbouring words in its first two thirds), so a
-text is walked only where an item may lie, at any place of the whole text. A copy is missed if all its seeds
-are edited or no key of any seed agrees; tests measure a recall of over 0.95 at the largest distance that counts.
+Windows start at every pair of neighbouring words that some item has. An edit breaks two pairs at most, so a copy of n words
+with k edits keeps n - 1 - 2k of them within n + k words: pairs that lie thinner are not walked, and candidates with fewer of the
+item's pairs are not verified; both lose nothing. A copy is missed only if no key of any pair left agrees; tests measure the
+recall at the largest distance that counts, with edits anywhere and on the longest words.
 
 Items of fewer than MIN_WORDS words are no passages and match nothing; so do null and empty ones. Null and empty texts have no
 hits. Repeated items and texts are reported each by itself.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -29,14 +31,13 @@ from colwright.llm.text import whole
 
 MIN_WORDS = 8
 MAX_EDITS = 0.2
-SEEDS = 6
 REPEATS = 16
 SAMPLED = 2
 # Size classes: outputs of a walk, and the words that an item needs behind its seed so that the walk stays inside.
 CLASSES = ((4, 4), (8, 7), (16, 12), (32, 22), (64, 40))
 GAP = 64  # filler between texts, as long as the longest walk
 # Items whose index is held by a task at a time; more items take further passes over the text column.
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 100_000
 CHUNK = 1 << 20
 HIT = "array<struct<item_id:bigint,distance:int,start_word:bigint,end_word:bigint>>"
 _TABLE: list[np.ndarray] = []
@@ -88,12 +89,18 @@ def word_hashes(text: str) -> np.ndarray:
     return _mix(np.concatenate(found), 1) if found else np.empty(0, np.uint64)
 
 
+@cache
+def _sampled() -> dict[int, np.ndarray]:
+    """For each class the steps that a key holds, one row per repeat."""
+    return {m: np.array([np.random.RandomState(r).choice(m - 1, SAMPLED, replace=False) + 1 for r in range(REPEATS)]) for m, _ in CLASSES}
+
+
 def _walk(word: np.ndarray, starts: np.ndarray) -> dict[int, np.ndarray]:
     """For each class the keys of the windows at the starts, one row per repeat."""
     pos = np.repeat(starts[None, :], REPEATS, axis=0)
     seeds = np.arange(REPEATS, dtype=np.uint64)[:, None] * np.uint64(0xD1342543DE82EF95)
     keys = {m: np.repeat(word[starts][None, :], REPEATS, axis=0) + seeds + np.uint64(m) for m, _ in CLASSES}
-    taken = {m: np.array([np.random.RandomState(r).choice(m - 1, SAMPLED, replace=False) + 1 for r in range(REPEATS)]) for m in keys}
+    taken = _sampled()
     for step in range(max(keys)):
         here = word[np.minimum(pos, len(word) - 1)]
         for m in keys:
@@ -109,6 +116,11 @@ def _pairs(word: np.ndarray) -> np.ndarray:
     return _mix(word, 7) + np.r_[word[1:], np.zeros(1, np.uint64)]
 
 
+def _least_pairs(n: int) -> int:
+    """How many of its pairs an item of n words keeps in any copy that counts."""
+    return n - 1 - 2 * int(MAX_EDITS * n)
+
+
 def distance(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     """The least edit distance of the item to a part of the window, and where the first such part ends."""
     n = np.arange(len(window) + 1)
@@ -125,37 +137,67 @@ def distance(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
 class Index:
     """The keys of a block of items, for whole batches of texts."""
 
-    def __init__(self, items: list[tuple[int | None, np.ndarray, np.ndarray]]):
-        self.items = [(i, w) for i, w, _ in items]
-        seeds, entries = [], defaultdict(list)
-        for no, (_, word, sizes) in enumerate(items):
-            pairs = _pairs(word)
-            size = (sizes + np.r_[sizes[1:], 0])[: max(1, 2 * len(word) // 3)]
-            offsets = np.sort(np.argsort(-size, kind="stable")[:SEEDS])
-            keys = _walk(np.r_[word, np.zeros(GAP, np.uint64)], offsets)
-            for k, at in enumerate(offsets):
-                m = max(m for m, need in CLASSES if need <= max(4, len(word) - at))
-                seeds.append(pairs[at])
-                for r in range(REPEATS):
-                    entries[m].append((keys[m][r, k], no, at))
-        self.seeds = np.unique(np.array(seeds, np.uint64))
+    def __init__(self, items: list[tuple[int | None, np.ndarray]]):
+        self.items = [(i, w) for i, w, *_ in items]
+        pairs = [_pairs(w)[:-1] for _, w in self.items]
+        self.seeds = np.unique(np.concatenate([np.empty(0, np.uint64), *pairs]))
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.seeds & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        self.tables = {}
-        for m, rows in entries.items():
-            key = np.array([r[0] for r in rows], np.uint64)
+        # Lengths of items in steps of an eighth: the fewest pairs that a copy keeps, and the most words that it has.
+        self.dense: dict[int, tuple[int, int]] = {}
+        for n in {len(w) for _, w in self.items}:
+            need, span = _least_pairs(n), n + int(MAX_EDITS * n)
+            old = self.dense.get(step := int(8 * np.log2(n)), (need, span))
+            self.dense[step] = min(need, old[0]), max(span, old[1])
+        self.sizes = np.array([len(w) for _, w in self.items], np.int64)
+        self.edits = (MAX_EDITS * self.sizes).astype(np.int64)
+        # Which item has which pair, as one sorted column.
+        rank = [no * len(self.seeds) + np.searchsorted(self.seeds, p) for no, p in enumerate(pairs)]
+        self.has = np.unique(np.concatenate([np.empty(0, np.int64), *rank]))
+        self.tables = self._entries()
+
+    def _entries(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """For each class its sorted keys, with the item and the place in it where the walk started."""
+        if not self.items:
+            return {}
+        word = np.concatenate([x for _, w in self.items for x in (w, np.zeros(GAP, np.uint64))])
+        no = np.repeat(np.arange(len(self.items), dtype=np.int32), self.sizes - 1)
+        offset = np.concatenate([np.arange(n - 1, dtype=np.int32) for n in self.sizes])
+        first = np.cumsum(self.sizes + GAP) - self.sizes - GAP
+        left = np.maximum(4, self.sizes[no] - offset)
+        kind = np.searchsorted([need for _, need in CLASSES], left, "right") - 1
+        found = defaultdict(list)
+        for i in range(0, len(no), 1 << 14):
+            part = slice(i, i + (1 << 14))
+            keys = _walk(word, first[no[part]] + offset[part])
+            for c in np.unique(kind[part]):
+                at = np.flatnonzero(kind[part] == c)
+                what = np.stack([no[part][at], offset[part][at]], axis=1)
+                found[CLASSES[c][0]].append((keys[CLASSES[c][0]][:, at].ravel(), np.tile(what, (REPEATS, 1))))
+        tables = {}
+        for m, rows in found.items():
+            key, what = map(np.concatenate, zip(*rows))
             order = np.argsort(key, kind="stable")
-            what = np.array([(r[1], r[2]) for r in rows], np.int64)
-            self.tables[m] = key[order], what[order]
+            tables[m] = key[order], what[order]
+        return tables
 
     def starts(self, word: np.ndarray) -> np.ndarray:
+        """The places of known pairs that lie as dense as in some copy."""
         pairs = _pairs(word)
         at = np.flatnonzero(self.maybe[(pairs & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        return at[np.isin(pairs[at], self.seeds)] if len(at) else at
+        at = at[np.isin(pairs[at], self.seeds)] if len(at) else at
+        keep = np.zeros(len(at), bool)
+        for need, span in self.dense.values():
+            if len(at) >= need:
+                close = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] < span)
+                covered = np.bincount(close, minlength=len(at) + 1) - np.bincount(close + need, minlength=len(at) + 1)
+                keep |= np.cumsum(covered)[: len(at)] > 0
+        return at[keep]
 
     def candidates(self, word: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Distinct (place of the item's first word, item) that share a key with a window."""
-        found = [np.empty((0, 2), np.int64)]
+        found = [np.empty(0, np.int64)]
+        count, before = len(self.items), int(self.sizes.max())
         step = 1 << 14
         for i in range(0, len(starts), step):
             at = starts[i : i + step]
@@ -168,8 +210,28 @@ class Index:
                     many = n[hit]
                     rows = np.repeat(low[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                     place = np.repeat(at[hit[1]], many) - what[rows, 1]
-                    found.append(np.unique(np.stack([place, what[rows, 0]], axis=1), axis=0))
-        return np.unique(np.concatenate(found), axis=0)
+                    found.append(np.unique((place + before) * count + what[rows, 0]))
+        both = np.unique(np.concatenate(found))
+        return np.stack([both // count - before, both % count], axis=1)
+
+    def likely(self, word: np.ndarray, starts: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """The candidates around which the text has as many of the item's pairs as any copy."""
+        keep = [found[:0]]
+        rank = np.searchsorted(self.seeds, _pairs(word)[starts])
+        for i in range(0, len(found), 1 << 16):
+            place, no = found[i : i + (1 << 16)].T
+            low = np.searchsorted(starts, place - self.edits[no])
+            n = np.searchsorted(starts, place + self.sizes[no] + self.edits[no]) - low
+            need = self.sizes[no] - 1 - 2 * self.edits[no]
+            at = np.flatnonzero(n >= need)
+            low, n, which = low[at], n[at], no[at]
+            row = np.repeat(np.arange(len(at)), n)
+            near = rank[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low, n)]
+            code = which[row] * len(self.seeds) + near
+            hit = self.has[np.minimum(np.searchsorted(self.has, code), len(self.has) - 1)] == code
+            at = at[np.bincount(row[hit], minlength=len(at)) >= need[at]]
+            keep.append(found[i : i + (1 << 16)][at])
+        return np.concatenate(keep)
 
     def hits(self, words: list[np.ndarray]) -> list[list[dict]]:
         """For each text the items that it holds, with the least distance and the words where it lies."""
@@ -179,22 +241,24 @@ class Index:
         filler = np.zeros(GAP, np.uint64)
         word = np.concatenate([x for w in words for x in (w, filler)])
         first = np.cumsum([0] + [len(w) + GAP for w in words])
-        found = self.candidates(word, self.starts(word))
+        starts = self.starts(word)
+        found = self.likely(word, starts, self.candidates(word, starts))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for place, no in found.tolist():
-            item = self.items[no][1]
+        # The seed lies behind the first word, so a place before its text still belongs to it.
+        docs = np.clip(np.searchsorted(first, found[:, 0] + self.sizes[found[:, 1]] // 2, "right") - 1, 0, len(words) - 1)
+        # Places of an item that lie less than its length apart are verified together.
+        around: dict[tuple[int, int, int], list[int]] = {}
+        for doc, (place, no) in zip(docs.tolist(), found.tolist()):
+            at = place - int(first[doc])
+            ends = around.setdefault((doc, no, at // int(self.sizes[no])), [at, at])
+            ends[0], ends[1] = min(ends[0], at), max(ends[1], at)
+        for (doc, no, _), (least, most) in around.items():
+            item, text = self.items[no][1], words[doc]
             n, edits = len(item), int(MAX_EDITS * len(item))
-            # The seed lies behind the first word, so a place before its text still belongs to it.
-            doc = int(np.searchsorted(first, place + n // 2, "right")) - 1
-            doc = min(max(doc, 0), len(words) - 1)
             old = best.get((doc, no))
             if old and old[0] == 0:
                 continue
-            text, at = words[doc], place - int(first[doc])
-            if at >= 0 and at + n <= len(text) and np.array_equal(text[at : at + n], item):
-                best[doc, no] = 0, at, at + n
-                continue
-            low, high = max(0, at - edits), min(len(text), at + n + edits)
+            low, high = max(0, least - edits), min(len(text), most + n + edits)
             if high - low < n - edits:
                 continue
             d, end = distance(item, text[low:high])
@@ -206,10 +270,9 @@ class Index:
         return out
 
 
-def _item(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The words' hashes and lengths."""
-    runs = "".join(c if _inside(c) else " " for c in text).split()
-    return word_hashes(text), np.array([len(r) for r in runs], np.int64)
+def _item(text: str) -> tuple[np.ndarray]:
+    """What follows an item's id in an index: the words' hashes."""
+    return (word_hashes(text),)
 
 
 def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[Index]:
@@ -217,10 +280,10 @@ def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text") -> I
     require(items, item_id, text)
     block, total = [], 0
     for row in items.select(col(item_id).alias("i"), whole(text).alias("t")).toLocalIterator():
-        word, sizes = _item(row["t"])
+        word = word_hashes(row["t"])
         if len(word) < MIN_WORDS:
             continue
-        block.append((row["i"], word, sizes))
+        block.append((row["i"], word))
         total += len(word)
         if total >= BLOCK_WORDS:
             yield Index(block)

@@ -193,6 +193,21 @@ def test_recall_at_the_largest_distance(seed):
     assert recall > 0.95
 
 
+@pytest.mark.parametrize("longest", [True, False])
+def test_recall_with_edits_on_the_longest_words_or_in_front(longest):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+    items = [[rng.choice(vocabulary) for _ in range(rng.randint(10, 60))] for _ in range(200)]
+    index = contamination.Index([(i, *contamination._item(" ".join(w))) for i, w in enumerate(items)])
+    texts = []
+    for word in items:
+        places = sorted(range(len(word)), key=lambda j: -len(word[j])) if longest else rng.sample(range(2 * len(word) // 3), len(word) // 5)
+        edited = set(places[: len(word) // 5])
+        texts.append("a b c " + " ".join(f"new{j}" if j in edited else w for j, w in enumerate(word)) + " d e f")
+    found = index.hits([contamination.word_hashes(t) for t in texts])
+    assert sum(any(h["item_id"] == i for h in hits) for i, hits in enumerate(found)) > 0.95 * len(items)
+
+
 def test_language(spark):
     texts = {"aa": "kala mala tala sala", "bb": "xyrtz qwrtp zxcvb mnbvc"}
     train = spark.createDataFrame([(f"{t} {i}", k) for k, t in texts.items() for i in range(30)] + [(None, "aa"), ("", "bb"), ("kala", None)], "text string, lang string")
