@@ -36,15 +36,18 @@ ROWS = 256
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
 
 
+def _letter(c: int) -> int:
+    """The lower case of the code point if it is a letter, else a blank."""
+    s = chr(c)
+    if not s.isalpha():
+        return 32
+    low = s.lower()
+    return ord(low) if len(low) == 1 else c
+
+
 def _letters() -> np.ndarray:
-    """For each code point of the first plane: its lower case if it is a letter, else a blank."""
-    table = np.full(1 << 16, 32, np.uint32)
-    for c in range(1 << 16):
-        s = chr(c)
-        if s.isalpha():
-            low = s.lower()
-            table[c] = ord(low) if len(low) == 1 else c
-    return table
+    """For each code point of the first plane its letter or a blank; those beyond are looked up as they come."""
+    return np.array([_letter(c) for c in range(1 << 16)], np.uint32)
 
 
 _TABLE: list[np.ndarray] = []
@@ -55,8 +58,11 @@ def _codes(text: str, after_blank: bool) -> np.ndarray:
     if not _TABLE:
         _TABLE.append(_letters())
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    # Beyond the first plane every character counts as a letter.
-    codes = np.where(points < 1 << 16, _TABLE[0][np.minimum(points, (1 << 16) - 1)], points)
+    codes = _TABLE[0][np.minimum(points, (1 << 16) - 1)]
+    far = np.flatnonzero(points >= 1 << 16)
+    if len(far):
+        some, which = np.unique(points[far], return_inverse=True)
+        codes[far] = np.array([_letter(int(c)) for c in some], np.uint32)[which]
     blank = codes == 32
     return codes[~(blank & np.r_[after_blank, blank[:-1]])]
 

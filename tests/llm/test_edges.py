@@ -221,6 +221,18 @@ def test_language(spark):
     assert language.predict(frame(spark, [(1, "kala")]), empty).first().lang_pred == "und"
 
 
+def test_letters_beyond_the_first_plane():
+    assert language.counts("\U0001f600\U0001f680 12 \U0001f600") is None
+    upper, lower = "\U00010400\U00010401", "\U00010428\U00010429"
+    assert (language.counts(upper + " \U0001f600 a") == language.counts(lower + " a")).all()
+
+
+def test_emoji_are_no_language(spark):
+    model = language.fit(spark.createDataFrame([("kala mala tala sala", "aa")] * 5, "text string, lang string"))
+    df = spark.createDataFrame([("\U0001f600\U0001f680 12",)], "text string")
+    assert language.predict(df, model).first().lang_pred == "und"
+
+
 def test_far_texts_are_rejected(spark):
     train = spark.createDataFrame([("kala mala tala sala " * 20, "aa")] * 20, "text string, lang string")
     df = spark.createDataFrame([("漢字仮名交文章",), ("kala sala tala " * 20,)], "text string")
