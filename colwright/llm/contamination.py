@@ -11,7 +11,8 @@ with k edits keeps n - 1 - 2k of them within n + k words: pairs that lie thinner
 item's pairs are not verified; both lose nothing. A copy is missed only if no key of any pair left agrees; tests measure the
 recall at the largest distance that counts, with edits anywhere and on the longest words.
 
-Items of fewer than MIN_WORDS words are no passages and match nothing; so do null and empty ones. Null and empty texts have no
+Items of fewer than MIN_WORDS words are found where all their words stand in a row. Each character of a script that is written
+without spaces between words is a word. Items without words match nothing; so do null and empty ones. Null and empty texts have no
 hits. Repeated items and texts are reported each by itself.
 """
 
@@ -62,26 +63,40 @@ def _folded() -> np.ndarray:
     return table
 
 
+# Scripts without spaces between words: Thai, Lao, Burmese, Tai, Khmer, kana, Han.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF),
+            (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xAA80, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF))
+
+
+def _unspaced(points: np.ndarray) -> np.ndarray:
+    alone = np.zeros(len(points), bool)
+    if len(points) and points.max() >= UNSPACED[0][0]:
+        for low, high in UNSPACED:
+            alone |= (points >= low) & (points <= high)
+    return alone
+
+
 def _inside(c: str) -> bool:
     return c.isalnum() or ord(c) >= 1 << 16
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """A hash of each word (a run of letters and digits, in lower case) of the whole text."""
+    """A hash of each word (a run of letters and digits, in lower case, or a character of an unspaced script) of the whole text."""
     if not _TABLE:
         _TABLE.append(_folded())
     found, i = [], 0
     while i < len(text):
         j = min(len(text), i + CHUNK)
-        while j < len(text) and _inside(text[j - 1]) and _inside(text[j]):
+        while j < len(text) and _inside(text[j - 1]) and _inside(text[j]) and not _unspaced(np.array([ord(text[j])]))[0]:
             j += 1
         points = np.frombuffer(text[i:j].encode("utf-32-le", "surrogatepass"), np.uint32)
         codes = np.where(points < 1 << 16, _TABLE[0][np.minimum(points, (1 << 16) - 1)], points)
         within = codes > 0
-        edge = np.flatnonzero(np.diff(within, prepend=False, append=False))
-        sizes = edge[1::2] - edge[::2]
-        if len(sizes):
-            first = np.cumsum(sizes) - sizes
+        alone = within & _unspaced(points)
+        begins = within & (alone | ~np.r_[False, within[:-1]] | np.r_[False, alone[:-1]])
+        first = np.flatnonzero(begins[within])
+        if len(first):
+            sizes = np.diff(first, append=int(within.sum()))
             power = np.cumprod(np.full(int(sizes.max()), 0x100000001B3, np.uint64))
             place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
             found.append(np.add.reduceat(codes[within] * power[place], first))
@@ -116,6 +131,15 @@ def _pairs(word: np.ndarray) -> np.ndarray:
     return _mix(word, 7) + np.r_[word[1:], np.zeros(1, np.uint64)]
 
 
+def _runs(word: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n words in a row."""
+    size = max(0, len(word) - n + 1)
+    out = np.zeros(size, np.uint64)
+    for k in range(n):
+        out = _mix(out ^ word[k : k + size], 11)
+    return out
+
+
 def _least_pairs(n: int) -> int:
     """How many of its pairs an item of n words keeps in any copy that counts."""
     return n - 1 - 2 * int(MAX_EDITS * n)
@@ -138,7 +162,13 @@ class Index:
     """The keys of a block of items, for whole batches of texts."""
 
     def __init__(self, items: list[tuple[int | None, np.ndarray]]):
-        self.items = [(i, w) for i, w, *_ in items]
+        self.items = [(i, w) for i, w, *_ in items if len(w) >= MIN_WORDS]
+        self.short = [(i, w) for i, w, *_ in items if 0 < len(w) < MIN_WORDS]
+        # Of each length the hashes of the short items, and which items have them.
+        self.rows: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for no, (_, w) in enumerate(self.short):
+            self.rows[len(w)][int(_runs(w, len(w))[0])].append(no)
+        self.rows = {n: dict(of) for n, of in self.rows.items()}
         pairs = [_pairs(w)[:-1] for _, w in self.items]
         self.seeds = np.unique(np.concatenate([np.empty(0, np.uint64), *pairs]))
         self.maybe = np.zeros(1 << 20, bool)
@@ -233,14 +263,35 @@ class Index:
             keep.append(found[i : i + (1 << 16)][at])
         return np.concatenate(keep)
 
+    def _exact(self, word: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Text, short item and the first place of each short item in each text."""
+        for n, of in self.rows.items():
+            runs = _runs(word, n)
+            at = np.flatnonzero(np.isin(runs, np.array(list(of), np.uint64)))
+            docs = np.searchsorted(first, at, "right") - 1
+            # A text may repeat an item often: only the first place of each is looked at.
+            order = np.lexsort((at, runs[at], docs))
+            at, docs = at[order], docs[order]
+            new = np.ones(len(at), bool)
+            new[1:] = (np.diff(docs) != 0) | (runs[at][1:] != runs[at][:-1])
+            for doc, place in zip(docs[new].tolist(), at[new].tolist()):
+                for no in of[int(runs[place])]:
+                    if np.array_equal(word[place : place + n], self.short[no][1]):
+                        yield doc, no, place - int(first[doc])
+
     def hits(self, words: list[np.ndarray]) -> list[list[dict]]:
         """For each text the items that it holds, with the least distance and the words where it lies."""
         out: list[list[dict]] = [[] for _ in words]
-        if not self.items or not len(words):
+        if not len(words):
             return out
         filler = np.zeros(GAP, np.uint64)
         word = np.concatenate([x for w in words for x in (w, filler)])
         first = np.cumsum([0] + [len(w) + GAP for w in words])
+        for doc, no, at in self._exact(word, first):
+            item_id, item = self.short[no]
+            out[doc].append({"item_id": item_id, "distance": 0, "start_word": at, "end_word": at + len(item)})
+        if not self.items:
+            return out
         starts = self.starts(word)
         found = self.likely(word, starts, self.candidates(word, starts))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -281,7 +332,7 @@ def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text") -> I
     block, total = [], 0
     for row in items.select(col(item_id).alias("i"), whole(text).alias("t")).toLocalIterator():
         word = word_hashes(row["t"])
-        if len(word) < MIN_WORDS:
+        if not len(word):
             continue
         block.append((row["i"], word))
         total += len(word)

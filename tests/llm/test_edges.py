@@ -193,6 +193,16 @@ def test_recall_at_the_largest_distance(seed):
     assert recall > 0.95
 
 
+def test_short_and_unspaced_items(spark):
+    han = "".join(chr(0x4E00 + 37 * i) for i in range(60))
+    item = han[:20] + "，" + han[20:40] + "，" + han[40:]
+    items = spark.createDataFrame([(1, "What is Seven?"), (2, item), (3, "what"), (4, "..."), (5, "กขค งจ")], "item_id bigint, text string")
+    rows = [(1, "so what is  seven, then what is seven"), (2, "x" + item + "y"), (3, "前" + item.replace(han[30], "")), (4, "whatever is seven"), (5, "seven what is"), (6, "ฮกขคงจฮ")]
+    found = contamination.find_items(spark.createDataFrame(rows, "doc_id bigint, text string"), items).collect()
+    hits = {r.doc_id: sorted((h.item_id, h.distance, h.start_word, h.end_word) for h in r.hits) for r in found}
+    assert hits == {1: [(1, 0, 1, 4), (3, 0, 1, 2)], 2: [(2, 0, 1, 61)], 3: [(2, 1, 1, 60)], 4: [], 5: [(3, 0, 1, 2)], 6: [(5, 0, 1, 6)]}
+
+
 @pytest.mark.parametrize("longest", [True, False])
 def test_recall_with_edits_on_the_longest_words_or_in_front(longest):
     rng = random.Random(5)
