@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colwright.llm import chat, contamination, language, licenses, mixing, quality, secrets, simhash, tokens, warc
+from colwright.llm import chat, contamination, language, licenses, merkle, mixing, phrases, quality, records, secrets, simhash, tokens, warc
+from colwright.sources.shared import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -192,3 +193,127 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
   CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
 FROM f
 """
+
+
+END_ID = 2
+
+
+@query
+def op11_records(table: Callable[[str], DataFrame]) -> DataFrame:
+    docs = table("documents")
+    path = shared_path(docs.sparkSession, "records")
+    records.write(docs, path, tokenizer_path(), END_ID)
+    found = records.read(docs.sparkSession, path, with_ids=False)
+    return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op12_phrases(table: Callable[[str], DataFrame]) -> DataFrame:
+    return phrases.collocations(table("documents"))
+
+
+SQL["op12_phrases"] = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS pid, lang, w FROM (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+      SELECT coalesce(lang, 'und') AS lang,
+        unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+      FROM documents))
+), g AS (
+  SELECT lang, k, w[i:i + k - 1] AS words FROM (
+    SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest(range(1, 6)) AS k))
+), f AS (
+  SELECT lang, k, words, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100
+), n AS (
+  SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang
+), cuts AS (
+  SELECT c.lang, c.k, c.words, c.a, n.n, j.j, l.a AS l, r.a AS r,
+    (1000::HUGEINT * c.a * n.n) // (l.a::HUGEINT * r.a) AS score
+  FROM f c JOIN n USING (lang) JOIN (SELECT unnest(range(1, 5)) AS j) j ON j.j < c.k
+  JOIN f l ON l.lang = c.lang AND l.words = c.words[1:j.j]
+  JOIN f r ON r.lang = c.lang AND r.words = c.words[j.j + 1:c.k]
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, j) = 1
+), inner_ AS (
+  SELECT DISTINCT lang, words[i:i + m - 1] AS words, a FROM (
+    SELECT lang, k, words, a, m, unnest(range(1, k - m + 2)) AS i FROM f, (SELECT unnest(range(2, 5)) AS m) WHERE m < k)
+), kept AS (
+  SELECT b.*, array_to_string(b.words, ' ') AS phrase FROM best b
+  WHERE NOT EXISTS (SELECT 1 FROM inner_ x WHERE x.lang = b.lang AND x.words = b.words AND 100 * x.a >= 100 * b.a)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept
+)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
+  CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000
+"""
+
+
+@query
+def op13_manifest(table: Callable[[str], DataFrame]) -> DataFrame:
+    def leaf(text):
+        return merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, leaf(lowered)).otherwise(leaf(F.col("text")))
+    made = merkle.manifest(table("documents"), leaf(F.col("text")), "doc_id", "lang", {"doc_id": F.col("doc_id"), "now": tampered})
+    folded = merkle.fold(F.col("now"), F.col("proof"))
+    proved = made.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root"))
+    return proved.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+SQL["op13_manifest"] = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang,
+    coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-')
+      || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-')
+      || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head,
+    coalesce(octet_length(encode(text)) || ':' || text, '-') AS t,
+    coalesce(octet_length(encode(text)) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-') AS low,
+    -- The remainder of the crc32 of the decimal id.
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)),
+        lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)), 4294967295) AS crc
+  FROM documents
+), l AS (
+  SELECT *, sha256(head || t) AS leaf, CASE WHEN crc % 3 = 0 THEN sha256(head || low) ELSE sha256(head || t) END AS now,
+    coalesce('=' || lang, '-') AS grp FROM d
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM l
+), low_nodes AS (
+  SELECT grp, 0 AS level, i, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT grp, level + 1, i // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY i)) FROM low_nodes WHERE n > 1
+  GROUP BY grp, level, i // 8, n
+), subroots AS (
+  SELECT grp, digest AS subroot, row_number() OVER (ORDER BY encode(grp)) - 1 AS i, count(*) OVER () AS n FROM low_nodes WHERE n = 1
+), high_nodes AS (
+  SELECT 0 AS level, i, n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY i)) FROM high_nodes WHERE n > 1 GROUP BY level, i // 8, n
+), steps AS (
+  SELECT rid, level AS step,
+    coalesce(string_agg(digest, '' ORDER BY i) FILTER (WHERE i < own), '') AS l, coalesce(string_agg(digest, '' ORDER BY i) FILTER (WHERE i > own), '') AS r
+  FROM (
+    SELECT p.rid, t.level, t.i, t.digest, p.i // CAST(pow(8, t.level) AS BIGINT) AS own FROM placed p
+    JOIN low_nodes t ON t.grp = p.grp AND t.n > 1 AND t.i // 8 = p.i // CAST(pow(8, t.level + 1) AS BIGINT)
+    UNION ALL
+    SELECT p.rid, 1000 + t.level, t.i, t.digest, s.i // CAST(pow(8, t.level) AS BIGINT) FROM placed p JOIN subroots s USING (grp)
+    JOIN high_nodes t ON t.n > 1 AND t.i // 8 = s.i // CAST(pow(8, t.level + 1) AS BIGINT)
+  ) GROUP BY rid, level, own
+), proofs AS (
+  SELECT rid, sha256(string_agg(l || r, '' ORDER BY step)) AS proof FROM steps GROUP BY rid
+), counted AS (
+  SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY step) AS k, l, r FROM steps
+), folds AS (
+  SELECT rid, 0 AS k, now AS digest FROM placed
+  UNION ALL
+  SELECT f.rid, f.k + 1, sha256(c.l || f.digest || c.r) FROM folds f JOIN counted c ON c.rid = f.rid AND c.k = f.k + 1
+), ends AS (
+  SELECT rid, arg_max(digest, k) AS folded FROM folds GROUP BY rid
+), top AS (
+  SELECT digest AS root FROM high_nodes WHERE n = 1
+)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM placed JOIN subroots USING (grp) CROSS JOIN top LEFT JOIN proofs USING (rid) JOIN ends USING (rid)
+"""
