@@ -176,7 +176,7 @@ class Encoder:
         if len(self.new) > REMEMBERED:
             self.old, self.new = self.new, {}
         missing = []
-        for token in tokens:
+        for token in tokens - self.new.keys():
             ids = self.old.get(token)
             if ids is None:
                 missing.append(token)
@@ -201,7 +201,7 @@ class Encoder:
             else:
                 cut.append([cutter.cut(text)[0]])
         wanted = {t for row in cut for tokens in row[::2] for t in tokens}
-        self._learn(wanted - self.new.keys())
+        self._learn(wanted)
         known, stop = self.new.__getitem__, np.array([end], self.kind).tobytes()
         out = []
         for row in cut:
