@@ -101,5 +101,6 @@ from colwright.operators.text import (
     upper_new,
 )
 from colwright.plans.recipe import Step, apply_recipe, fit_recipe, load_recipe, save_recipe, steps_of, steps_table
-from colwright.sources.tables import preview, preview_random, read_csv, read_parquet, save_table
+from colwright.sources.shared import owned_tables
+from colwright.sources.tables import preview, preview_random, read_csv, read_parquet, restore_table, save_table
 from colwright.streaming.replay import apply_to_stream

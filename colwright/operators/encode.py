@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colwright.columns import col, fresh_name, move_after, type_of
-from colwright.operators.joins import COUNT, join_to_unique, only_hot
+from colwright.operators.joins import join_to_unique, splits_by_rows
 from colwright.plans.fits import Fit, Params, fitted
 from colwright.sources.shared import shared_path
 
@@ -85,8 +85,9 @@ def encode_category(
     table = df.sparkSession.read.parquet(categories["table"])
     codes = _codes(table, int(categories["first"]), held, code)
     known = table.where(F.col("value").isNotNull())
-    hot = only_hot(known.select(F.col("value").alias(held), F.col("rows").alias(COUNT)), known.agg(F.sum("rows")).scalar())
+    splits = fresh_name(df, "__splits")
+    hot = splits_by_rows(known.select(F.col("value").alias(held), "rows"), "rows", splits)
     # A stream's rows cannot be numbered, and come in small batches.
-    coded = keyed.join(codes, held, "left") if df.isStreaming else join_to_unique(keyed, codes, held, hot)
+    coded = keyed.join(codes, held, "left") if df.isStreaming else join_to_unique(keyed, codes, held, hot, splits)
     out = coded.select(*[col(c) for c in df.columns], col(code).alias(name))
     return out if after is None else move_after(out, [name], after)

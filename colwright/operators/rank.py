@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colwright.columns import as_list, col, fresh_name, require
+from colwright.operators.joins import PART_ROWS, broadcast_limit, estimated_bytes
 from colwright.sources.shared import kept
 
+# Values per group that may be ranked by one task; larger n are ranked by ranges.
+WINDOWED = 10_000
+
+
 def spread_sort(df: DataFrame, *order: Column) -> DataFrame:
     """Global sort in which a hash of the row is the last key.
 
@@ -44,8 +49,10 @@ def pick_first_n(df: DataFrame, column: str, order_column: str, n: int) -> DataF
     """Per value of `column` the rows with the n largest `order_column`, and their `rank`.
 
     Rows that tie at the edge all stay. Values are ranked, not rows, in a job of its own when called: rows enter only a
-    count per group and value. The counts are dealt by ranges of (group, value), and running sums within a range plus the sums of
-    a group's earlier ranges are the ranks. So no task needs a group, or a tie, as a whole, at any n.
+    count per group and value. For n up to WINDOWED each task keeps n values of a group before they are ranked together; beyond, the
+    counts are dealt by ranges of (group, value), and running sums within a range plus the sums of a group's earlier ranges are the ranks.
+    Rows then get their rank by a join, in which the rows of a tie are dealt over tasks in proportion to their number.
+    So no task needs a group, or a tie, as a whole, at any n.
     """
     return _pick(df, column, order_column, int(n), True)
 
@@ -58,9 +65,22 @@ def pick_last_n(df: DataFrame, column: str, order_column: str, n: int) -> DataFr
 def _pick(df: DataFrame, group: str, value: str, n: int, largest: bool) -> DataFrame:
     require(df, group, value)
     fresh_name(df, "rank")
-    group_, value_ = fresh_name(df, "__group"), fresh_name(df, "__value")
     order = F.col("v").desc() if largest else F.col("v").asc()
     pairs = df.groupBy(col(group).alias("g"), col(value).alias("v")).agg(F.count("*").alias("n"))
+    ranked = _ranked_windows(pairs, order, n) if n <= WINDOWED else _ranked_ranges(pairs, order)
+    ranks = kept(ranked.where(F.col("rank") <= n).select("g", "v", "n", F.col("rank").cast("int").alias("rank")), "ranks")
+    return _with_ranks(df, group, value, ranks)
+
+
+def _ranked_windows(pairs: DataFrame, order: Column, n: int) -> DataFrame:
+    """The n first values of each group, which hold all ranks up to n; cut per task before the shuffle."""
+    inner = Window.partitionBy("g").orderBy(order)
+    few = pairs.withColumn("place", F.row_number().over(inner)).where(F.col("place") <= n)
+    before = F.sum("n").over(inner.rowsBetween(Window.unboundedPreceding, -1))
+    return few.withColumn("rank", F.coalesce(before, F.lit(0)) + 1)
+
+
+def _ranked_ranges(pairs: DataFrame, order: Column) -> DataFrame:
     dealt = kept(pairs.repartitionByRange(F.col("g"), order).withColumn("part", F.spark_partition_id()), "values")
     before = Window.unboundedPreceding, -1
     inner = Window.partitionBy("g", "part").orderBy(order).rowsBetween(*before)
@@ -71,10 +91,26 @@ def _pick(df: DataFrame, group: str, value: str, n: int, largest: bool) -> DataF
     ranked = dealt.withColumn("here", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(
         earlier, F.col("g").eqNullSafe(F.col("h")) & (F.col("part") == F.col("p"))
     )
-    rank = F.col("earlier") + F.col("here") + 1
-    ranks = ranked.where(rank <= n).select(F.col("g").alias(group_), F.col("v").alias(value_), rank.cast("int").alias("rank"))
-    same = col(group).eqNullSafe(F.col(group_)) & col(value).eqNullSafe(F.col(value_))
-    return df.join(kept(ranks, "ranks"), same).drop(group_, value_)
+    return ranked.withColumn("rank", F.col("earlier") + F.col("here") + 1)
+
+
+def _with_ranks(df: DataFrame, group: str, value: str, ranks: DataFrame) -> DataFrame:
+    """The rows that have a rank. Where Spark does not broadcast the ranks, large ties are dealt over several tasks."""
+    spark = df.sparkSession
+    group_, value_, copies, at, salt, salt_ = (fresh_name(df, f"__{x}") for x in ("group", "value", "copies", "at", "salt", "salt_"))
+    named = ranks.select(F.col("g").alias(group_), F.col("v").alias(value_), "rank", "n")
+    same = col(group).eqNullSafe(col(group_)) & col(value).eqNullSafe(col(value_))
+    if estimated_bytes(ranks) <= broadcast_limit(spark):
+        return df.join(named.drop("n"), same).drop(group_, value_)
+    # A part is a small share of a task's rows, and of bounded size where tasks are large: there are few such ties.
+    total = ranks.agg(F.sum("n")).first()[0] or 0
+    share = max(1, min(PART_ROWS, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    named = named.withColumn(copies, F.ceil(F.col("n") / share).cast("int")).drop("n")
+    ties = F.broadcast(named.where(col(copies) > 1).drop("rank"))
+    rows = df.withColumn(at, F.monotonically_increasing_id()).join(ties, same, "left")
+    rows = rows.withColumn(salt, F.pmod(col(at), F.coalesce(col(copies), F.lit(1))).cast("int")).drop(group_, value_, copies, at)
+    there = named.withColumn(salt_, F.explode(F.sequence(F.lit(0), col(copies) - 1))).drop(copies)
+    return rows.join(there, same & (col(salt) == col(salt_))).drop(group_, value_, salt, salt_)
 
 
 def deduplicate(df: DataFrame, column: str, *, order_by: str | Sequence[str] | None = None) -> DataFrame:

@@ -10,7 +10,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from colwright.plans.fits import Fit, Params, settle
-from colwright.plans.registry import CLOSING, FIT, Operator, operator
+from colwright.plans.registry import CLOSING, FIT, SHUFFLE, Operator, operator
+from colwright.sources.shared import kept
 
 
 @dataclass(frozen=True)
@@ -30,8 +31,9 @@ def apply_recipe(df: DataFrame, steps: Iterable[Step], tables: Tables | None = N
     """Apply the steps in order.
 
     Fits run when it is called, those that look at the same state of the table in one scan. Steps that
-    come with their parameters are applied as they are; steps without fits run nothing. A join step names
-    its right table as `right`, to be found in `tables`.
+    come with their parameters are applied as they are; steps without fits run nothing. Where fits follow a join, sort or pick, the
+    rows after it are kept once for all of them and for the result. A join step names its right table as `right`, to be found
+    in `tables`.
     """
     return _replay(df, steps, tables or {})[0]
 
@@ -48,10 +50,10 @@ def _replay(
     done: list[Step] = []
     waiting: list[tuple[Step, Fit | None]] = []
     written: set[str] = set()
-    rows_changed = False
+    rows_changed = shuffled = False
 
-    def catch_up() -> DataFrame:
-        nonlocal rows_changed
+    def catch_up(more: bool) -> DataFrame:
+        nonlocal rows_changed, shuffled
         fits = [fit for _, fit in waiting if fit is not None]
         found = iter(settle(df, fits, lazy=False) if fits else [])
         out = df
@@ -60,9 +62,16 @@ def _replay(
                 step = replace(step, params=next(found))
             out, step = _call(out, step, tables)
             done.append(step)
+            op = operator(step.op)[1]
+            if op.kind == SHUFFLE:
+                # A sort must stay in the plan: rows that were written do not come back in order.
+                shuffled = op.changes_rows
         waiting.clear()
         written.clear()
         rows_changed = False
+        if more and shuffled:
+            # Later fits and the result share these rows, else each would join or sort again.
+            out, shuffled = kept(out, "recipe"), False
         return out
 
     closed = None
@@ -75,13 +84,13 @@ def _replay(
         fit = None
         if op.fit is not None and step.params is None:
             if rows_changed or step.column in written or step.column not in df.columns:
-                df = catch_up()
+                df = catch_up(True)
             chosen = {name: step.args[name] for name in op.fit_args if name in step.args}
             fit = op.fit(df, step.column, **chosen)
         waiting.append((step, fit))
         rows_changed |= op.changes_rows
         written.update(_writes(step))
-    return catch_up(), done
+    return catch_up(False), done
 
 
 def _writes(step: Step) -> set[str]:

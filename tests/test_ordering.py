@@ -112,7 +112,7 @@ def test_splitting_hot_keys_changes_no_result(spark, how, swap):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         one, other = (right, left) if swap else (left, right)
-        split = cw.join_tables(one, other, "k", how=how, split_hot_keys=True)
+        split = cw.join_tables(one, other, "k", how=how, part_rows=50)
         plain = cw.join_tables(one, other, "k", how=how, split_hot_keys=False)
         assert split.columns == plain.columns
         assert rows(split) == rows(plain)
@@ -128,7 +128,7 @@ def test_a_key_hot_on_both_sides_is_dealt_on_a_grid(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        sizes = [r["count"] for r in cw.join_tables(left, right, "k").groupBy(F.spark_partition_id()).count().collect()]
+        sizes = [r["count"] for r in cw.join_tables(left, right, "k", part_rows=10).groupBy(F.spark_partition_id()).count().collect()]
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -139,12 +139,96 @@ def test_a_key_hot_on_both_sides_is_dealt_on_a_grid(spark):
 def test_names_that_clash(spark, how):
     left = spark.range(3000).selectExpr("if(id % 2 = 0, 1, id) AS k", "id AS v", "id AS __a")
     right = spark.range(300).selectExpr("if(id % 3 = 0, 1, id * 2) AS k", "id AS v")
-    split, plain = (cw.join_tables(left, right, "k", how=how, split_hot_keys=s) for s in (True, False))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        split = cw.join_tables(left, right, "k", how=how, part_rows=50)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plain = cw.join_tables(left, right, "k", how=how, split_hot_keys=False)
     assert split.columns == plain.columns and rows(split) == rows(plain)
     if how not in ("left_semi", "left_anti"):
         assert plain.columns == ["k", "v", "__a", "v_right"]
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def jobs_of(spark, call):
+    """How many jobs run while the function is called, and its result."""
+    group = f"count-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        result = call()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)), result
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("how", sorted(EXPECTED))
+def test_small_tables_are_joined_without_a_job(spark, how):
+    left = spark.range(3000).selectExpr("if(id % 2 = 0, 1, id) AS k", "id AS l")
+    right = spark.range(300).selectExpr("id AS k", "id AS r")
+    assert jobs_of(spark, lambda: cw.join_tables(left, right, "k", how=how))[0] == 0
+
+
+@pytest.mark.parametrize("n", [4000, 40_000])
+def test_a_part_of_a_key_is_bounded_at_any_size(spark, no_broadcast, n):
+    # Half the left rows share a key, which the right table has too.
+    left = spark.range(n).selectExpr("if(id % 2 = 0, -1, id) AS k", "id AS l")
+    right = spark.range(n).selectExpr("if(id < 3, -1, id) AS k", "id AS r")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "400")
+    try:
+        joined = cw.join_tables(left, right, "k", how="left", part_rows=500)
+        sizes = joined.where("k = -1").groupBy(F.spark_partition_id()).count()
+        found = sizes.agg(F.count("*").alias("parts"), F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    # A part makes three rows of each of its left rows; two parts may meet in one task by chance.
+    assert found["all"] == 3 * n // 2 and found["most"] <= 3 * 500 * 3 and found["parts"] > n // 2 // 500 // 2
+
+
+def test_a_split_join_reads_each_row_once(spark, no_broadcast, tmp_path):
+    for name, sql in (("l", "if(id % 2 = 0, -1, id) AS k"), ("r", "if(id < 3, -1, id) AS k")):
+        spark.range(5000).selectExpr(sql, f"id AS {name}").write.parquet(str(tmp_path / name))
+    left, right = (spark.read.parquet(str(tmp_path / x)) for x in "lr")
+    for how in ("inner", "left", "right", "full"):
+        text = cw.join_tables(left, right, "k", how=how, part_rows=100)._jdf.queryExecution().executedPlan().toString()
+        # Each table once, and the kept hot keys once per side.
+        assert text.count("FileScan") == 4 and "SortMergeJoin" in text
+        assert text.count("Exchange hashpartitioning") == 2
+
+
+def test_keys_of_different_types_are_split_alike(spark, no_broadcast):
+    left = spark.range(600).selectExpr("cast(if(id % 2 = 0, 7, id) AS int) AS k", "id AS l")
+    right = spark.range(600).selectExpr("cast(if(id % 3 = 0, 7, id) AS bigint) AS k", "id AS r")
+    zero = spark.range(600).selectExpr("if(id % 2 = 0, 0.0D, if(id % 3 = 0, -0.0D, double(id))) AS k", "id AS r")
+    for other in (right, zero):
+        for how in sorted(EXPECTED):
+            split = cw.join_tables(left, other, "k", how=how, part_rows=20)
+            assert rows(split) == rows(cw.join_tables(left, other, "k", how=how, split_hot_keys=False))
+    for how in sorted(EXPECTED):
+        split = cw.join_tables(zero, zero.withColumnRenamed("r", "q"), "k", how=how, part_rows=20)
+        assert rows(split) == rows(cw.join_tables(zero, zero.withColumnRenamed("r", "q"), "k", how=how, split_hot_keys=False))
+
+
+def test_a_tie_of_most_rows_is_dealt_over_tasks(spark, no_broadcast):
+    df = spark.range(0, 40_000, numPartitions=8).selectExpr("'g' AS g", "if(id % 10 < 9, 5, -id) AS x", "id")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for pick, n in ((cw.pick_first_n, 3), (cw.pick_first_n, 20_000), (cw.pick_last_n, 4001)):
+            picked = pick(df, "g", "x", n)
+            sizes = [r["count"] for r in picked.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(sizes) >= 36_000 and max(sizes) <= 2 * sum(sizes) / 8
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 @pytest.mark.parametrize("sort", [cw.sort_asc, cw.sort_desc])
 def test_filters_after_a_sort_reach_the_scan(spark, sort):
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")

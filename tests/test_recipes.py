@@ -129,7 +129,7 @@ def test_recorded_ids_stand_for_operators(df):
 def test_every_operator_is_in_the_registry():
     others = {  # not table to table, or no step of a recipe
         "Step", "apply_recipe", "apply_to_stream", "column_count", "fit_recipe", "load_recipe", "read_csv", "read_parquet",
-        "save_recipe", "save_table", "steps_of", "steps_table",
+        "owned_tables", "restore_table", "save_recipe", "save_table", "steps_of", "steps_table",
     }
     public = {name for name, value in vars(cw).items() if callable(value)}
     assert public - others == set(OPERATORS)
@@ -230,12 +230,98 @@ def test_shared_folder_comes_from_the_session(spark, monkeypatch):
     assert shared_path(spark, "x") != shared_path(spark, "x")
 
 
-def test_a_session_without_a_shared_folder_uses_its_warehouse():
+def test_only_local_sessions_may_keep_tables_in_their_warehouse():
     from types import SimpleNamespace
 
     from colwright.sources.shared import shared_path
 
     values = {"spark.sql.warehouse.dir": "store://warehouse"}
-    context = SimpleNamespace(getCheckpointDir=lambda: None)
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="local[2]")
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, *default: values.get(key)), sparkContext=context)
     assert shared_path(session, "x").startswith("store://warehouse/_kept/x-")
+    context.master = "spark://host:7077"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_path(session, "x")
+    values["spark.checkpoint.dir"] = "store://shared/"
+    assert shared_path(session, "x").startswith("store://shared/x-")
+
+
+@pytest.mark.parametrize("by", [[], ["t"]])
+def test_a_table_is_saved_over_itself(spark, df, tmp_path, by):
+    path = str(tmp_path / "table")
+    cw.save_table(df, path, partition_by=by)
+    for _ in range(2):
+        old = cw.read_parquet(spark, path)
+        cw.save_table(old.withColumn("i", F.col("i") + 1), path, partition_by=by)
+    saved = cw.read_parquet(spark, path)
+    assert sorted(r.i for r in saved.collect()) == sorted(r.i + 2 for r in df.collect())
+    assert [p.name for p in tmp_path.iterdir()] == ["table"]
+
+
+@pytest.mark.parametrize("by", [[], ["t"]])
+def test_a_failing_write_leaves_the_old_rows(spark, df, tmp_path, by):
+    path = str(tmp_path / "table")
+    cw.save_table(df, path, partition_by=by)
+    bad = cw.read_parquet(spark, path).withColumn("i", F.when(F.col("i") == 3, F.raise_error(F.lit("no"))).otherwise(F.col("i")))
+    with pytest.raises(Exception, match="no"):
+        cw.save_table(bad, path, partition_by=by)
+    assert cw.read_parquet(spark, path).count() == df.count()
+    assert [p.name for p in tmp_path.iterdir()] == ["table"]
+
+
+def test_an_overwrite_that_was_cut_off_is_undone(spark, df, tmp_path):
+    path = tmp_path / "table"
+    cw.save_table(df, str(path))
+    path.rename(tmp_path / ".table.old-1")
+    assert cw.restore_table(spark, str(path)) and not cw.restore_table(spark, str(path))
+    assert cw.read_parquet(spark, str(path)).count() == df.count()
+    path.rename(tmp_path / ".table.old-2")
+    cw.save_table(df.limit(5), str(path))
+    assert cw.read_parquet(spark, str(path)).count() == 5 and [p.name for p in tmp_path.iterdir()] == ["table"]
+
+
+def test_other_modes_are_those_of_spark(spark, df, tmp_path):
+    path = str(tmp_path / "table")
+    cw.save_table(df, path)
+    cw.save_table(df, path, mode="append")
+    assert cw.read_parquet(spark, path).count() == 2 * df.count()
+    cw.save_table(df, path, mode="ignore")
+    with pytest.raises(Exception, match="exists"):
+        cw.save_table(df, path, mode="error")
+
+
+def test_owned_tables_are_removed(spark, df, tmp_path):
+    from pathlib import Path
+
+    from colwright.sources.shared import shared_path
+
+    folder = Path(shared_path(spark, "x").removeprefix("file:")).parent
+    before = {p.name for p in folder.iterdir()} if folder.exists() else set()
+    with cw.owned_tables(spark):
+        assert cw.encode_category(df, "t", "code").count() == df.count()
+        with cw.owned_tables(spark):
+            assert cw.pick_first_n(df, "t", "i", 2).count() > 0
+        assert {p.name for p in folder.iterdir()} > before
+    assert {p.name for p in folder.iterdir()} == before
+
+
+def test_fits_after_a_join_read_its_inputs_once(spark, tmp_path):
+    spark.range(2000).selectExpr("id AS k", "id % 97 AS x").write.parquet(str(tmp_path / "left"))
+    spark.range(500).selectExpr("id AS k", "id % 7 AS y").write.parquet(str(tmp_path / "right"))
+    left, right = (spark.read.parquet(str(tmp_path / n)) for n in ("left", "right"))
+    steps = [
+        Step("join_tables", "k", {"right": "r"}),
+        Step("scale_minmax", "x", {"new_column": "a"}),
+        Step("filter_greater", "a", {"value": 0.1}),
+        Step("scale_standard", "a", {"new_column": "b"}),
+        Step("filter_less", "b", {"value": 2.0}),
+        Step("replace_null_mean", "b"),
+    ]
+    with cw.owned_tables(spark):
+        out = cw.apply_recipe(left, steps, {"r": right})
+        # The rows after the join are kept once; three rounds of fits and the result read them.
+        text = out._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in text and text.count("FileScan") == 1
+        plain = cw.scale_minmax(cw.join_tables(left, right, "k"), "x", "a")
+        plain = cw.scale_standard(cw.filter_greater(plain, "a", 0.1), "a", "b")
+        assert out.count() == cw.filter_less(plain, "b", 2.0).count() > 0

@@ -48,6 +48,16 @@ def save_table(t):
     return cw.read_parquet(t.spark, path)
 
 
+@query("save_table_in_place", "SELECT * REPLACE (lower(o_orderstatus) AS o_orderstatus) FROM orders WHERE o_totalprice > 1000")
+def save_table_in_place(t):
+    # As a stored table is changed step by step: read, changed and saved again under its name.
+    path = shared_path(t.spark, "orders")
+    cw.save_table(t.orders, path)
+    cw.save_table(cw.lower(cw.read_parquet(t.spark, path), "o_orderstatus"), path)
+    cw.save_table(cw.filter_greater(cw.read_parquet(t.spark, path), "o_totalprice", 1000), path)
+    return cw.read_parquet(t.spark, path)
+
+
 @query(
     "preview",
     """SELECT cast(to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_nationkey': c_nationkey,

@@ -116,6 +116,10 @@ JOINS = {
 }
 
 
+# Fewer rows per key and task than a conversation has turns.
+SPLIT_ROWS = 3
+
+
 def _join(key: str, how: str, sql: str, **options) -> None:
     @query(key, sql)
     def build(t):
@@ -125,7 +129,8 @@ def _join(key: str, how: str, sql: str, **options) -> None:
 
 for _how, _sql in JOINS.items():
     _join(f"join_{_how}", _how, _sql)
-    _join(f"join_{_how}_split", _how, _sql, split_hot_keys=True)
+    # The same on the grid of hot keys, which tables of this size do not need.
+    _join(f"join_{_how}_split", _how, _sql, split_hot_keys=True, part_rows=SPLIT_ROWS)
 
 
 @query(
