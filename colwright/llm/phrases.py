@@ -16,8 +16,8 @@ four thousand million different phrases, each found at least `least` times. Empt
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from contextlib import ExitStack
 from functools import reduce
 
 import numpy as np
@@ -27,15 +27,15 @@ from pyspark.sql import functions as F
 
 from colwright.columns import col, require
 from colwright.llm.ranks import numbered
-from colwright.sources.shared import kept
+from colwright.sources.shared import briefly_kept, kept, remove_kept
 
 LEAST = 100
 LONGEST = 5
 TOP = 2000
 TILE_BITS = 10
 GRID = 4
-BLOCK_WORDS = 1 << 19
-HELD_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 21
+HELD_WORDS = 1 << 22
 ENTRIES = 1 << 22
 ROW_ENTRIES = 1 << 17
 FAN_IN = 256
@@ -46,6 +46,27 @@ PAIRS = "lang string, bucket bigint, block bigint, n bigint, keys binary, counts
 NO_ID = 0xFFFFFFFF
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers byte by byte of their place, so that empty upper bytes and alike lower ones are next to each other, compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: pa.Scalar, kind: type) -> np.ndarray:
+    raw, size = data.as_buffer(), np.dtype(kind).itemsize
+    n = int.from_bytes(raw[:8].to_pybytes(), "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], n * size, codec="zstd"), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpack_sorted(data: pa.Scalar) -> np.ndarray:
+    return np.cumsum(_unpack(data, np.uint64), dtype=np.uint64)
+
+
 class Codes(dict):
     """Numbers of words in the order in which they turn up."""
 
@@ -72,7 +93,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         columns = [
             pa.array([first + made]), pa.array([lang], pa.string()), one(words), one(pa.array(counts.astype(np.int64))),
-            pa.array([int(counts.sum())]), pa.array([stream.tobytes()], pa.binary()),
+            pa.array([int(counts.sum())]), pa.array([_pack(stream)], pa.binary()),
         ]
         return pa.RecordBatch.from_arrays(columns, ["block", "lang", "words", "counts", "n", "stream"])
 
@@ -143,8 +164,8 @@ def _pair_rows(lang: str, block: int, stream: np.ndarray, sparse: int) -> pa.Rec
     rows = [(b, k, c) for b, k, c in _pairs(stream, sparse)]
     columns = [
         pa.array([lang] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()),
-        pa.array([len(r[1]) for r in rows], pa.int64()), pa.array([r[1].tobytes() for r in rows], pa.binary()),
-        pa.array([r[2].astype(np.uint32).tobytes() for r in rows], pa.binary()),
+        pa.array([len(r[1]) for r in rows], pa.int64()), pa.array([_pack_sorted(r[1]) for r in rows], pa.binary()),
+        pa.array([_pack(r[2].astype(np.uint32)) for r in rows], pa.binary()),
     ]
     return pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "block", "n", "keys", "counts"])
 
@@ -152,7 +173,7 @@ def _pair_rows(lang: str, block: int, stream: np.ndarray, sparse: int) -> pa.Rec
 def _count(batches: Iterator[pa.RecordBatch], sparse: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, block, data in zip(batch.column("lang").to_pylist(), batch.column("block").to_pylist(), batch.column("stream")):
-            yield _pair_rows(lang, block, np.frombuffer(data.as_buffer(), np.uint32), sparse)
+            yield _pair_rows(lang, block, _unpack(data, np.uint32), sparse)
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +192,7 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, size, ROW_ENTRIES):
             k, c = keys[0][at : at + ROW_ENTRIES], counts[0][at : at + ROW_ENTRIES]
             kinds = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-            columns = [pa.array([v], kind) for v, kind in zip([*here, k.tobytes(), c.tobytes()], kinds)]
+            columns = [pa.array([v], kind) for v, kind in zip([*here, _pack_sorted(k), _pack(c)], kinds)]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "part", "keys", "sums"])
 
     for batch in batches:
@@ -182,8 +203,8 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if here:
                     yield from done()
                 here, keys, counts, size = name, [], [], 0
-            keys.append(np.frombuffer(k.as_buffer(), np.uint64))
-            counts.append(np.frombuffer(c.as_buffer(), np.int64 if wide else np.uint32).astype(np.int64))
+            keys.append(_unpack_sorted(k))
+            counts.append(_unpack(c, np.int64 if wide else np.uint32).astype(np.int64))
             size += len(keys[-1])
             # Half of it may be new each time, so the work stays in proportion.
             if size > max(ENTRIES, 2 * len(keys[0])):
@@ -195,8 +216,9 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _frequent(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, bucket, k, c in zip(*(batch.column(c).to_pylist() for c in ("lang", "bucket", "keys", "sums"))):
-                keys, sums = np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)
+            names = batch.column("lang").to_pylist(), batch.column("bucket").to_pylist()
+            for lang, bucket, k, c in zip(*names, batch.column("keys"), batch.column("sums")):
+                keys, sums = _unpack_sorted(k), _unpack(c, np.int64)
                 good = sums >= least
                 n = int(good.sum())
                 columns = [pa.array([lang] * n, pa.string()), pa.array([bucket] * n, pa.int64()), pa.array(keys[good].view(np.int64)), pa.array(sums[good])]
@@ -231,12 +253,12 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ids = [np.concatenate(ids)[order] if ids else np.array([], np.int64)]
                     ready = True
                 for i in range(at, stop):
-                    keys = np.frombuffer(columns[3][i].as_buffer(), np.uint64)
+                    keys = _unpack_sorted(columns[3][i])
                     place = np.searchsorted(known[0], keys)
                     place[place == len(known[0])] = 0
                     hit = known[0][place] == keys if len(known[0]) else np.zeros(len(keys), bool)
                     if hit.any():
-                        out.append((columns[0][i].as_py(), keys[hit].tobytes(), ids[0][place[hit]].astype(np.uint32).tobytes()))
+                        out.append((columns[0][i].as_py(), _pack_sorted(keys[hit]), _pack(ids[0][place[hit]].astype(np.uint32))))
             at = stop
         kinds = [pa.int64(), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["block", "keys", "ids"])
@@ -250,10 +272,10 @@ def _translate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if block != here:
                 here, known, ids = block, [], []
             if lang is None:
-                known.append(np.frombuffer(k.as_buffer(), np.uint64))
-                ids.append(np.frombuffer(i.as_buffer(), np.uint32))
+                known.append(_unpack_sorted(k))
+                ids.append(_unpack(i, np.uint32))
                 continue
-            old = np.frombuffer(stream.as_buffer(), np.uint32)
+            old = _unpack(stream, np.uint32)
             new = np.full(max(len(old) - 1, 0), NO_ID, np.uint32)
             if known:
                 keys, values = np.concatenate(known), np.concatenate(ids)
@@ -274,64 +296,72 @@ def _stream_row(block: int, lang: str, stream: np.ndarray) -> pa.RecordBatch:
     keep[1:] |= ~gap[:-1]
     stream = stream[keep]
     rows = 1 if len(stream) > 1 else 0
-    columns = [pa.array([block] * rows, pa.int64()), pa.array([lang] * rows, pa.string()), pa.array([stream.tobytes()] * rows, pa.binary())]
+    columns = [pa.array([block] * rows, pa.int64()), pa.array([lang] * rows, pa.string()), pa.array([_pack(stream)] * rows, pa.binary())]
     return pa.RecordBatch.from_arrays(columns, ["block", "lang", "stream"])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block: the words of each block with their ids, as one row per block and batch."""
+    for batch in batches:
+        blocks = batch.column("block").to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]])) if len(blocks) else np.array([], int)
+        out = []
+        for a, b in zip(cuts, [*cuts[1:], len(blocks)]):
+            code, word_id = (batch.column(c).slice(a, b - a).to_numpy() for c in ("code", "id"))
+            order = np.argsort(code)
+            out.append((int(blocks[a]), _pack_sorted(code[order].astype(np.uint64)), _pack(word_id[order].astype(np.uint32))))
+        kinds = [pa.int64(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["block", "keys", "ids"])
+
+
 def _rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by block, word ids before the stream: the stream of ids instead of the block's own numbers."""
-    here, codes, ids = None, [], []
+    here, found = None, []
     for batch in batches:
-        blocks, langs = batch.column("block").to_pylist(), batch.column("lang").to_pylist()
-        at = 0
-        while at < len(blocks):
-            if blocks[at] != here:
-                here, codes, ids = blocks[at], [], []
-            stop = at + 1
-            while stop < len(blocks) and blocks[stop] == here and langs[stop] is None and langs[at] is None:
-                stop += 1
-            if langs[at] is None:
-                codes.append(batch.column("code").slice(at, stop - at).to_numpy())
-                ids.append(batch.column("id").slice(at, stop - at).to_numpy())
-            else:
-                old = np.frombuffer(batch.column("stream")[at].as_buffer(), np.uint32)
-                table = np.full(int(old[old != NO_ID].max(initial=0)) + 2, NO_ID, np.uint32)
-                for c, i in zip(codes, ids):
-                    table[c] = i
-                # The last place is for what is no word.
-                yield _stream_row(here, langs[at], table[np.minimum(old, len(table) - 1)])
-            at = stop
+        for block, lang, stream, k, i in zip(batch.column("block").to_pylist(), batch.column("lang").to_pylist(), *(batch.column(c) for c in ("stream", "keys", "ids"))):
+            if block != here:
+                here, found = block, []
+            if lang is None:
+                found.append((_unpack_sorted(k), _unpack(i, np.uint32)))
+                continue
+            old = _unpack(stream, np.uint32)
+            # The last place is for what is no word.
+            table = np.full(int(old[old != NO_ID].max(initial=0)) + 2, NO_ID, np.uint32)
+            for codes, ids in found:
+                table[codes] = ids
+            yield _stream_row(block, lang, table[np.minimum(old, len(table) - 1)])
 
 
 def _by_block(rows: DataFrame, streams: DataFrame, run) -> DataFrame:
     """Hands each block what was found for it, and then its stream."""
     both = rows.unionByName(streams, allowMissingColumns=True)
     dealt = both.repartition("block").sortWithinPartitions("block", F.col("lang").asc_nulls_first())
-    return kept(dealt.mapInArrow(run, "block bigint, lang string, stream binary"), "phrase-streams")
+    return dealt.mapInArrow(run, "block bigint, lang string, stream binary")
 
 
 def _dealt(df: DataFrame, *order: Column) -> DataFrame:
     return df.repartition("lang", "bucket", "part").sortWithinPartitions("lang", "bucket", "part", *order)
 
 
-def _grown(streams: DataFrame, sparse: int, least: int) -> tuple[DataFrame, DataFrame]:
+def _grown(pairs: DataFrame, least: int, brief: ExitStack) -> tuple[DataFrame, DataFrame]:
     """Frequent pairs of a level (lang, bucket, key, f), and the pairs of each block with their bucket's part and parts."""
-    pairs = kept(streams.mapInArrow(lambda b: _count(b, sparse), PAIRS), "phrase-pairs")
-    sizes = pairs.groupBy("lang", "bucket").agg(F.ceil(F.sum("n") / ENTRIES).cast("int").alias("parts"))
     # Only buckets that need more than one task: no more rows than there are ENTRIES in all pairs.
-    sizes = kept(sizes.filter("parts > 1"), "phrase-parts")
+    sizes = pairs.groupBy("lang", "bucket").agg(F.ceil(F.sum("n") / ENTRIES).cast("int").alias("parts"))
+    sizes = brief.enter_context(briefly_kept(sizes.filter("parts > 1"), "phrase-parts"))
     parts = F.coalesce("parts", F.lit(1))
-    dealt = pairs.join(sizes, ["lang", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("block"), parts).cast("int")).drop("parts")
-    spread = (sizes.agg(F.max("parts")).first()[0] or 1)
+    dealt = pairs.join(sizes, ["lang", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("block"), parts).cast("int"))
+    dealt = dealt.withColumn("parts", parts)
+    spread = sizes.agg(F.max("parts")).first()[0] or 1
     sums = dealt.select("lang", "bucket", "part", "keys", "counts")
     while True:
         summed = _dealt(sums).mapInArrow(_sum, "lang string, bucket bigint, part int, keys binary, sums binary")
         if spread == 1:
             break
-        sums = kept(summed, "phrase-sums").withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int"))
+        summed = brief.enter_context(briefly_kept(summed, "phrase-sums"))
+        sums = summed.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int"))
         spread = -(-spread // FAN_IN)
-    frequent = kept(summed.mapInArrow(_frequent(least), "lang string, bucket bigint, key bigint, f bigint"), "phrase-counts")
-    return frequent, dealt.join(sizes, ["lang", "bucket"], "left").withColumn("parts", parts)
+    frequent = summed.mapInArrow(_frequent(least), "lang string, bucket bigint, key bigint, f bigint")
+    return brief.enter_context(briefly_kept(frequent, "phrase-counts")), dealt
 
 
 def _answered(dealt: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -353,42 +383,49 @@ def phrases(df: DataFrame, text: str = "text", lang: str = "lang", least: int =
     """
     require(df, text, lang)
     texts = df.select(F.coalesce(col(text), F.lit("")).alias("text"), F.coalesce(col(lang).cast("string"), F.lit("und")).alias("lang"))
-    blocks = kept(texts.mapInArrow(_cut, BLOCKS), "phrase-blocks")
-    totals = kept(blocks.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
-    words = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "w"))
-    words = words.select("block", "lang", "code", F.col("w.words").alias("word"), F.col("w.counts").alias("c"))
-    # A word is one row per block, so a language's most frequent words are spread thin.
-    words = words.withColumn("f", F.sum("c").over(Window.partitionBy("lang", "word"))).filter(F.col("f") >= least)
-    words = kept(words.select("block", "lang", "code", "word", "f"), "phrase-words")
-    level = words.groupBy("lang", "word").agg(F.first("f").alias("f"))
-    level = numbered(level, "lang", [F.col("f").desc(), F.col("word")], "phrase-ranks").withColumnRenamed("pos", "id")
-    level = kept(_checked(level).select("lang", "id", F.array("word").alias("words"), F.array("f").alias("starts"), F.array("f").alias("ends")), "phrase-level")
-    found = words.join(level.select("lang", F.col("words")[0].alias("word"), "id"), ["lang", "word"]).select("block", "code", "id")
-    streams = _by_block(found, blocks.select("block", "lang", "stream"), _rename)
-    sparse = max(8, -(-int(totals.agg(F.sum("n")).first()[0] or 0) // ENTRIES))
-
-    levels = [level]
-    for k in range(2, longest + 1):
-        frequent, dealt = _grown(streams, sparse, least)
-        ranked = numbered(frequent, "lang", [F.col("f").desc(), F.col("key")], "phrase-ranks").withColumnRenamed("pos", "id")
-        ranked = _checked(ranked)
-        first, second = F.shiftrightunsigned("key", 32).alias("x"), F.col("key").bitwiseAND(F.lit(NO_ID)).alias("y")
-        ends = level.select("lang", F.col("id").alias("x"), "words", "starts"), level.select("lang", F.col("id").alias("y"), F.element_at("words", -1).alias("word"), "ends")
-        grown = ranked.select("lang", "id", "f", first, second).join(ends[0], ["lang", "x"]).join(ends[1], ["lang", "y"])
-        level = kept(
-            grown.select(
-                "lang", "id", F.concat("words", F.array("word")).alias("words"), F.concat("starts", F.array("f")).alias("starts"),
-                F.concat("ends", F.array("f")).alias("ends"),
-            ), "phrase-level",
-        )
+    levels = []
+    # Streams and pairs are as large as the corpus; each round's are removed as soon as the next has been written.
+    with ExitStack() as last:
+        blocks = last.enter_context(briefly_kept(texts.mapInArrow(_cut, BLOCKS), "phrase-blocks"))
+        totals = kept(blocks.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
+        words = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "w"))
+        words = words.select("block", "lang", "code", F.col("w.words").alias("word"), F.col("w.counts").alias("c"))
+        # A word is one row per block, so a language's most frequent words are spread thin.
+        words = words.withColumn("f", F.sum("c").over(Window.partitionBy("lang", "word"))).filter(F.col("f") >= least)
+        words = last.enter_context(briefly_kept(words.select("block", "lang", "code", "word", "f"), "phrase-words"))
+        level = words.groupBy("lang", "word").agg(F.first("f").alias("f"))
+        level = _ranked(level, [F.col("f").desc(), F.col("word")])
+        level = kept(level.select("lang", "id", F.array("word").alias("words"), F.array("f").alias("starts"), F.array("f").alias("ends")), "phrase-level")
         levels.append(level)
-        if k < longest:
-            streams = _by_block(_answered(dealt, ranked), streams, _translate)
+        found = words.join(level.select("lang", F.col("words")[0].alias("word"), "id"), ["lang", "word"]).select("block", "code", "id")
+        found = found.sortWithinPartitions("block").mapInArrow(_packed, "block bigint, keys binary, ids binary")
+        sparse = max(8, -(-int(totals.agg(F.sum("n")).first()[0] or 0) // ENTRIES))
+        streams = kept(_by_block(found, blocks.select("block", "lang", "stream"), _rename), "phrase-streams")
+    for k in range(2, longest + 1):
+        with ExitStack() as brief:
+            brief.callback(remove_kept, streams)
+            pairs = brief.enter_context(briefly_kept(streams.mapInArrow(lambda b: _count(b, sparse), PAIRS), "phrase-pairs"))
+            frequent, dealt = _grown(pairs, least, brief)
+            ranked = _ranked(frequent, [F.col("f").desc(), F.col("key")])
+            first, second = F.shiftrightunsigned("key", 32).alias("x"), F.col("key").bitwiseAND(F.lit(NO_ID)).alias("y")
+            begin = level.select("lang", F.col("id").alias("x"), "words", "starts")
+            end = level.select("lang", F.col("id").alias("y"), F.element_at("words", -1).alias("word"), "ends")
+            grown = ranked.select("lang", "id", "f", first, second).join(begin, ["lang", "x"]).join(end, ["lang", "y"])
+            level = kept(
+                grown.select(
+                    "lang", "id", F.concat("words", F.array("word")).alias("words"), F.concat("starts", F.array("f")).alias("starts"),
+                    F.concat("ends", F.array("f")).alias("ends"),
+                ), "phrase-level",
+            )
+            levels.append(level)
+            if k < longest:
+                streams = kept(_by_block(_answered(dealt, ranked), streams, _translate), "phrase-streams")
     return reduce(DataFrame.unionByName, levels), totals
 
 
-def _checked(ranked: DataFrame) -> DataFrame:
-    """Ids must fit 32 bits; one more and the task fails."""
+def _ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """With ids from 0 per language, in the order; they must fit 32 bits, one more and the task fails."""
+    ranked = numbered(rows, "lang", order, "phrase-ranks").withColumnRenamed("pos", "id")
     fits = F.when(F.col("id") < NO_ID, F.col("id")).otherwise(F.raise_error(F.lit("more different phrases than 32 bits can number")).cast("bigint"))
     return ranked.withColumn("id", fits)
 

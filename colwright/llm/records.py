@@ -34,8 +34,9 @@ from colwright.llm.tokens import Cutter
 FILE_BYTES = 128 << 20
 READ_BYTES = 8 << 20
 READ_RECORDS = 1024  # records that one row of the reading plan stands for
-# Pre-tokens with known ids that a worker keeps, twice; those used last stay.
-REMEMBERED = 200_000
+# Strings with known ids that a worker keeps, twice; those used last stay.
+REMEMBERED = 250_000
+VISIBLE = re.compile("[!-~]+")
 FLUSH_BYTES = 4 << 20
 HAS_ID, WIDE = 1, 2
 HEAD = "<Bq"
@@ -152,8 +153,27 @@ def unframe(data: bytes, offsets: np.ndarray, lengths: np.ndarray) -> list[memor
     return [view[o + 12 : o + 12 + n] for o, n in zip(offsets.tolist(), lengths.tolist())]
 
 
+class Known(dict):
+    """Ids of strings without white space, as bytes. What was not used since the last turn is forgotten."""
+
+    def __init__(self, find):
+        self.find, self.old = find, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.find(key)
+        self[key] = found
+        return found
+
+    def turn(self) -> None:
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
-    """Ids of whole texts. Every pre-token is encoded by the library, once for as long as it is remembered."""
+    """Ids of whole texts: those of each string between white space, which the library encodes once for as long as it is remembered."""
 
     made: dict[str, Encoder] = {}
 
@@ -165,56 +185,39 @@ class Encoder:
 
     def __init__(self, path: str):
         self.cutter = Cutter.of(path)
-        self.tokenizer = self.cutter.tokenizer
+        self.tokenizer, self.model = self.cutter.tokenizer, self.cutter.tokenizer.model
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = "<u4" if self.wide else "<u2"
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, tokens: set[str]) -> None:
-        batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        if len(self.new) > REMEMBERED:
-            self.old, self.new = self.new, {}
-        missing = []
-        for token in tokens - self.new.keys():
-            ids = self.old.get(token)
-            if ids is None:
-                missing.append(token)
-            else:
-                self.new[token] = ids
-        for token, found in zip(missing, batch(missing, add_special_tokens=False)):
-            self.new[token] = np.array(found.ids, self.kind).tobytes()
+        self.known = Known(self._find)
+
+    def _find(self, key: str) -> bytes:
+        if self.cutter.plain is not None and VISIBLE.fullmatch(key):
+            # Visible ASCII characters are their own byte symbols, so the model takes pre-tokens as they are.
+            ids = [t.id for token in self.cutter.plain.findall(key) for t in self.model.tokenize(token)]
+        else:
+            ids = self.tokenizer.encode(key, add_special_tokens=False).ids
+        return np.array(ids, self.kind).tobytes()
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """Per text its ids as bytes, with `end` behind them; special strings are found as the library finds them."""
         cutter, special = self.cutter, self.cutter.special
-        cut = []
+        self.known.turn()
+        known, stop, out = self.known.__getitem__, np.array([end], self.kind).tobytes(), []
         for text in texts:
-            # Alternating: pre-tokens of a piece, a special string, ...
-            if special and special.search(text):
-                pieces, at, row = [], 0, []
-                for hit in special.finditer(text):
-                    row += [cutter.cut(text[at : hit.start()])[0], hit.group()]
-                    at = hit.end()
-                row.append(cutter.cut(text[at:])[0])
-                cut.append(row)
-            else:
-                cut.append([cutter.cut(text)[0]])
-        wanted = {t for row in cut for tokens in row[::2] for t in tokens}
-        self._learn(wanted)
-        known, stop = self.new.__getitem__, np.array([end], self.kind).tobytes()
-        out = []
-        for row in cut:
-            parts = []
-            for i, x in enumerate(row):
-                if i % 2:
-                    parts.append(np.array([self.tokenizer.token_to_id(x)], self.kind).tobytes())
-                else:
-                    parts.extend(map(known, x))
+            parts: list[bytes] = []
+            at = 0
+            for hit in special.finditer(text) if special else ():
+                parts.extend(map(known, self._keys(text[at : hit.start()])))
+                parts.append(np.array([self.tokenizer.token_to_id(hit.group())], self.kind).tobytes())
+                at = hit.end()
+            parts.extend(map(known, self._keys(text[at:] if at else text)))
             parts.append(stop)
             out.append(b"".join(parts))
         return out
 
+    def _keys(self, text: str) -> list[str]:
+        return text.lower().split() if self.cutter.is_plain(text) else self.cutter.cut(text)[0]
+
 
 def _place(path: str):
     """The file system of a path as Spark gives it, and the path within it."""

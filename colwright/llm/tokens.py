@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,6 +36,20 @@ ENCODED = 4096
 PLAIN = re.compile("[^\\t\\n\\r\\x20-\\x7e¡-¬®-įı-ňŊ-ſ–—‘-„…€]")
 
 
+def _plain_pattern(normalizer: dict | None, pattern: str) -> re.Pattern | None:
+    """The pattern with the classes of letters and numbers spelled out, for texts of plain characters.
+
+    These are their own normal forms, and white space only separates. None if the file normalizes or cuts in other ways.
+    """
+    steps = [s["type"] if s["type"] != "Replace" else (s["pattern"], s["content"]) for s in (normalizer or {}).get("normalizers", [])]
+    if steps != ["NFC", ({"Regex": r"\s+"}, " "), "Lowercase"]:
+        return None
+    plain = [chr(c) for c in range(0x2100) if not PLAIN.search(chr(c))]
+    for name in "LN":
+        pattern = pattern.replace(rf"\p{{{name}}}", "".join(c for c in plain if unicodedata.category(c)[0] == name))
+    return None if r"\p" in pattern.lower() else re.compile(pattern)
+
+
 class Cutter:
     """Cuts texts into pre-tokens as the tokenizer file says. Made once per Python worker and file."""
 
@@ -65,6 +80,7 @@ class Cutter:
         if [s["type"] for s in rest] != ["ByteLevel"] or rest[0]["use_regex"] or rest[0]["add_prefix_space"]:
             raise ValueError("the tokenizer cuts pre-tokens again")
         self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.plain = _plain_pattern(parts["normalizer"], split["pattern"]["Regex"])
 
     def cut(self, text: str) -> tuple[list[str], int]:
         """The pre-tokens, in normal form, and the number of special strings."""
@@ -74,6 +90,8 @@ class Cutter:
         return [x for part in parts for x in self._cut(part)], len(parts) - 1
 
     def _cut(self, text: str) -> list[str]:
+        if self.is_plain(text):
+            return self.plain.findall(text.lower())
         normal = self.tokenizer.normalizer.normalize_str(text)
         if not PLAIN.search(text):
             return self.pattern.findall(normal)
@@ -85,6 +103,10 @@ class Cutter:
             self.splitter = pre_tokenizers.Split(Regex(self.pattern.pattern), "removed", invert=True)
         return [x for x, _ in self.splitter.pre_tokenize_str(normal)]
 
+    def is_plain(self, text: str) -> bool:
+        """Whether the text's pre-tokens are what `plain` finds in it in lower case: none of them holds white space."""
+        return self.plain is not None and not PLAIN.search(text)
+
     def pieces(self, tokens: list[str]) -> list[int]:
         return [len(e) for e in self.tokenizer.encode_batch(tokens, add_special_tokens=False)]
 
