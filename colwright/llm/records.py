@@ -21,6 +21,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,9 @@ FILE_BYTES = 128 << 20
 READ_BYTES = 8 << 20
 READ_RECORDS = 1024  # records that one row of the reading plan stands for
 # Strings with known ids that a worker keeps, twice; those used last stay.
-REMEMBERED = 250_000
-VISIBLE = re.compile("[!-~]+")
+REMEMBERED = 400_000
+# Strings that are encoded as one text.
+BUNDLE = 512
 FLUSH_BYTES = 4 << 20
 HAS_ID, WIDE = 1, 2
 HEAD = "<Bq"
@@ -153,23 +155,18 @@ def unframe(data: bytes, offsets: np.ndarray, lengths: np.ndarray) -> list[memor
     return [view[o + 12 : o + 12 + n] for o, n in zip(offsets.tolist(), lengths.tolist())]
 
 
-class Known(dict):
-    """Ids of strings without white space, as bytes. What was not used since the last turn is forgotten."""
-
-    def __init__(self, find):
-        self.find, self.old = find, {}
+@cache
+def _symbol_table() -> dict[int, str]:
+    """The character for each byte in vocabularies of bytes: itself if visible, else the next one from 256 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    def __missing__(self, key: str) -> bytes:
-        found = self.old.get(key)
-        if found is None:
-            found = self.find(key)
-        self[key] = found
-        return found
 
-    def turn(self) -> None:
-        if len(self) > REMEMBERED:
-            self.old = dict(self)
-            self.clear()
+def _symbols(token: str) -> str:
+    if token.isascii() and token.isprintable():
+        return token
+    return token.encode().decode("latin-1").translate(_symbol_table())
 
 
 class Encoder:
@@ -184,33 +181,84 @@ class Encoder:
         return cls.made[path]
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
         self.cutter = Cutter.of(path)
-        self.tokenizer, self.model = self.cutter.tokenizer, self.cutter.tokenizer.model
+        self.tokenizer = self.cutter.tokenizer
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.kind = "<u4" if self.wide else "<u2"
-        self.known = Known(self._find)
-
-    def _find(self, key: str) -> bytes:
-        if self.cutter.plain is not None and VISIBLE.fullmatch(key):
-            # Visible ASCII characters are their own byte symbols, so the model takes pre-tokens as they are.
-            ids = [t.id for token in self.cutter.plain.findall(key) for t in self.model.tokenize(token)]
-        else:
-            ids = self.tokenizer.encode(key, add_special_tokens=False).ids
-        return np.array(ids, self.kind).tobytes()
+        self.kind = np.dtype("<u4" if self.wide else "<u2")
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        # The file's model alone, for pre-tokens in its byte symbols with blanks between them.
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.batch = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
+        self.lines = self.cutter.plain and re.compile("\n|" + self.cutter.plain.pattern)
+        suffix = getattr(self.model.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith(suffix)]] = True
+
+    def _learn(self, keys: set[str]) -> None:
+        """Ids of keys that are not among the known ones; BUNDLE of them are cut and encoded at once."""
+        missing = []
+        for key in keys:
+            found = self.old.get(key)
+            if found is None:
+                missing.append(key)
+            else:
+                self.known[key] = found
+        if not self.ends.any():
+            self.known.update((key, np.array(self.tokenizer.encode(key, add_special_tokens=False).ids, self.kind).tobytes()) for key in missing)
+            return
+        bundles = [missing[i : i + BUNDLE] for i in range(0, len(missing), BUNDLE)]
+        cut = [self._cut(bundle) for bundle in bundles]
+        encoded = self.batch([" ".join(map(_symbols, tokens)) for tokens, _ in cut], add_special_tokens=False)
+        for bundle, (tokens, counts), found in zip(bundles, cut, encoded):
+            ids = np.array(found.ids, self.kind)
+            # The last piece of each pre-token says that it is one.
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) != len(tokens):
+                raise ValueError("the tokenizer's pieces do not tell where a pre-token ends")
+            cuts, data = (last[counts - 1] * self.kind.itemsize).tolist(), ids.tobytes()
+            self.known.update(zip(bundle, (data[a:b] for a, b in zip([0, *cuts], cuts))))
+
+    def _cut(self, keys: list[str]) -> tuple[list[str], np.ndarray]:
+        """Pre-tokens of the keys, and how many there are up to each key's last."""
+        joined = "\n".join(keys)
+        if not self.cutter.is_plain(joined):
+            cut = [self.cutter.plain.findall(key) if self.cutter.is_plain(key) else [key] for key in keys]
+            return [t for tokens in cut for t in tokens], np.cumsum([len(tokens) for tokens in cut])
+        found = self.lines.findall(joined)
+        stops = np.array([i for i, t in enumerate(found) if t == "\n"] + [len(found)])
+        return [t for t in found if t != "\n"], stops - np.arange(len(stops))
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """Per text its ids as bytes, with `end` behind them; special strings are found as the library finds them."""
-        cutter, special = self.cutter, self.cutter.special
-        self.known.turn()
-        known, stop, out = self.known.__getitem__, np.array([end], self.kind).tobytes(), []
+        special = self.cutter.special
+        rows = []
         for text in texts:
-            parts: list[bytes] = []
-            at = 0
+            row, at = [], 0
             for hit in special.finditer(text) if special else ():
-                parts.extend(map(known, self._keys(text[at : hit.start()])))
-                parts.append(np.array([self.tokenizer.token_to_id(hit.group())], self.kind).tobytes())
+                row += [self._keys(text[at : hit.start()]), hit.group()]
                 at = hit.end()
-            parts.extend(map(known, self._keys(text[at:] if at else text)))
+            row.append(self._keys(text[at:] if at else text))
+            rows.append(row)
+        if len(self.known) > REMEMBERED:
+            self.old, self.known = self.known, {}
+        missing: set[str] = set()
+        for row in rows:
+            for keys in row[::2]:
+                missing.update(filterfalse(self.known.__contains__, keys))
+        self._learn(missing)
+        known, stop, out = self.known.__getitem__, np.array([end], self.kind).tobytes(), []
+        for row in rows:
+            parts: list[bytes] = []
+            for i, x in enumerate(row):
+                if i % 2:
+                    parts.append(np.array([self.tokenizer.token_to_id(x)], self.kind).tobytes())
+                else:
+                    parts.extend(map(known, x))
             parts.append(stop)
             out.append(b"".join(parts))
         return out
