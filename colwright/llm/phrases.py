@@ -2,12 +2,12 @@
 
 Words get ids by frequency, per language. Phrases grow by pairs: a phrase of k words is the pair of the frequent phrases of
 k - 1 words at a place and at the next one, and the frequent pairs get ids by frequency again. Pair space is cut into
-tiles of TILE x TILE ids. Pairs within the first GRID x GRID tiles go to a tile each, where a full tile is counted by `numpy.bincount`
+square tiles of ids. Pairs within the first few tiles go to a tile each, where a full tile is counted by `numpy.bincount`
 straight into its cells; all other tiles are sparse, are shared out over buckets, and are counted as sorted coordinates.
 
-The corpus is cut into blocks of a language with up to BLOCK_WORDS words, whose words are numbers from the first pass on; texts are
+The corpus is cut into blocks of a language, whose words are numbers from the first pass on; texts are
 read and cut once. Each block counts its own pairs first, so that a pair is shuffled once per block, however frequent. A bucket
-with more entries than ENTRIES is dealt over parts by block, whose sums are added in further rounds of FAN_IN: no task needs a hot tile,
+with more entries than a task takes is dealt over parts by block, whose sums are added in further rounds: no task needs a hot tile,
 word or language as a whole. A task holds the different pairs of one part of one bucket.
 
 Null texts are empty. A null language is `und`, together with texts that say so. Ids of a language and length must fit 32 bits, that is
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import ExitStack
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -32,13 +33,6 @@ from colwright.sources.shared import briefly_kept, kept, remove_kept
 LEAST = 100
 LONGEST = 5
 TOP = 2000
-TILE_BITS = 10
-GRID = 4
-BLOCK_WORDS = 1 << 21
-HELD_WORDS = 1 << 22
-ENTRIES = 1 << 22
-ROW_ENTRIES = 1 << 17
-FAN_IN = 256
 # What ends a piece, as bytes, and what separates words in it.
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 BLOCKS = "block bigint, lang string, words array<string>, counts array<bigint>, n bigint, stream binary"
@@ -67,6 +61,23 @@ def _unpack_sorted(data: pa.Scalar) -> np.ndarray:
     return np.cumsum(_unpack(data, np.uint64), dtype=np.uint64)
 
 
+@dataclass(frozen=True)
+class Limits:
+    """How the work is cut. Results do not depend on it."""
+
+    block_words: int = 1 << 20
+    held_words: int = 1 << 21  # words of unfinished blocks that a task may hold
+    tile_bits: int = 10
+    grid: int = 4  # tiles along each side of pair space that have a bucket each
+    entries: int = 1 << 22  # different pairs of blocks that a task takes
+    row_entries: int = 1 << 17
+    fan_in: int = 256
+
+    @property
+    def dense(self) -> int:
+        return self.grid * self.grid
+
+
 class Codes(dict):
     """Numbers of words in the order in which they turn up."""
 
@@ -75,7 +86,7 @@ class Codes(dict):
         return code
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[pa.RecordBatch]:
     """Blocks of word numbers, with NO_ID between pieces, and the words of each block."""
     from pyspark import TaskContext
 
@@ -106,39 +117,41 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 codes, streams, size = held.setdefault(lang, (Codes(), [], [0]))
                 flat: list[int] = []
                 # A very long text, even a very long piece, is spread over blocks; a piece stays whole, as phrases run through it.
-                while at < len(pieces) and size[0] + len(flat) < BLOCK_WORDS:
+                while at < len(pieces) and size[0] + len(flat) < limits.block_words:
                     if words := pieces[at].split():
                         flat.extend(map(codes.__getitem__, words))
                         flat.append(NO_ID)
                     at += 1
                 streams.append(np.array(flat, np.uint32))
                 size[0] += len(flat)
-                if size[0] >= BLOCK_WORDS:
+                if size[0] >= limits.block_words:
                     yield block(lang)
-                elif sum(h[2][0] for h in held.values()) >= HELD_WORDS:
+                elif sum(h[2][0] for h in held.values()) >= limits.held_words:
                     yield block(max(held, key=lambda k: held[k][2][0]))
     for lang in list(held):
         yield block(lang)
 
 
-def _bucket(x: np.ndarray, y: np.ndarray, sparse: int) -> np.ndarray:
+def _bucket(x: np.ndarray, y: np.ndarray, sparse: int, limits: Limits) -> np.ndarray:
     """Dense tiles have their own buckets; the tiles beyond them share `sparse` ones, by a hash of the tile."""
-    tx, ty = (x >> np.uint32(TILE_BITS)).astype(np.uint64), (y >> np.uint32(TILE_BITS)).astype(np.uint64)
+    tx, ty = ((i >> np.uint32(limits.tile_bits)).astype(np.uint64) for i in (x, y))
     mixed = (tx * np.uint64(0x9E3779B97F4A7C15) + ty) * np.uint64(0xD6E8FEB86659FD93)
-    return np.where((tx < GRID) & (ty < GRID), tx * np.uint64(GRID) + ty, np.uint64(GRID * GRID) + (mixed >> np.uint64(32)) % np.uint64(sparse)).astype(np.int64)
+    shared = np.uint64(limits.dense) + (mixed >> np.uint64(32)) % np.uint64(sparse)
+    own = tx * np.uint64(limits.grid) + ty
+    return np.where((tx < limits.grid) & (ty < limits.grid), own, shared).astype(np.int64)
 
 
-def _added(keys: np.ndarray, counts: np.ndarray, bucket: int) -> tuple[np.ndarray, np.ndarray]:
+def _added(keys: np.ndarray, counts: np.ndarray, bucket: int, limits: Limits) -> tuple[np.ndarray, np.ndarray]:
     """Sums per key (x and y in 32 bits each), sorted: a dense tile by its cells, a sparse one by sorted coordinates."""
-    width = 1 << TILE_BITS
-    if bucket < GRID * GRID and len(keys) >= width * width >> 5:
-        tx, ty = divmod(bucket, GRID)
+    width = 1 << limits.tile_bits
+    if bucket < limits.dense and len(keys) >= width * width >> 5:
+        tx, ty = divmod(bucket, limits.grid)
         x = (keys >> np.uint64(32)).astype(np.int64) - tx * width
         y = (keys & np.uint64(NO_ID)).astype(np.int64) - ty * width
         # Sums stay whole numbers below 2^53.
-        cells = np.bincount(x << TILE_BITS | y, counts, width * width)
+        cells = np.bincount(x << limits.tile_bits | y, counts, width * width)
         hit = np.flatnonzero(cells)
-        found = ((hit >> TILE_BITS) + tx * width).astype(np.uint64) << np.uint64(32) | ((hit & width - 1) + ty * width).astype(np.uint64)
+        found = ((hit >> limits.tile_bits) + tx * width).astype(np.uint64) << np.uint64(32) | ((hit & width - 1) + ty * width).astype(np.uint64)
         return found, cells[hit].astype(np.int64)
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
@@ -146,22 +159,22 @@ def _added(keys: np.ndarray, counts: np.ndarray, bucket: int) -> tuple[np.ndarra
     return keys[cuts], np.add.reduceat(counts, cuts) if len(keys) else counts
 
 
-def _pairs(stream: np.ndarray, sparse: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _pairs(stream: np.ndarray, sparse: int, limits: Limits) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Bucket, keys and counts of a block's pairs of neighbouring ids."""
     x, y = stream[:-1], stream[1:]
     good = (x != NO_ID) & (y != NO_ID)
     x, y = x[good], y[good]
-    bucket = _bucket(x, y, sparse)
+    bucket = _bucket(x, y, sparse, limits)
     keys = x.astype(np.uint64) << np.uint64(32) | y
     order = np.argsort(bucket, kind="stable")
     keys, bucket = keys[order], bucket[order]
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.array([], int)
     for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
-        yield int(bucket[a]), *_added(keys[a:b], np.ones(b - a, np.int64), int(bucket[a]))
+        yield int(bucket[a]), *_added(keys[a:b], np.ones(b - a, np.int64), int(bucket[a]), limits)
 
 
-def _pair_rows(lang: str, block: int, stream: np.ndarray, sparse: int) -> pa.RecordBatch:
-    rows = [(b, k, c) for b, k, c in _pairs(stream, sparse)]
+def _pair_rows(lang: str, block: int, stream: np.ndarray, sparse: int, limits: Limits) -> pa.RecordBatch:
+    rows = [(b, k, c) for b, k, c in _pairs(stream, sparse, limits)]
     columns = [
         pa.array([lang] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()),
         pa.array([len(r[1]) for r in rows], pa.int64()), pa.array([_pack_sorted(r[1]) for r in rows], pa.binary()),
@@ -170,27 +183,27 @@ def _pair_rows(lang: str, block: int, stream: np.ndarray, sparse: int) -> pa.Rec
     return pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "block", "n", "keys", "counts"])
 
 
-def _count(batches: Iterator[pa.RecordBatch], sparse: int) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], sparse: int, limits: Limits) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, block, data in zip(batch.column("lang").to_pylist(), batch.column("block").to_pylist(), batch.column("stream")):
-            yield _pair_rows(lang, block, _unpack(data, np.uint32), sparse)
+            yield _pair_rows(lang, block, _unpack(data, np.uint32), sparse, limits)
 
 
-def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by language, bucket and part: their counts, added up and cut into rows of ROW_ENTRIES."""
+def _sum(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by language, bucket and part: their counts, added up and cut into rows."""
     here, keys, counts, size = None, [], [], 0
 
     def add() -> None:
         nonlocal keys, counts, size
         if len(keys) > 1:
-            k, c = _added(np.concatenate(keys), np.concatenate(counts), here[1])
+            k, c = _added(np.concatenate(keys), np.concatenate(counts), here[1], limits)
             keys, counts = [k], [c]
         size = len(keys[0])
 
     def done() -> Iterator[pa.RecordBatch]:
         add()
-        for at in range(0, size, ROW_ENTRIES):
-            k, c = keys[0][at : at + ROW_ENTRIES], counts[0][at : at + ROW_ENTRIES]
+        for at in range(0, size, limits.row_entries):
+            k, c = keys[0][at : at + limits.row_entries], counts[0][at : at + limits.row_entries]
             kinds = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
             columns = [pa.array([v], kind) for v, kind in zip([*here, _pack_sorted(k), _pack(c)], kinds)]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "part", "keys", "sums"])
@@ -207,7 +220,7 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts.append(_unpack(c, np.int64 if wide else np.uint32).astype(np.int64))
             size += len(keys[-1])
             # Half of it may be new each time, so the work stays in proportion.
-            if size > max(ENTRIES, 2 * len(keys[0])):
+            if size > max(limits.entries, 2 * len(keys[0])):
                 add()
     if here:
         yield from done()
@@ -343,10 +356,10 @@ def _dealt(df: DataFrame, *order: Column) -> DataFrame:
     return df.repartition("lang", "bucket", "part").sortWithinPartitions("lang", "bucket", "part", *order)
 
 
-def _grown(pairs: DataFrame, least: int, brief: ExitStack) -> tuple[DataFrame, DataFrame]:
+def _grown(pairs: DataFrame, least: int, limits: Limits, brief: ExitStack) -> tuple[DataFrame, DataFrame]:
     """Frequent pairs of a level (lang, bucket, key, f), and the pairs of each block with their bucket's part and parts."""
-    # Only buckets that need more than one task: no more rows than there are ENTRIES in all pairs.
-    sizes = pairs.groupBy("lang", "bucket").agg(F.ceil(F.sum("n") / ENTRIES).cast("int").alias("parts"))
+    # Only buckets that need more than one task: no more rows than such tasks.
+    sizes = pairs.groupBy("lang", "bucket").agg(F.ceil(F.sum("n") / limits.entries).cast("int").alias("parts"))
     sizes = brief.enter_context(briefly_kept(sizes.filter("parts > 1"), "phrase-parts"))
     parts = F.coalesce("parts", F.lit(1))
     dealt = pairs.join(sizes, ["lang", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("block"), parts).cast("int"))
@@ -354,12 +367,12 @@ def _grown(pairs: DataFrame, least: int, brief: ExitStack) -> tuple[DataFrame, D
     spread = sizes.agg(F.max("parts")).first()[0] or 1
     sums = dealt.select("lang", "bucket", "part", "keys", "counts")
     while True:
-        summed = _dealt(sums).mapInArrow(_sum, "lang string, bucket bigint, part int, keys binary, sums binary")
+        summed = _dealt(sums).mapInArrow(lambda b: _sum(b, limits), "lang string, bucket bigint, part int, keys binary, sums binary")
         if spread == 1:
             break
         summed = brief.enter_context(briefly_kept(summed, "phrase-sums"))
-        sums = summed.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int"))
-        spread = -(-spread // FAN_IN)
+        sums = summed.withColumn("part", F.floor(F.col("part") / limits.fan_in).cast("int"))
+        spread = -(-spread // limits.fan_in)
     frequent = summed.mapInArrow(_frequent(least), "lang string, bucket bigint, key bigint, f bigint")
     return brief.enter_context(briefly_kept(frequent, "phrase-counts")), dealt
 
@@ -376,7 +389,7 @@ def _answered(dealt: DataFrame, ranked: DataFrame) -> DataFrame:
     return _dealt(both, F.col("block").asc_nulls_first()).mapInArrow(_answer, "block bigint, keys binary, ids binary")
 
 
-def phrases(df: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
+def phrases(df: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
     """The phrases of up to `longest` words found `least` times or more, and the number of words per language (lang, n).
 
     Phrases have lang, words (their words), starts and ends: how often their first 1, 2, ... words are found, and their last 1, 2, ... .
@@ -386,7 +399,7 @@ def phrases(df: DataFrame, text: str = "text", lang: str = "lang", least: int =
     levels = []
     # Streams and pairs are as large as the corpus; each round's are removed as soon as the next has been written.
     with ExitStack() as last:
-        blocks = last.enter_context(briefly_kept(texts.mapInArrow(_cut, BLOCKS), "phrase-blocks"))
+        blocks = last.enter_context(briefly_kept(texts.mapInArrow(lambda b: _cut(b, limits), BLOCKS), "phrase-blocks"))
         totals = kept(blocks.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
         words = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "w"))
         words = words.select("block", "lang", "code", F.col("w.words").alias("word"), F.col("w.counts").alias("c"))
@@ -399,13 +412,13 @@ def phrases(df: DataFrame, text: str = "text", lang: str = "lang", least: int =
         levels.append(level)
         found = words.join(level.select("lang", F.col("words")[0].alias("word"), "id"), ["lang", "word"]).select("block", "code", "id")
         found = found.sortWithinPartitions("block").mapInArrow(_packed, "block bigint, keys binary, ids binary")
-        sparse = max(8, -(-int(totals.agg(F.sum("n")).first()[0] or 0) // ENTRIES))
+        sparse = max(8, -(-int(totals.agg(F.sum("n")).first()[0] or 0) // limits.entries))
         streams = kept(_by_block(found, blocks.select("block", "lang", "stream"), _rename), "phrase-streams")
     for k in range(2, longest + 1):
         with ExitStack() as brief:
             brief.callback(remove_kept, streams)
-            pairs = brief.enter_context(briefly_kept(streams.mapInArrow(lambda b: _count(b, sparse), PAIRS), "phrase-pairs"))
-            frequent, dealt = _grown(pairs, least, brief)
+            pairs = brief.enter_context(briefly_kept(streams.mapInArrow(lambda b: _count(b, sparse, limits), PAIRS), "phrase-pairs"))
+            frequent, dealt = _grown(pairs, least, limits, brief)
             ranked = _ranked(frequent, [F.col("f").desc(), F.col("key")])
             first, second = F.shiftrightunsigned("key", 32).alias("x"), F.col("key").bitwiseAND(F.lit(NO_ID)).alias("y")
             begin = level.select("lang", F.col("id").alias("x"), "words", "starts")
@@ -466,12 +479,12 @@ def inside(found: DataFrame, percent: int) -> DataFrame:
     return own.join(longer, ["lang", "words"]).filter(100 * F.col("longer") >= percent * F.col("a")).select("lang", "words")
 
 
-def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, top: int = TOP, percent: int = 100) -> DataFrame:
+def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, top: int = TOP, percent: int = 100, limits: Limits = Limits()) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the best phrases per language, by score, count and then UTF-8 bytes.
 
     Phrases that lie in a longer one which is found in `percent` of their places are left out.
     """
-    found, totals = phrases(df, text, lang, least, longest)
+    found, totals = phrases(df, text, lang, least, longest, limits)
     found = found.select("lang", "words", "starts", "ends")
     best = scored(found, totals).join(inside(found, percent), ["lang", "words"], "left_anti")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
