@@ -2,13 +2,13 @@
 
 Time-forward processing: a node's label is (its last leaf, its level), so labels rise from children to parents. A queue
 ordered by label delivers child digests to their parent; nodes are made in the order of their labels, when the sweep over
-the leaves has passed the last one below. The queue is external: a block of BLOCK leaves is
+the leaves has passed the last one below. The queue is external: a block of ARITY**HEIGHT leaves is
 swept by one task, whose part of the queue holds a few digests per level, and what leaves a block is addressed to its block of the
 next round and sorted there by Spark's shuffle. The reversed sweep takes the labels downwards: a
 node hands its proof suffix to its children, with their siblings in front, until all leaves have theirs.
 
-A group of most rows is many blocks; a task holds the digests of one block (BLOCK of them), never a group. The number of
-rounds is the logarithm of the largest group to the base BLOCK.
+A group of most rows is many blocks; a task holds the digests of one block, never a group. The number of
+rounds is the logarithm of the largest group to the base of a block's leaves.
 
 Nulls anywhere are values of their own. Leaves with equal order keys stand by digest; equal rows are leaves of their own, next to each
 other. An empty table gives no rows. Carried columns may have any names.
@@ -30,8 +30,7 @@ from colwright.llm.ranks import numbered
 from colwright.sources.shared import kept
 
 ARITY = 8
-HEIGHT = 4
-BLOCK = ARITY**HEIGHT
+HEIGHT = 4  # levels that a task adds to the leaves of a block
 PROOF = "array<struct<left:string,right:string>>"
 UP = "grp string, pos bigint, n bigint, digest string"
 
@@ -49,11 +48,11 @@ def _hash(digests: Sequence[str]) -> str:
     return hashlib.sha256("".join(digests).encode()).hexdigest()
 
 
-def _height(n: int) -> int:
-    """Levels above a group's leaves in its block: all of them, or those up to the block's root."""
-    height, width = 0, 1
-    while width < min(n, BLOCK):
-        height, width = height + 1, width * ARITY
+def _height(n: int, most: int) -> int:
+    """Levels above the leaves of a block in a group of n: `most`, or those up to the group's root."""
+    height = 0
+    while height < most and ARITY**height < n:
+        height += 1
     return height
 
 
@@ -89,33 +88,34 @@ class Sweep:
         self.at += 1
 
 
-def _block_leaves(n: int, block: int) -> int:
-    return min(BLOCK, n - block * BLOCK)
+def _up(height: int):
+    """Over rows sorted by group, block and position: one row per block, with its root at the block's place."""
+    full = ARITY**height
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, sweep = None, None
+        for batch in batches:
+            out: list[tuple] = []
+            get = [batch.column(i).to_pylist() for i in (batch.schema.get_field_index(c) for c in ("grp", "block", "n", "digest"))]
+            for grp, block, n, digest in zip(*get):
+                if (grp, block) != here:
+                    here, sweep = (grp, block), Sweep(min(full, n - block * full), _height(n, height))
+                sweep.add(digest)
+                if sweep.at == sweep.leaves:
+                    out.append((grp, block, -(-n // full), sweep.root))
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["grp", "pos", "n", "digest"])
 
-def _up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group, block and position; one row per block, with its root at the block's place."""
-    here, sweep = None, None
-    for batch in batches:
-        out: list[tuple] = []
-        get = [batch.column(i).to_pylist() for i in (batch.schema.get_field_index(c) for c in ("grp", "block", "n", "digest"))]
-        for grp, block, n, digest in zip(*get):
-            if (grp, block) != here:
-                here, sweep = (grp, block), Sweep(_block_leaves(n, block), _height(n))
-            sweep.add(digest)
-            if sweep.at == sweep.leaves:
-                out.append((grp, block, -(-n // BLOCK), sweep.root))
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["grp", "pos", "n", "digest"])
+    return run
 
 
-def _proofs(digests: list[str], n: int) -> tuple[str, list[tuple | None]]:
+def _proofs(digests: list[str], height: int) -> tuple[str, list[tuple | None]]:
     """The block's root and, for each leaf, its steps as (left, right, further steps).
 
     The reversed sweep: labels downwards, each node with the suffix that its parent has delivered.
     """
     log: list = []
-    sweep = Sweep(len(digests), _height(n), log)
+    sweep = Sweep(len(digests), height, log)
     for d in digests:
         sweep.add(d)
     steps: list[tuple | None] = [None] * len(digests)
@@ -134,12 +134,12 @@ def _proofs(digests: list[str], n: int) -> tuple[str, list[tuple | None]]:
     return sweep.root, steps
 
 
-def _down(out_schema: pa.Schema):
+def _down(out_schema: pa.Schema, height: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finish(message: dict | None, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             rows = pa.Table.from_batches(parts).combine_chunks()
             digests = rows.column("digest").to_pylist()
-            root, steps = _proofs(digests, rows.column("n")[0].as_py())
+            root, steps = _proofs(digests, _height(rows.column("n")[0].as_py(), height))
             tail = message["proof"] if message else []
             tail_left, tail_right = [s["left"] for s in tail], [s["right"] for s in tail]
             left, right, cuts = [], [], [0]
@@ -189,12 +189,12 @@ def _dealt(nodes: DataFrame) -> DataFrame:
     return nodes.repartition("grp", "block").sortWithinPartitions("grp", "block", "pos")
 
 
-def _climb(nodes: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+def _climb(nodes: DataFrame, height: int) -> list[tuple[DataFrame, DataFrame]]:
     """Per round the nodes (grp, pos, n, digest, row) and the groups that end in it (grp, digest)."""
     rounds, row = [], nodes.schema["row"].dataType
     while True:
-        narrow = nodes.select("grp", F.floor(F.col("pos") / BLOCK).alias("block"), "pos", "n", "digest")
-        raised = kept(_dealt(narrow).mapInArrow(_up, UP), "merkle-nodes")
+        narrow = nodes.select("grp", F.floor(F.col("pos") / ARITY**height).alias("block"), "pos", "n", "digest")
+        raised = kept(_dealt(narrow).mapInArrow(_up(height), UP), "merkle-nodes")
         rounds.append((nodes, raised.filter("n <= 1").select("grp", "digest")))
         rest = raised.filter("n > 1")
         if rest.isEmpty():
@@ -202,13 +202,13 @@ def _climb(nodes: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
         nodes = rest.withColumn("row", F.lit(None).cast(row))
 
 
-def _descend(rounds: list[tuple[DataFrame, DataFrame]], tops: DataFrame | None) -> DataFrame:
+def _descend(rounds: list[tuple[DataFrame, DataFrame]], tops: DataFrame | None, height: int) -> DataFrame:
     """The first round's nodes with subroot, root and proof; `tops` holds those of each group (grp, subroot, root, proof)."""
     found = None
     for number in range(len(rounds) - 1, -1, -1):
         nodes, ends = rounds[number]
         none = [F.lit(None).cast("string").alias("subroot"), F.lit(None).cast("string").alias("root"), F.lit(None).cast(PROOF).alias("proof")]
-        leaves = nodes.select("grp", F.floor(F.col("pos") / BLOCK).alias("block"), "pos", "n", "digest", "row", *none)
+        leaves = nodes.select("grp", F.floor(F.col("pos") / ARITY**height).alias("block"), "pos", "n", "digest", "row", *none)
         empty = [F.lit(-1).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("string").alias("digest")]
         empty.append(F.lit(None).cast(nodes.schema["row"].dataType).alias("row"))
         if tops is not None:
@@ -217,7 +217,7 @@ def _descend(rounds: list[tuple[DataFrame, DataFrame]], tops: DataFrame | None)
         if found is not None:
             leaves = leaves.unionByName(found.select("grp", F.col("pos").alias("block"), *empty, "subroot", "root", "proof"))
         schema = T.StructType([f for f in leaves.schema.fields if f.name not in ("block", "n")])
-        found = _dealt(leaves).mapInArrow(_down(_arrow(schema)), schema)
+        found = _dealt(leaves).mapInArrow(_down(_arrow(schema), height), schema)
         if number:
             found = kept(found, "merkle-proofs")
     return found
@@ -229,7 +229,7 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def manifest(df: DataFrame, leaf: Column, order: str, group: str, carry: dict[str, Column]) -> DataFrame:
+def manifest(df: DataFrame, leaf: Column, order: str, group: str, carry: dict[str, Column], height: int = HEIGHT) -> DataFrame:
     """The carried columns with leaf, pos (place in the group), subroot, root and proof.
 
     Per value of `group`, leaves ascend by `order` (nulls first); groups stand nulls first, then by code point. While a tree has several
@@ -247,14 +247,14 @@ def manifest(df: DataFrame, leaf: Column, order: str, group: str, carry: dict[st
     )
     placed = numbered(rows, "grp", [F.col("at").asc_nulls_first(), F.col("digest")], "merkle-order")
     placed = placed.select("grp", "pos", "n", "digest", "row")
-    rounds = _climb(placed)
+    rounds = _climb(placed, height)
     ends = rounds[0][1]
     for _, more in rounds[1:]:
         ends = ends.unionByName(more)
     groups = ends.select(F.lit("").alias("grp"), F.col("grp").alias("key"), "digest", F.struct(F.col("grp").alias("key")).alias("row"))
     groups = numbered(groups, "grp", [F.col("key")], "merkle-groups").select("grp", "pos", "n", "digest", "row")
-    tops = kept(_descend(_climb(groups), None).select(F.col("row.key").alias("grp"), F.col("digest").alias("subroot"), "root", "proof"), "merkle-roots")
-    found = _descend(rounds, tops)
+    tops = kept(_descend(_climb(groups, height), None, height).select(F.col("row.key").alias("grp"), F.col("digest").alias("subroot"), "root", "proof"), "merkle-roots")
+    found = _descend(rounds, tops, height)
     return found.select("row.*", F.col("digest").alias("leaf"), "pos", "subroot", "root", "proof")
 
 

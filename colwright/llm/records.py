@@ -302,7 +302,7 @@ def _write(tokenizer: str, end: int, path: str, file_bytes: int):
             at = 0
             while at < len(ids):
                 stop, held = at, 0
-                while stop < len(ids) and held < FLUSH_BYTES:
+                while stop < len(ids) and held < min(FLUSH_BYTES, file_bytes):
                     held += len(texts[stop].as_buffer())
                     stop += 1
                 coded = coder.encode(texts.slice(at, stop - at).to_pylist(), end)

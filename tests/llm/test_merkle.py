@@ -1,0 +1,95 @@
+"""The manifest against a plain recursion, for forests that span several blocks."""
+
+import hashlib
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from colwright.llm import merkle
+
+
+def H(parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def encoded(*values):
+    return "".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values)
+
+
+def levels(digests, arity):
+    out = [digests]
+    while len(out[-1]) > 1:
+        out.append([H(out[-1][i : i + arity]) for i in range(0, len(out[-1]), arity)])
+    return out
+
+
+def steps(tree, i, arity):
+    out = []
+    for level in tree[:-1]:
+        run = range(i // arity * arity, min(i // arity * arity + arity, len(level)))
+        out.append(("".join(level[j] for j in run if j < i), "".join(level[j] for j in run if j > i)))
+        i //= arity
+    return out
+
+
+def brute(rows, arity=8):
+    """(doc_id, lang, text) -> leaf, subroot, root and proof of each row, in the order of the tree."""
+    groups = {}
+    for doc_id, lang, text in rows:
+        groups.setdefault(lang, []).append((doc_id is not None, doc_id or 0, H([encoded(doc_id, lang, text)])))
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {g: levels([leaf for *_, leaf in sorted(groups[g])], arity) for g in names}
+    top = levels([trees[g][-1][0] for g in names], arity)
+    out = []
+    for k, g in enumerate(names):
+        for i, (known, doc_id, leaf) in enumerate(sorted(groups[g])):
+            proof = steps(trees[g], i, arity) + steps(top, k, arity)
+            out.append((doc_id if known else None, leaf, trees[g][-1][0], top[-1][0], tuple(proof)))
+    return out
+
+
+def made(df, height=merkle.HEIGHT):
+    found = merkle.manifest(df, merkle.leaf_digest(F.col("doc_id"), F.col("lang"), F.col("text")), "doc_id", "lang", {"doc_id": F.col("doc_id")}, height)
+    return [(r.doc_id, r.leaf, r.subroot, r.root, tuple((s.left, s.right) for s in r.proof)) for r in found.collect()]
+
+
+def order(rows):
+    return sorted(rows, key=str)
+
+
+@pytest.mark.parametrize("height", [4, 1])
+def test_against_recursion(spark, height):
+    # Height 1: blocks of eight leaves, so that most proofs run through several rounds.
+    random.seed(4)
+    sizes = {None: 1, "": 9, "en": 600, "de": 8, "fr": 65, "é": 64, "z": 2, "-": 7, "=": 3, "日": 1, "x": 17}
+    rows = [(i * 3 % 1000 - 50, g, f"text {random.random()}") for g, n in sizes.items() for i in range(n)]
+    rows += [(5, "en", "twice"), (5, "en", "twice"), (5, "en", "other"), (None, "en", None), (None, "en", "x" * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    assert order(made(df.repartition(7), height)) == order(brute(rows))
+
+
+def test_a_few_rows(spark):
+    for rows in ([(1, None, None)], [(1, "a", "x"), (2, "b", "")], [(None, None, None)] * 3):
+        df = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+        assert order(made(df)) == order(brute(rows))
+    assert made(spark.createDataFrame([], "doc_id bigint, lang string, text string")) == []
+
+
+def test_tampering_is_found(spark):
+    rows = [(i, "en" if i % 3 else None, f"Text {i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    leaf = merkle.leaf_digest(F.col("doc_id"), F.col("lang"), F.col("text"))
+    now = merkle.leaf_digest(F.col("doc_id"), F.col("lang"), F.when(F.col("doc_id") % 5 == 0, F.lower("text")).otherwise(F.col("text")))
+    found = merkle.manifest(df, leaf, "doc_id", "lang", {"doc_id": F.col("doc_id"), "now": now})
+    for r in found.select("doc_id", (merkle.fold(F.col("now"), F.col("proof")) == F.col("root")).alias("same")).collect():
+        assert r.same == (r.doc_id % 5 != 0)
+
+
+def test_names(spark):
+    df = spark.createDataFrame([(1, "a", 2, 3)], "doc_id bigint, lang string, grp int, n int")
+    found = merkle.manifest(df, merkle.leaf_digest(F.col("grp")), "doc_id", "lang", {"grp": F.col("grp"), "n": F.col("n"), "digest": F.col("lang"), "row": F.col("n")})
+    assert found.columns == ["grp", "n", "digest", "row", "leaf", "pos", "subroot", "root", "proof"]
+    assert tuple(found.first())[:4] == (2, 3, "a", 3)
+    with pytest.raises(ValueError, match="other names"):
+        merkle.manifest(df, merkle.leaf_digest(F.col("grp")), "doc_id", "lang", {"Root": F.col("n")})

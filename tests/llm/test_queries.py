@@ -32,7 +32,7 @@ def run(spark, key):
 
 
 def test_all_are_registered():
-    assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in queries.QUERIES}
+    assert {f"op{n}_" for n in range(1, 14)} == {k.split("_")[0] + "_" for k in queries.QUERIES}
     assert "pipeline" in contract.queries()
 
 
