@@ -10,8 +10,9 @@ spread over many tasks. Each bucket is rounded as a stream with one open row; wh
 tree, FAN_IN buckets to one, until a single row per source is left, and that one is rounded alone.
 
 Texts without words (null, empty) get the whole copies alone. A null source is a source of its own. Reruns
-agree, because order and chance come from hashes of the rows; which of several equal rows is taken is open.
-An empty table gives an empty one.
+agree, however the rows are dealt: order, buckets and chance come from a hash of all columns of a row, whatever
+of them comes along. Rows alike in all columns are interchangeable, so which of them is taken is open; if
+they are more than a bucket's, they are numbered and dealt over buckets by their numbers. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colwright.columns import col, require
+from colwright.llm.ranks import numbered
 from colwright.llm.text import words
 from colwright.sources.shared import kept
 
@@ -32,7 +35,6 @@ FAN_IN = 64
 MAX_COPIES = 2
 SHARE = 1.5
 EPSILON = 1e-9
-ROUNDS = 100
 CHANCES = 1 << 52
 
 
@@ -52,11 +54,11 @@ def targets(sizes: DataFrame, share: float = SHARE, most: float = MAX_COPIES) ->
 
     The targets add up to `share` of all sizes, in proportion to the weights. One that would
     exceed `most` times its source's size stops there, and the others share the excess by weight, until
-    none is above. Only sums over the sources come to the driver.
+    none is above. Each round stops one more source at least, so it ends. Only sums over the sources come to the driver.
     """
     cap = F.col("source_size") * F.lit(float(most))
     level, stopped = None, 0  # target per unit of weight of the sources that are not stopped, and how many are
-    for _ in range(ROUNDS):
+    while True:
         full = F.lit(False) if level is None else cap < F.col("weight") * level
         row = sizes.agg(
             F.sum("source_size").alias("all"),
@@ -70,8 +72,6 @@ def targets(sizes: DataFrame, share: float = SHARE, most: float = MAX_COPIES) ->
         if not row["weights"]:
             break
         level = max(0.0, share * (row["all"] or 0) - row["caps"]) / row["weights"]
-    else:
-        raise RuntimeError(f"targets not settled in {ROUNDS} rounds")
     return sizes.withColumn("target", F.least(cap, F.col("weight") * F.lit(level or 0.0)))
 
 
@@ -160,6 +160,24 @@ def _round(last: bool):
     return run
 
 
+def _hashable(field: T.StructField) -> Column:
+    """The column, as text if it holds maps, which Spark does not hash."""
+    plain = not any(word in field.dataType.simpleString() for word in ("map<", "variant"))
+    return col(field.name) if plain else F.to_json(F.struct(col(field.name)))
+
+
+def _dealt_alike(rows: DataFrame) -> DataFrame:
+    """Spreads marks with more rows than a bucket has over all buckets of their source, as many rows to each, whatever rows they are."""
+    many = rows.groupBy(F.col("mark").alias("many")).count().filter(F.col("count") > BUCKET_ROWS)
+    many = kept(many.select("many"), "mix-alike")
+    if many.isEmpty():
+        return rows
+    marked = rows.join(many, F.col("mark") == F.col("many"), "left")
+    alike = numbered(marked.filter("many IS NOT NULL"), "mark", [F.col("size")], "mix-alike")
+    alike = alike.withColumn("mix_bucket", F.pmod(F.col("mark") + F.col("pos"), F.col("buckets"))).withColumn("mark", F.xxhash64("mark", "pos"))
+    return marked.filter("many IS NULL").select(*rows.columns).unionByName(alike.select(*rows.columns))
+
+
 def mix(
     df: DataFrame,
     size: Column,
@@ -172,14 +190,17 @@ def mix(
     """The rows with size, source_size, target, copies and taken (copies times size) appended.
 
     `weigh` appends weight to a table with one row per source of source, source_size and rows.
-    `payload` names the columns that come along and tell rows apart, all of them by default.
+    `payload` names the columns that come along, all of them by default.
     The new columns replace columns of their names.
     """
     require(df, source, *(payload or ()))
     added = ("size", "source_size", "target", "copies", "taken")
     own = [c for c in (payload or df.columns) if c.lower() not in added]
     rows = df.select(
-        F.struct(*[col(c) for c in own]).alias("row"), col(source).cast("string").alias("mix_source"), size.alias("size")
+        F.struct(*[col(c) for c in own]).alias("row"),
+        col(source).cast("string").alias("mix_source"),
+        size.alias("size"),
+        F.xxhash64(F.lit(seed), *[_hashable(f) for f in df.schema.fields]).alias("mark"),
     )
     if payload:
         rows = kept(rows, "mix-rows")  # narrow: the texts are read and measured once
@@ -193,10 +214,10 @@ def mix(
         dealt.withColumn("rate", F.coalesce(rate, F.lit(0.0)))
         .withColumn("copies", F.floor("rate"))
         .withColumn("fraction", F.col("rate") - F.floor("rate"))
-        .withColumn("mark", F.xxhash64(F.lit(seed), "row"))
-        .withColumn("mix_bucket", F.pmod("mark", F.ceil(F.col("rows") / BUCKET_ROWS)))
+        .withColumn("buckets", F.ceil(F.col("rows") / BUCKET_ROWS))
         .drop("rate", "goal_source", "rows")
     )
+    dealt = _dealt_alike(dealt.withColumn("mix_bucket", F.pmod("mark", "buckets"))).drop("buckets")
     spread = -(-(sums.agg(F.max("rows")).first()[0] or 0) // BUCKET_ROWS)
 
     out, number = [], 0
