@@ -2,10 +2,10 @@
 
 Base spans are strong by themselves: assignments to secret names, access identifiers, long
 hexadecimal runs. Weak parts (login names, mixed random strings, endpoints) are reported
-only where their complement starts within SCOPE code points: a weak identifier or
+only where at most SCOPE code points lie between them and their complement: a weak identifier or
 a weak secret needs a part of the other role, an endpoint needs both. Whether it does is
-an interval join: parts meet the extremes of the complement's starts in their own cell of SCOPE
-code points and the two beside it, so no pairs are made, however many parts a text has.
+an interval join: parts meet the extremes of the complement's intervals in the cells of SCOPE
+code points around them, so no pairs are made, however many or long the parts of a text are.
 
 Positions are code points, ends exclusive. Null and empty texts have no spans. Equal texts
 have equal links, so links are found once per distinct text, and copies cost no more
@@ -80,24 +80,25 @@ def digest(spans: Column) -> Column:
 
 
 def _linked(parts: DataFrame, key: str, scope: int) -> DataFrame:
-    """key, linked: of each text, the weak parts whose complement starts within the scope."""
-    role, cell = F.col("p.role"), F.floor(F.col("p.start") / scope)
-    part = parts.select(key, F.explode("parts").alias("p")).select(
-        key, "p.*", role.alias("of"), cell.alias("cell")
-    )
-    cells = part.groupBy(key, F.col("of").alias("needed"), F.col("cell").alias("near")).agg(
-        F.min("start").alias("low"), F.max("start").alias("high")
+    """key, linked: of each text, the weak parts whose complement lies within the scope: no more than it between the end of one and the start of the other.
+
+    A part stands in every cell that it covers. A weak part asks the cells from `scope` before it to `scope` behind it: in those in
+    between any complement will do, in the first one it must end late enough, in the last one begin early enough. First and last are never one.
+    """
+    part = parts.select(key, F.explode("parts").alias("p")).select(key, "p.*")
+    covered = F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor((F.col("end") - 1) / scope))).alias("near")
+    cells = part.select(key, F.col("role").alias("needed"), covered, "start", "end").groupBy(key, "needed", "near").agg(
+        F.min("start").alias("low"), F.max("end").alias("high")
     )
     needs = F.create_map(*[x for k, v in NEEDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    weak = part.filter("weak").select(key, "start", "rank", "kind", "end", "cell", needs[F.col("of")].alias("needs"))
-    asked = weak.select("*", F.explode("needs").alias("needed")).select(
-        "*", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("near")
-    )
+    first, last = F.floor((F.col("start") - scope - 1) / scope), F.floor((F.col("end") + scope) / scope)
+    weak = part.filter("weak").select(key, "start", "rank", "kind", "end", first.alias("first"), last.alias("last"), needs[F.col("role")].alias("needs"))
+    asked = weak.select("*", F.explode("needs").alias("needed")).select("*", F.explode(F.sequence("first", "last")).alias("near"))
     met = asked.join(cells, [key, "needed", "near"]).filter(
-        ((F.col("high") >= F.col("start") - scope) & (F.col("high") <= F.col("start") + scope))
-        | ((F.col("low") >= F.col("start") - scope) & (F.col("low") <= F.col("start") + scope))
-        | (F.col("near") == F.col("cell"))
+        ((F.col("near") > F.col("first")) | (F.col("high") >= F.col("start") - scope))
+        & ((F.col("near") < F.col("last")) | (F.col("low") <= F.col("end") + scope))
     )
+    # The weak part itself is no complement: roles differ.
     whole_parts = met.groupBy(key, "start", "rank", "kind", "end").agg(
         F.count_distinct("needed").alias("met"), F.max(F.size("needs")).alias("needs")
     )
