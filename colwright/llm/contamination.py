@@ -11,7 +11,8 @@ with k edits keeps n - 1 - 2k of them within n + k words: pairs that lie thinner
 item's pairs are not verified; both lose nothing. A copy is missed only if no key of any pair left agrees; tests measure the
 recall at the largest distance that counts, with edits anywhere and on the longest words.
 
-Items of fewer than MIN_WORDS words are found where all their words stand in a row. Each character of a script that is written
+Items of fewer than MIN_WORDS words are too short for walks and are found exactly: where all their words stand in a row or,
+if MAX_EDITS of their words is an edit, where one edit leaves either half of them intact and the rest fits. Each character of a script that is written
 without spaces between words is a word. Items without words match nothing; so do null and empty ones. Null and empty texts have no
 hits. Repeated items and texts are reported each by itself.
 """
@@ -158,12 +159,74 @@ def distance(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+class _Near:
+    """Items of which a copy may have one edit. An edit leaves the first or the second half of an item's words as they are."""
+
+    def __init__(self, items: list[tuple[int | None, np.ndarray]]):
+        self.items = items
+        # Per length the items' words, and per half the sorted hashes with the items that have them.
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]] = {}
+        for n in {len(w) for _, w in items}:
+            no = np.array([i for i, (_, w) in enumerate(items) if len(w) == n])
+            word = np.stack([items[i][1] for i in no])
+            halves = []
+            for part in (word[:, : n // 2], word[:, n // 2 :]):
+                key = np.array([_runs(w, len(w))[0] for w in part])
+                order = np.argsort(key, kind="stable")
+                halves.append((key[order], order))
+            self.by_size[n] = no, word, halves
+
+    def hits(self, word: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """(text, item): distance, start and end in the text, for the least distance and then the first place."""
+        padded = np.concatenate([np.zeros(GAP, np.uint64), word, np.zeros(GAP, np.uint64)])
+        found: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for n, (no, items, halves) in self.by_size.items():
+            places, which = [], []
+            for (key, owner), length, back in zip(halves, (n // 2, n - n // 2), ((0,), (n // 2 - 1, n // 2, n // 2 + 1))):
+                runs = _runs(word, length)
+                at = np.flatnonzero(np.isin(runs, key))
+                low, high = np.searchsorted(key, runs[at], "left"), np.searchsorted(key, runs[at], "right")
+                many = high - low
+                rows = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                for b in back:
+                    places.append(np.repeat(at, many) - b)
+                    which.append(owner[rows])
+            both = np.unique(np.stack([np.concatenate(places), np.concatenate(which)], axis=1), axis=0) if places else np.empty((0, 2), np.int64)
+            for i in range(0, len(both), 1 << 16):
+                place, item = both[i : i + (1 << 16)].T
+                for distance_, size, good in self._fits(padded, place, items[item], n):
+                    for p, k in zip(place[good].tolist(), no[item[good]].tolist()):
+                        doc = int(np.searchsorted(first, p, "right")) - 1
+                        new = (distance_, p - int(first[doc]), p - int(first[doc]) + size)
+                        found[doc, k] = min(found.get((doc, k), new), new)
+        return found
+
+    @staticmethod
+    def _fits(padded: np.ndarray, place: np.ndarray, items: np.ndarray, n: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Distance, words in the text, and which of the places fit: none, one word replaced, added or left out.
+
+        Both ends must be words of a text; what fits beyond an end, fits within it with a word left out.
+        """
+
+        def agree(shift: int) -> np.ndarray:
+            return padded[place[:, None] + GAP + shift + np.arange(n)] == items
+
+        straight = agree(0)
+        lead = np.cumprod(straight, axis=1).sum(axis=1)
+        yield 0, n, lead == n
+        for shift, need in ((0, n - 1), (1, n), (-1, n - 1)):
+            tail = np.cumprod(agree(shift)[:, ::-1], axis=1).sum(axis=1)
+            inside = (padded[place + GAP] != 0) & (padded[place + GAP + n + shift - 1] != 0)
+            yield 1, n + shift, inside & (lead + tail >= need) & (lead < n)
+
+
 class Index:
     """The keys of a block of items, for whole batches of texts."""
 
     def __init__(self, items: list[tuple[int | None, np.ndarray]]):
         self.items = [(i, w) for i, w, *_ in items if len(w) >= MIN_WORDS]
-        self.short = [(i, w) for i, w, *_ in items if 0 < len(w) < MIN_WORDS]
+        self.short = [(i, w) for i, w, *_ in items if 0 < len(w) < MIN_WORDS and MAX_EDITS * len(w) < 1]
+        self.near = _Near([(i, w) for i, w, *_ in items if len(w) < MIN_WORDS and MAX_EDITS * len(w) >= 1])
         # Of each length the hashes of the short items, and which items have them.
         self.rows: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for no, (_, w) in enumerate(self.short):
@@ -290,6 +353,8 @@ class Index:
         for doc, no, at in self._exact(word, first):
             item_id, item = self.short[no]
             out[doc].append({"item_id": item_id, "distance": 0, "start_word": at, "end_word": at + len(item)})
+        for (doc, no), (d, start, end) in sorted(self.near.hits(word, first).items()):
+            out[doc].append({"item_id": self.near.items[no][0], "distance": d, "start_word": start, "end_word": end})
         if not self.items:
             return out
         starts = self.starts(word)
