@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colwright.columns import col, require
-from colwright.llm.text import whole
+from colwright.llm.text import let, whole
 from colwright.sources.shared import kept
 
 THRESHOLD = 0.6
@@ -44,6 +44,8 @@ _CC_NOTICES = (
     "This work is licensed under a Creative Commons {long} {version} {scope} License.",
     "Creative Commons {long} {version} {scope} Public License",
 )
+# Lines over which a notice may be broken, and the characters of such lines, for each of the longest template's.
+WRAPPED, MOST_CHARS = 6, 3
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT license."),
@@ -138,7 +140,13 @@ def scan_licenses(
     has_anchor = _any_of({a for _, _, w in weights for a in _anchors(w, threshold)})
     has_whole = _any_of({a for _, _, w in whole_weights for a in _anchors(w, threshold)})
     lines = F.split(whole(text), "\n")
-    sections = F.filter(F.when(is_file, F.concat(lines, F.array(whole(text)))).otherwise(lines), lambda x: x.rlike(has_anchor))
+    most = MOST_CHARS * max([0, *(len(body) for _, body in templates)])
+
+    def with_wrapped(lines: Column) -> Column:
+        single = F.filter(F.when(is_file, F.concat(lines, F.array(whole(text)))).otherwise(lines), lambda x: x.rlike(has_anchor))
+        return F.concat(single, _wrapped(lines, has_anchor, most))
+
+    sections = let(lines, with_wrapped)
     plain = F.transform(sections, lambda x: F.array_join(_terms(x), " "))
     none = F.array().cast("array<string>")
     # A bracket that encloses the tag is not part of the expression.
@@ -184,6 +192,27 @@ def scan_licenses(
     )
 
 
+def _wrapped(lines: Column, has_anchor: str, most: int) -> Column:
+    """Runs of 2 to WRAPPED adjacent lines with an anchor in one of them, of up to `most` characters: notices that are broken over lines.
+
+    Marks of comments at the line's ends are no terms, so they need not be taken off. Only lines near an anchor are looked at.
+    """
+    anchored = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(has_anchor), i)), lambda i: i.isNotNull())
+
+    def around(at: Column) -> Column:
+        def runs(n: Column) -> Column:
+            first = F.sequence(F.greatest(F.lit(0), at - n + 1), at)
+            return F.transform(first, lambda i: F.struct(i.alias("i"), n.alias("n")))
+
+        return F.flatten(F.transform(F.sequence(F.lit(2), F.lit(WRAPPED)), runs))
+
+    places = F.array_distinct(F.flatten(F.transform(anchored, around)))
+    inside = F.filter(places, lambda p: p["i"] + p["n"] <= F.size(lines))
+    joined = F.transform(inside, lambda p: F.slice(lines, p["i"] + 1, p["n"]))
+    short = F.filter(joined, lambda x: F.aggregate(x, F.lit(0), lambda n, line: n + F.length(line)) <= most)
+    return F.transform(short, lambda x: F.array_join(x, " "))
+
+
 def _present(text: str, shapes: list) -> Column:
     """The templates' terms that the text has."""
     vocabulary = sorted({t for _, _, s in shapes for t in s})
