@@ -21,18 +21,19 @@ from pyspark.sql import functions as F
 
 from colwright.columns import col, require
 from colwright.llm.text import free_name, whole
+from colwright.sources.shared import kept
 
 DIMENSIONS = 4096
 CENTROIDS = 4
 # Different training texts per language that the clustering sees; idf counts all of them.
 SAMPLE_PER_LANGUAGE = 400
-MAX_LANGUAGES = 500
 # Tasks that the smallest hashes of all input partitions pass before one task sees a language's.
 SPREAD = 64
 REJECT_QUANTILE = 0.001
 UNKNOWN = "und"
 BLOCK = 1 << 18
 ROWS = 256
+CENTROIDS_AT_ONCE = 2048
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
 
 
@@ -173,23 +174,20 @@ def _drawn(rows: DataFrame, sample: int) -> DataFrame:
     hashed = rows.select("lang", (F.spark_partition_id() % SPREAD).alias("deal"), F.xxhash64("text").alias("hash"))
     low = hashed.mapInPandas(_lowest(sample), shape).repartition("lang", "deal").mapInPandas(_lowest(sample), shape)
     low = low.repartition("lang").mapInPandas(_lowest(sample), shape)
-    # One number per language, so the table is bounded before it goes to every task.
-    limits = low.groupBy("lang").agg(F.max("hash").alias("most")).limit(MAX_LANGUAGES + 1).collect()
-    if len(limits) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    known = rows.sparkSession.createDataFrame([tuple(r) for r in limits], "lang string, most bigint")
+    # One number per language; Spark joins the table by its size.
+    limits = kept(low.groupBy("lang").agg(F.max("hash").alias("most")), "language-limits")
 
     @F.pandas_udf("array<bigint>")
     def cells(texts: pd.Series) -> pd.Series:
         return pd.Series([counts(t) for t in texts], dtype=object)
 
-    near = rows.withColumn("hash", F.xxhash64("text")).join(F.broadcast(known), "lang").filter("hash <= most")
+    near = rows.withColumn("hash", F.xxhash64("text")).join(limits, "lang").filter("hash <= most")
     different = near.groupBy("lang", "hash").agg(F.first("text").alias("text"))
     return different.select("lang", "hash", cells.asNondeterministic()("text").alias("cells"))
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", k: int = CENTROIDS, sample: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Learn from the rows with a language. What comes to the driver is bounded by MAX_LANGUAGES * k vectors."""
+    """Learn from the rows with a language. What comes to the driver, and goes to each task, is k vectors of 16 KB per language."""
     require(df, text, lang)
     rows = df.filter(col(lang).isNotNull()).select(whole(text).alias("text"), col(lang).alias("lang"))
     found = rows.select("text").mapInPandas(_frequencies, "cell int, n bigint").groupBy("cell").sum("n").collect()
@@ -220,12 +218,17 @@ def _nearest(texts: list[str], model: Model) -> pd.DataFrame:
     x, has = _vectors([counts(t) for t in texts], model.idf)
     if not model.languages:
         has[:] = False
-        cosine = np.zeros((len(texts), 1))
+        at, best = np.zeros(len(texts), np.int64), np.zeros(len(texts))
         limits, names = np.zeros(1), np.array([UNKNOWN], object)
     else:
-        cosine, limits, names = x @ model.centroids.T, model.limits, np.array(model.languages, object)
-    at = cosine.argmax(axis=1)
-    score = np.clip(cosine[np.arange(len(at)), at], 0, 1).astype(float)
+        limits, names = model.limits, np.array(model.languages, object)
+        at, best = np.zeros(len(x), np.int64), np.full(len(x), -np.inf, np.float32)
+        # Some centroids at a time; the first of equal ones stays, and they are sorted by language.
+        for i in range(0, len(model.centroids), CENTROIDS_AT_ONCE):
+            cosine = x @ model.centroids[i : i + CENTROIDS_AT_ONCE].T
+            near, value = cosine.argmax(axis=1), cosine.max(axis=1)
+            at, best = np.where(value > best, near + i, at), np.maximum(value, best)
+    score = np.clip(best, 0, 1).astype(float)
     return pd.DataFrame(
         {
             "lang": pd.Series(np.where(has, names[at], UNKNOWN), dtype=object),
