@@ -1,4 +1,4 @@
-"""Statistics of columns and tables. Each is one aggregation over one scan."""
+"""Statistics of columns and tables. Each is one aggregation over one scan; a profile takes a second one for few columns."""
 
 from __future__ import annotations
 
@@ -15,9 +15,10 @@ def _kind(kind: T.DataType) -> str:
     return "integer" if isinstance(kind, T.NumericType) else "string"
 
 
-# Relative standard error of the sketches, and how many of them a count must be away from the threshold to be believed.
+# Relative standard error of the sketches, and how many of them a count must be away from the threshold to be believed:
+# beyond twelve an error is less likely than one of the digests that texts are compared by (below 1e-30).
 SKETCH_ERROR = 0.0085
-SURE = 4
+SURE, NEARLY_SURE = 12, 4
 
 
 def _plain(df: DataFrame, column: str) -> Column:
@@ -35,19 +36,29 @@ def _plain(df: DataFrame, column: str) -> Column:
     return F.sha2(text, 256)  # so that no long text is shuffled
 
 
+def _sketched(df: DataFrame, column: str) -> Column:
+    """The column for a sketch, which hashes texts itself."""
+    kind = type_of(df, column)
+    if isinstance(kind, (T.StringType, T.CharType, T.VarcharType)):
+        return col(column).cast("string")
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return (col(column).cast("double") + F.lit(0.0)).cast("string")
+    return _plain(df, column)
+
+
 def _about_distinct(df: DataFrame) -> DataFrame:
     """Rows, and distinct values per column within about one percent, from sketches of a few kilobytes."""
-    sketches = [F.hll_sketch_agg(_plain(df, c).cast("string"), 14) for c in df.columns]
+    sketches = [F.hll_sketch_agg(_sketched(df, c), 14) for c in df.columns]
     return df.agg(
         F.count("*").alias("rows"), *[F.hll_sketch_estimate(s).alias(f"d{i}") for i, s in enumerate(sketches)]
     )
 
 
-def _surely_distinct(df: DataFrame) -> DataFrame:
-    """As `_about_distinct`, with exact counts of the columns that are too close to a tenth of the rows to call."""
+def _told_apart(df: DataFrame, sure: float) -> DataFrame:
+    """As `_about_distinct`, with exact counts of the columns that are within `sure` standard errors of a tenth of the rows."""
     about = _about_distinct(df).first()
     limit = about["rows"] / 10
-    close = [i for i in range(len(df.columns)) if abs(about[f"d{i}"] - limit) <= SURE * SKETCH_ERROR * max(limit, about[f"d{i}"])]
+    close = [i for i in range(len(df.columns)) if abs(about[f"d{i}"] - limit) <= sure * SKETCH_ERROR * max(limit, about[f"d{i}"])]
     known = about.asDict()
     if close and about["rows"]:
         exact = _distinct(df.select(*[col(df.columns[i]) for i in close])).first()
@@ -81,11 +92,11 @@ def column_profile(df: DataFrame, *, approx: bool = False) -> DataFrame:
     """One row per column: `column_name`, `ftype`, `type` and position `rank`.
 
     `ftype` is `classification` when at most a tenth as many distinct values as
-    rows occur, else `continuous`. The counts are exact; `approx` uses sketches with an error of about one percent,
-    which shuffle next to nothing, and counts exactly only the columns that lie within four standard errors of
-    the threshold. It runs when called.
+    rows occur, else `continuous`. It runs when called: one scan fills a sketch per column, which decides all columns that
+    are far from the threshold; those within twelve standard errors (a tenth) of it are counted exactly, and no other
+    column is shuffled. `approx` counts only those within four standard errors.
     """
-    counts = _surely_distinct(df) if approx else _distinct(df)
+    counts = _told_apart(df, NEARLY_SURE if approx else SURE)
     few = lambda i: F.col(f"d{i}") <= F.col("rows") / 10
     lines = [
         F.struct(

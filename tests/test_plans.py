@@ -70,8 +70,19 @@ def test_a_fit_is_one_scan_without_a_join(lineitem):
     assert "ReusedSubquery" in plan(executed) or plan(executed).count("Subquery subquery") == 1
 
 
-def test_profile_scans_once(lineitem):
-    assert scans(plan(cw.column_profile(lineitem))) == 1
+def test_a_profile_counts_only_the_columns_near_the_threshold(spark, monkeypatch):
+    from colwright.operators import profile
+
+    counted = []
+    exact = profile._distinct
+    monkeypatch.setattr(profile, "_distinct", lambda df: counted.append(df.columns) or exact(df))
+    df = spark.range(20_000).selectExpr("id", "id % 3 AS few", "id % 2000 AS at", "id % 2001 AS above", "cast(id % 2500 AS string) AS more", "id % 1900 AS near")
+    found = {r.column_name: r.ftype for r in cw.column_profile(df).collect()}
+    assert counted == [["at", "above", "near"]]
+    assert {c for c, kind in found.items() if kind == "classification"} == {"few", "at", "near"}
+
+
+def test_statistics_scan_once(lineitem):
     assert scans(plan(cw.column_min_max(lineitem, "l_tax"))) == 1
     assert scans(plan(cw.column_describe(lineitem, ["l_tax", "l_quantity"]))) == 1
 
