@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colwright.columns import col, require
-from colwright.llm.text import whole
+from colwright.llm.text import place, whole
 from colwright.llm.tokens import Cutter
 
 FILE_BYTES = 128 << 20
@@ -267,21 +267,12 @@ class Encoder:
         return text.lower().split() if self.cutter.is_plain(text) else self.cutter.cut(text)[0]
 
 
-def _place(path: str):
-    """The file system of a path as Spark gives it, and the path within it."""
-    from pyarrow import fs
-
-    if path.startswith("file:") or path.startswith("/"):
-        return fs.LocalFileSystem(), re.sub("^file:/*", "/", path)
-    return fs.FileSystem.from_uri(path)
-
-
 def _write(tokenizer: str, end: int, path: str, file_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, mark = TaskContext.get().partitionId(), uuid.uuid4().hex
-        files, folder = _place(path)
+        files, folder = place(path)
         files.create_dir(folder, recursive=True)
         coder = Encoder.of(tokenizer)
         done: list[tuple] = []
@@ -356,7 +347,7 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 def _offsets(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files_, folder = _place(path)
+        files_, folder = place(path)
         for batch in batches:
             for name, base, low, n in zip(*(batch.column(c).to_pylist() for c in ("file", "start", "low", "n"))):
                 with files_.open_input_file(f"{folder}/{name.removesuffix('.rec')}.idx") as f:
@@ -382,7 +373,7 @@ def index(spark: SparkSession, path: str) -> DataFrame:
 
 def _fetch(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files_, folder = _place(path)
+        files_, folder = place(path)
         opened: dict = {}
 
         def read(name: str, low: int, high: int) -> bytes:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -36,3 +37,12 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def place(path: str):
+    """The file system of a path as Spark gives it, and the path within it."""
+    from pyarrow import fs
+
+    if path.startswith("file:") or path.startswith("/"):
+        return fs.LocalFileSystem(), re.sub("^file:/*", "/", path)
+    return fs.FileSystem.from_uri(path)

@@ -1,8 +1,9 @@
 """WARC archives with revisit records, and their merged index.
 
 Records are written and sorted by URL key and time within each archive, so that every archive is a sorted run. Reading parses
-the archives by their lengths. The index entries of all runs are dealt by ranges of (URL key, time), and each range merges its
-pieces of the runs with a loser tree; ranges in order are the global order, so each URL's captures stand together.
+the archives by their lengths. The index entries of all runs are dealt by ranges of (URL key, time), and each range is an external merge of its
+pieces of the runs: loser trees over a bounded number of runs, of each of which a few entries are held, in as many passes as it
+takes. Ranges in order are the global order, so each URL's captures stand together.
 
 Of records with equal payloads of at least MIN_BYTES bytes, that with the smallest page_id (nulls last) is the response, and the others
 revisit it; rows that share that page_id are all responses. A null payload is empty; a null url leaves the header out and has key "".
@@ -12,6 +13,7 @@ Line breaks in URLs are percent-encoded. An empty table makes an archive without
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,10 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colwright.columns import col, require
-from colwright.llm.text import whole
+from colwright.llm.text import place, whole
 from colwright.sources.shared import kept, shared_path
 
 MIN_BYTES = 100
+# Entries of a merge task's range, runs that are merged at once, and entries of each that are held.
+RANGE_ROWS, FAN_IN, BUFFER_ROWS = 500_000, 64, 256
 ARCHIVE_BYTES = 64 << 20
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -175,28 +179,117 @@ class LoserTree:
             self._play(best)
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The index entries of one range, sorted by run, as one sequence."""
-    parts = list(batches)
-    if not parts:
-        return
-    table = pa.Table.from_batches(parts)
-    archive = table.column("archive").to_pylist()
-    keys = zip(table.column("url_key").to_pylist(), table.column("captured").to_pylist(), table.column("page_id").to_pylist())
-    entry = [(u, t, p is None, p or 0, i) for i, (u, t, p) in enumerate(keys)]
-    cuts = [0] + [i for i in range(1, len(archive)) if archive[i] != archive[i - 1]] + [len(archive)]
-    tree = LoserTree([iter(entry[a:b]) for a, b in zip(cuts, cuts[1:])])
-    yield from table.take(pa.array([e[-1] for e in tree], pa.int64())).combine_chunks().to_batches()
+def _entry(row: tuple, run: int, number: int) -> tuple:
+    """A row behind what it is merged by: URL key, time, page (nulls last), then the run and the place in it."""
+    return row[0], row[1], row[2] is None, row[2] or 0, run, number, row
 
 
-def merged_index(spark: SparkSession, path: str) -> DataFrame:
-    """The index entries of all archives below `path`, in the order of URL key and time."""
+def _read_run(source: pa.ipc.RecordBatchFileReader, batches: range, run: int) -> Iterator[tuple]:
+    """The entries of a run, of which one batch is held at a time."""
+    number = 0
+    for i in batches:
+        for row in zip(*(c.to_pylist() for c in source.get_batch(i).columns)):
+            yield _entry(row, run, number)
+            number += 1
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+class _Spool:
+    """Sorted runs in one file of the shared folder, in batches that can be read one by one."""
+
+    def __init__(self, path: str, schema: pa.Schema, rows: int):
+        self.files, self.path = place(path)
+        self.schema, self.rows, self.count, self.runs = schema, rows, 0, []
+        self.sink = self.files.open_output_stream(self.path, compression=None)
+        self.writer = pa.ipc.new_file(self.sink, schema)
+
+    def new_run(self) -> None:
+        self.runs.append(range(self.count, self.count))
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        """Append to the last run."""
+        for i in range(0, batch.num_rows, self.rows):
+            self.writer.write_batch(batch.slice(i, self.rows))
+            self.count += 1
+        self.runs[-1] = range(self.runs[-1].start, self.count)
+
+    def merged(self, first: int, last: int) -> Iterator[pa.RecordBatch]:
+        """Some of the runs as one, in batches."""
+        with self.files.open_input_file(self.path) as f:
+            source = pa.ipc.open_file(f)
+            rows = []
+            for entry in LoserTree([_read_run(source, self.runs[i], i) for i in range(first, last)]):
+                rows.append(entry[-1])
+                if len(rows) == self.rows:
+                    yield _batch(rows, self.schema)
+                    rows = []
+            if rows:
+                yield _batch(rows, self.schema)
+
+    def close(self) -> None:
+        self.writer.close()
+        self.sink.close()
+
+    def remove(self) -> None:
+        self.files.delete_file(self.path)
+
+
+def _merge(scratch: str, fan_in: int, buffer_rows: int):
+    """Over the entries of one range, sorted by archive: one sequence.
+
+    The archives' pieces are spooled as runs to a file of the task's own. While there are more than `fan_in` runs, as many at a
+    time become one longer run in the next file. A task holds `buffer_rows` entries of each run that it merges, however many the range has.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spool, last = None, object()
+        name = f"{scratch}/{uuid.uuid4().hex}"
+        for batch in batches:
+            if spool is None:
+                files, folder = place(scratch)
+                files.create_dir(folder, recursive=True)
+                spool = _Spool(f"{name}-0", batch.schema, buffer_rows)
+            archive = batch.column(batch.schema.get_field_index("archive")).to_pylist()
+            cuts = [0] + [i for i in range(1, len(archive)) if archive[i] != archive[i - 1]] + [len(archive)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b:
+                    if archive[a] != last:
+                        last = archive[a]
+                        spool.new_run()
+                    spool.add(batch.slice(a, b - a))
+        if spool is None:
+            return
+        spool.close()
+        number = 0
+        while len(spool.runs) > fan_in:
+            number += 1
+            longer = _Spool(f"{name}-{number}", spool.schema, buffer_rows)
+            for i in range(0, len(spool.runs), fan_in):
+                longer.new_run()
+                for batch in spool.merged(i, min(i + fan_in, len(spool.runs))):
+                    longer.add(batch)
+            longer.close()
+            spool.remove()
+            spool = longer
+        yield from spool.merged(0, len(spool.runs))
+        spool.remove()
+
+    return run
+
+
+def merged_index(spark: SparkSession, path: str, range_rows: int = RANGE_ROWS, fan_in: int = FAN_IN, buffer_rows: int = BUFFER_ROWS) -> DataFrame:
+    """The index entries of all archives below `path`, in the order of URL key and time; a task merges a range of about `range_rows`."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     found = files.mapInArrow(_entries, INDEX.replace("url_key", "url"))
     runs = kept(found.withColumn("url_key", url_key(F.col("url"))).drop("url"), "runs")
     names = [p.strip().split()[0] for p in INDEX.split(",")]
-    dealt = runs.select(*names).repartitionByRange("url_key", "captured", "page_id", "archive", "offset")
-    return dealt.sortWithinPartitions("archive", "url_key", "captured", F.col("page_id").asc_nulls_last()).mapInArrow(_merge, INDEX)
+    ranges = max(1, -(-runs.count() // range_rows))
+    dealt = runs.select(*names).repartitionByRange(ranges, "url_key", "captured", "page_id", "archive", "offset")
+    ordered = dealt.sortWithinPartitions("archive", "url_key", "captured", F.col("page_id").asc_nulls_last())
+    return ordered.mapInArrow(_merge(shared_path(spark, "merge"), fan_in, buffer_rows), INDEX)
 
 
 def archive_and_index(df: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", captured: Column | None = None) -> DataFrame:
