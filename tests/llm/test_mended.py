@@ -3,7 +3,6 @@
 import random
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from colwright.llm import contamination, language, licenses, mixing, secrets
@@ -108,17 +107,22 @@ MIT = "Permission is hereby granted, free of charge, to any person obtaining a c
 GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"
 
 
-@pytest.mark.parametrize("notice, name", [(MIT, "MIT"), (GPL, "GPL-3.0")])
-@pytest.mark.parametrize("mark", ["// ", "# ", " * ", "-- ", ""])
-@pytest.mark.parametrize("lines", [2, 4, 6])
-def test_notices_broken_over_comment_lines(spark, notice, name, mark, lines):
-    words = notice.split()
-    cuts = [len(words) * i // lines for i in range(lines + 1)]
-    body = "\n".join(mark + " ".join(words[a:b]) for a, b in zip(cuts, cuts[1:]))
-    df = spark.createDataFrame([("a/x.py", f"import os\n{body}\n\ndef f():\n    return 1\n"), ("a/y.py", "import os\nreturn free software of charge\n")], "path string, text string")
-    found = {r.path: r for r in licenses.scan_licenses(df).collect()}
-    assert found["a/x.py"].own_license == name and found["a/x.py"].own_score > 0.9
-    assert found["a/y.py"].own_license is None
+def test_notices_broken_over_comment_lines(spark):
+    rows, wanted = [("a/none.py", "import os\nreturn free software of charge\n")], {"a/none.py": None}
+    for notice, name in ((MIT, "MIT"), (GPL, "GPL-3.0")):
+        words = notice.split()
+        for k, mark in enumerate(("// ", "# ", " * ", "-- ", "")):
+            for lines in (2, 4, 6):
+                cuts = [len(words) * i // lines for i in range(lines + 1)]
+                body = "\n".join(mark + " ".join(words[a:b]) for a, b in zip(cuts, cuts[1:]))
+                path = f"{name}/{k}/{lines}.py"
+                rows.append((path, f"import os\n{body}\n\ndef f():\n    return 1\n"))
+                wanted[path] = name
+    # Files without any notice, as most are.
+    rows += [(f"b/{i}.py", f"value = {i}") for i in range(200)]
+    found = {r.path: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    for path, name in wanted.items():
+        assert found[path].own_license == name and (name is None or found[path].own_score > 0.9)
 
 
 def test_six_hundred_languages(spark):
