@@ -71,6 +71,7 @@ class Limits:
     grid: int = 4  # tiles along each side of pair space that have a bucket each
     entries: int = 1 << 22  # different pairs of blocks that a task takes
     row_entries: int = 1 << 17
+    list_blocks: int = 4096  # blocks in which a row lists a word's places
     fan_in: int = 256
 
     @property
@@ -314,15 +315,16 @@ def _stream_row(block: int, lang: str, stream: np.ndarray) -> pa.RecordBatch:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block: the words of each block with their ids, as one row per block and batch."""
+    """Words' ids and places: the words of each block with their ids, as one row per block and batch."""
     for batch in batches:
-        blocks = batch.column("block").to_numpy()
+        places = batch.column("places")
+        where = places.flatten()
+        blocks, codes = (where.field(i).to_numpy() for i in range(2))
+        ids = np.repeat(batch.column("id").to_numpy(), places.value_lengths().to_numpy())
+        order = np.lexsort((codes, blocks))
+        blocks, codes, ids = blocks[order], codes[order].astype(np.uint64), ids[order].astype(np.uint32)
         cuts = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]])) if len(blocks) else np.array([], int)
-        out = []
-        for a, b in zip(cuts, [*cuts[1:], len(blocks)]):
-            code, word_id = (batch.column(c).slice(a, b - a).to_numpy() for c in ("code", "id"))
-            order = np.argsort(code)
-            out.append((int(blocks[a]), _pack_sorted(code[order].astype(np.uint64)), _pack(word_id[order].astype(np.uint32))))
+        out = [(int(blocks[a]), _pack_sorted(codes[a:b]), _pack(ids[a:b])) for a, b in zip(cuts, [*cuts[1:], len(blocks)])]
         kinds = [pa.int64(), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["block", "keys", "ids"])
 
@@ -400,19 +402,24 @@ def phrases(df: DataFrame, text: str = "text", lang: str = "lang", least: int =
     # Streams and pairs are as large as the corpus; each round's are removed as soon as the next has been written.
     with ExitStack() as last:
         blocks = last.enter_context(briefly_kept(texts.mapInArrow(lambda b: _cut(b, limits), BLOCKS), "phrase-blocks"))
-        totals = kept(blocks.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
+        totals = kept(blocks.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("blocks")), "phrase-totals")
+        size = totals.agg(F.sum("n"), F.sum("blocks")).first()
         words = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "w"))
-        words = words.select("block", "lang", "code", F.col("w.words").alias("word"), F.col("w.counts").alias("c"))
-        # A word is one row per block, so a language's most frequent words are spread thin.
+        group = F.pmod(F.xxhash64("block"), F.lit(-(-(size[1] or 1) // limits.list_blocks)))
+        words = words.select("lang", F.col("w.words").alias("word"), group.alias("g"), "block", "code", F.col("w.counts").alias("c"))
+        # A word comes once per block, and becomes a row per group of blocks, so a language's most frequent words are spread thin.
+        words = words.repartition("lang", "word").groupBy("lang", "word", "g").agg(
+            F.sum("c").alias("c"), F.collect_list(F.struct("block", "code")).alias("places")
+        )
         words = words.withColumn("f", F.sum("c").over(Window.partitionBy("lang", "word"))).filter(F.col("f") >= least)
-        words = last.enter_context(briefly_kept(words.select("block", "lang", "code", "word", "f"), "phrase-words"))
+        words = last.enter_context(briefly_kept(words.select("lang", "word", "f", "places"), "phrase-words"))
         level = words.groupBy("lang", "word").agg(F.first("f").alias("f"))
         level = _ranked(level, [F.col("f").desc(), F.col("word")])
         level = kept(level.select("lang", "id", F.array("word").alias("words"), F.array("f").alias("starts"), F.array("f").alias("ends")), "phrase-level")
         levels.append(level)
-        found = words.join(level.select("lang", F.col("words")[0].alias("word"), "id"), ["lang", "word"]).select("block", "code", "id")
-        found = found.sortWithinPartitions("block").mapInArrow(_packed, "block bigint, keys binary, ids binary")
-        sparse = max(8, -(-int(totals.agg(F.sum("n")).first()[0] or 0) // limits.entries))
+        found = words.join(level.select("lang", F.col("words")[0].alias("word"), "id"), ["lang", "word"]).select("id", "places")
+        found = found.mapInArrow(_packed, "block bigint, keys binary, ids binary")
+        sparse = max(8, -(-(size[0] or 0) // limits.entries))
         streams = kept(_by_block(found, blocks.select("block", "lang", "stream"), _rename), "phrase-streams")
     for k in range(2, longest + 1):
         with ExitStack() as brief:
@@ -433,7 +440,7 @@ def phrases(df: DataFrame, text: str = "text", lang: str = "lang", least: int =
             levels.append(level)
             if k < longest:
                 streams = kept(_by_block(_answered(dealt, ranked), streams, _translate), "phrase-streams")
-    return reduce(DataFrame.unionByName, levels), totals
+    return reduce(DataFrame.unionByName, levels), totals.select("lang", "n")
 
 
 def _ranked(rows: DataFrame, order: list[Column]) -> DataFrame:

@@ -60,7 +60,7 @@ def found(df, **options):
 @pytest.mark.parametrize("small", [False, True])
 def test_against_counting(spark, small):
     # Tiny blocks, tiles and parts: sparse buckets, split buckets, sums over several rounds.
-    tiny = phrases.Limits(block_words=60, held_words=200, tile_bits=2, grid=2, entries=40, row_entries=7, fan_in=2)
+    tiny = phrases.Limits(block_words=60, held_words=200, tile_bits=2, grid=2, entries=40, row_entries=7, fan_in=2, list_blocks=3)
     limits = tiny if small else phrases.Limits()
     rows = corpus(3)
     df = spark.createDataFrame(rows, "text string, lang string").withColumn("block", F.lit(1)).withColumn("words", F.lit("x"))
