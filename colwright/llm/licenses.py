@@ -46,6 +46,7 @@ _CC_NOTICES = (
 )
 # Lines over which a notice may be broken, and the characters of such lines, for each of the longest template's.
 WRAPPED, MOST_CHARS = 6, 3
+LINE_WORDS = 3  # a list of single words is no broken sentence
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT license."),
@@ -193,7 +194,8 @@ def scan_licenses(
 
 
 def _wrapped(lines: Column, has_anchor: str, most: int) -> Column:
-    """Runs of 2 to WRAPPED adjacent lines with an anchor in one of them, of up to `most` characters: notices that are broken over lines.
+    """Runs of 2 to WRAPPED adjacent lines with an anchor in one of them, of up to `most` characters and LINE_WORDS words a line or more: notices that are
+    broken over lines.
 
     Marks of comments at the line's ends are no terms, so they need not be taken off. Only lines near an anchor are looked at.
     """
@@ -210,7 +212,8 @@ def _wrapped(lines: Column, has_anchor: str, most: int) -> Column:
     inside = F.filter(places, lambda p: p["i"] + p["n"] <= F.size(lines))
     joined = F.transform(inside, lambda p: F.slice(lines, p["i"] + 1, p["n"]))
     short = F.filter(joined, lambda x: F.aggregate(x, F.lit(0), lambda n, line: n + F.length(line)) <= most)
-    return F.transform(short, lambda x: F.array_join(x, " "))
+    full = F.filter(short, lambda x: F.regexp_count(F.array_join(x, " "), F.lit("[A-Za-z0-9]+")) >= LINE_WORDS * F.size(x))
+    return F.transform(full, lambda x: F.array_join(x, " "))
 
 
 def _present(text: str, shapes: list) -> Column:
