@@ -123,14 +123,14 @@ def _named_as(right: DataFrame, left_on: Sequence[str], right_on: Sequence[str])
     return right.select(*[col(c).alias(renamed.get(c, c)) for c in right.columns])
 
 
-def _summary(df: DataFrame, keys: Sequence[Column], part_rows: int) -> DataFrame:
-    """Hashes of all keys with more than `part_rows` rows and perhaps of others: one pass with a bounded sketch per task.
+def heavy_hashes(df: DataFrame, hashed: Column, part_rows: int) -> DataFrame:
+    """All values `h` of `hashed` with more than `part_rows` rows and perhaps others: one pass with a bounded sketch per task.
 
     A sketch of m counters is off by at most 3.5 rows in m. Rows take a byte at least, so the size bounds their number.
     """
     counters = min(SUMMARY_MOST, max(SUMMARY_LEAST, 8 * estimated_bytes(df) // part_rows))
     top = F.expr(f"approx_top_k(h, {counters}, {counters})")
-    return df.select(_hash(keys).alias("h")).agg(top.alias("top")).select(F.explode("top").alias("t")).select(F.col("t.item").alias("h"))
+    return df.select(hashed.alias("h")).agg(top.alias("top")).select(F.explode("top").alias("t")).select(F.col("t.item").alias("h"))
 
 
 def _hash(keys: Sequence[Column]) -> Column:
@@ -156,7 +156,7 @@ def _hot_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], part_rows:
     both tables, or counters in two summaries.
     """
     values = _comparable(left, right, keys)
-    found = kept(_summary(left, values, part_rows).unionByName(_summary(right, values, part_rows)).distinct(), "hot-hashes")
+    found = kept(reduce(DataFrame.unionByName, [heavy_hashes(df, _hash(values), part_rows) for df in (left, right)]).distinct(), "hot-hashes")
     counts = []
     for df, (here, other) in ((left, ("l", "r")), (right, ("r", "l"))):
         named = [F.when(_complete(keys), k).alias(f"k{i}") for i, k in enumerate(values)]
@@ -201,10 +201,10 @@ def _split_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
         return cold.join(others, on=list(keys), how=how).unionByName(hot)
 
     def routed(df: DataFrame, own: str, copies: str, cell: str, other: str) -> DataFrame:
-        # By position, not by content: copies of one row must not end up together either.
+        # By position, not by content: copies of one row must not end up together either. Hashed, as rows of a key may come at regular distances.
         rows = marked(df).withColumn(at, F.monotonically_increasing_id())
         alone = F.coalesce(~col(shared), F.lit(False))
-        mine = F.when(alone, F.pmod(col(at), F.lit(LOOSE))).otherwise(F.pmod(col(at), F.coalesce(col(own), F.lit(1))))
+        mine = F.when(alone, F.pmod(col(at), F.lit(LOOSE))).otherwise(F.pmod(F.xxhash64(col(at)), F.coalesce(col(own), F.lit(1))))
         repeats = F.when(alone, F.lit(1)).otherwise(F.coalesce(col(copies), F.lit(1)))
         rows = rows.withColumn(cell, mine.cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), repeats - 1)))
         return rows.select(*[col(c) for c in df.columns], col(a), col(b), col(shared))
@@ -231,7 +231,7 @@ def join_to_unique(left: DataFrame, right: DataFrame, key: str, hot: DataFrame,
     """Left join to a table with one row per key; left rows of the `hot` keys go to `splits` tasks each, and those of nulls to many."""
     at, salt = _unused("__at", left, right), _unused("__salt", left, right)
     marks = F.broadcast(hot)
-    dealt = F.when(col(key).isNull(), F.pmod(col(at), F.lit(LOOSE))).otherwise(F.pmod(col(at), F.coalesce(splits, F.lit(1)))).cast("int")
+    dealt = F.when(col(key).isNull(), F.pmod(col(at), F.lit(LOOSE))).otherwise(F.pmod(F.xxhash64(col(at)), F.coalesce(splits, F.lit(1)))).cast("int")
     here = left.withColumn(at, F.monotonically_increasing_id()).join(marks, key, "left").withColumn(salt, dealt).drop(at, splits)
     copies = F.sequence(F.lit(0), F.coalesce(splits, F.lit(1)) - 1)
     there = right.join(marks, key, "left").withColumn(salt, F.explode(copies)).drop(splits)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,23 +10,66 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colwright.columns import as_list, col, fresh_name, require
-from colwright.operators.joins import PART_ROWS, broadcast_limit, estimated_bytes
+from colwright.operators.joins import PART_ROWS, broadcast_limit, estimated_bytes, heavy_hashes
 from colwright.sources.shared import kept
 
 # Values per group that may be ranked by one task; larger n are ranked by ranges.
 WINDOWED = 10_000
+# Estimated size of a table that a single task may sort, were all its rows the same.
+SORTED_BYTES = 128 << 20
+# Copies of a row that are numbered at a time.
+SLICE = 1 << 16
 
 
-def spread_sort(df: DataFrame, *order: Column) -> DataFrame:
+def spread_sort(df: DataFrame, *order: Column, split_copies: bool | None = None, part_rows: int = PART_ROWS) -> DataFrame:
     """Global sort in which a hash of the row is the last key.
 
     The hash lets the range partitioning cut through a hot value; sorted on the value
-    alone, all its rows would share a task (many full copies of one row still do). It is deterministic, so filters
+    alone, all its rows would share a task. It is deterministic, so filters
     after the sort still reach the scan. Rows that tie come out in the order of their hashes.
+
+    Full copies of one row have one hash, too. Where the table is estimated at more than SORTED_BYTES, two jobs run when called that find
+    the rows with more than `part_rows` copies: those are counted, sorted as (row, number of the copy) and so
+    dealt over ranges like any other rows. `split_copies=True` looks for them whatever the estimate says, `False` leaves the sort lazy.
+    Tables with columns that Spark can't compare (maps, variants) are not searched for copies.
+    """
+    names = [f.name for f in df.schema.fields if _orderable(f.dataType)]
+    tie, copy = fresh_name(df, "__tie"), fresh_name(df, "__copy")
+    marked = df.withColumn(tie, F.xxhash64(*map(col, names)) if names else F.lit(0))
+    if split_copies is None:
+        split_copies = not df.isStreaming and estimated_bytes(df) > SORTED_BYTES
+    if split_copies and names and len(names) == len(df.columns):
+        hot = _copied_rows(marked, tie, part_rows)
+        if not hot.isEmpty():
+            cold = marked.join(F.broadcast(hot), tie, "left_anti").withColumn(copy, F.lit(0).cast("bigint"))
+            copies = _numbered_copies(marked.join(F.broadcast(hot), tie, "left_semi"), names, tie, copy)
+            return cold.unionByName(copies).orderBy(*order, col(tie), col(copy)).select(*map(col, df.columns))
+    return marked.orderBy(*order, col(tie)).drop(tie)
+
+
+def _copied_rows(marked: DataFrame, tie: str, part_rows: int) -> DataFrame:
+    """Hashes that more than `part_rows` rows have: candidates from a bounded sketch per task, then exact counts of those alone."""
+    listed = kept(heavy_hashes(marked, col(tie), part_rows), "copied-hashes")
+    counts = marked.select(col(tie).alias("h")).join(F.broadcast(listed), "h", "left_semi").groupBy("h").agg(F.count("*").alias("n"))
+    return kept(counts.where(F.col("n") > part_rows).select(F.col("h").alias(tie)), "copied-rows")
+
+
+def _numbered_copies(rows: DataFrame, names: Sequence[str], tie: str, copy: str) -> DataFrame:
+    """Each different row as often as it came, with the number of the copy; only (row, count) is shuffled, and slices of the numbers.
+
+    Grouping takes -0.0 and 0.0 for equal, so fractions are grouped by their text as well: rows come out as they went in.
     """
-    tie = fresh_name(df, "__tie")
-    hashed = [col(f.name) for f in df.schema.fields if _orderable(f.dataType)]
-    return df.withColumn(tie, F.xxhash64(*hashed) if hashed else F.lit(0)).orderBy(*order, col(tie)).drop(tie)
+    spark = rows.sparkSession
+    texts = [col(f.name).cast("string") for f in rows.schema.fields if re.search("float|double", f.dataType.simpleString())]
+    keys = [k.alias(f"k{i}") for i, k in enumerate([col(tie), *map(col, names), *texts])]
+    counts = rows.groupBy(*keys).agg(F.max(F.struct(*map(col, names))).alias("row"), F.count("*").alias("n"))
+    slices = counts.select(
+        F.col("k0").alias("h"), "row", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / SLICE))).alias("slice")
+    )
+    # The number of partitions is given, as slices look small to Spark before their copies are made.
+    dealt = slices.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "h", "slice")
+    numbers = F.sequence(F.col("slice") * SLICE, F.least((F.col("slice") + 1) * SLICE, F.col("n")) - 1)
+    return dealt.select(F.col("h").alias(tie), "row", F.explode(numbers).alias(copy)).select("row.*", tie, copy)
 
 
 def _orderable(kind: T.DataType) -> bool:
@@ -33,16 +77,16 @@ def _orderable(kind: T.DataType) -> bool:
     return "map<" not in kind.simpleString() and "variant" not in kind.simpleString()
 
 
-def sort_asc(df: DataFrame, column: str) -> DataFrame:
-    """Ascending, nulls first."""
+def sort_asc(df: DataFrame, column: str, *, split_copies: bool | None = None, part_rows: int = PART_ROWS) -> DataFrame:
+    """Ascending, nulls first. Full copies of a row are dealt over tasks as `spread_sort` says."""
     require(df, column)
-    return spread_sort(df, col(column).asc())
+    return spread_sort(df, col(column).asc(), split_copies=split_copies, part_rows=part_rows)
 
 
-def sort_desc(df: DataFrame, column: str) -> DataFrame:
+def sort_desc(df: DataFrame, column: str, *, split_copies: bool | None = None, part_rows: int = PART_ROWS) -> DataFrame:
     """Descending, nulls last."""
     require(df, column)
-    return spread_sort(df, col(column).desc())
+    return spread_sort(df, col(column).desc(), split_copies=split_copies, part_rows=part_rows)
 
 
 def pick_first_n(df: DataFrame, column: str, order_column: str, n: int) -> DataFrame:
@@ -108,7 +152,7 @@ def _with_ranks(df: DataFrame, group: str, value: str, ranks: DataFrame) -> Data
     named = named.withColumn(copies, F.ceil(F.col("n") / share).cast("int")).drop("n")
     ties = F.broadcast(named.where(col(copies) > 1).drop("rank"))
     rows = df.withColumn(at, F.monotonically_increasing_id()).join(ties, same, "left")
-    rows = rows.withColumn(salt, F.pmod(col(at), F.coalesce(col(copies), F.lit(1))).cast("int")).drop(group_, value_, copies, at)
+    rows = rows.withColumn(salt, F.pmod(F.xxhash64(col(at)), F.coalesce(col(copies), F.lit(1))).cast("int")).drop(group_, value_, copies, at)
     there = named.withColumn(salt_, F.explode(F.sequence(F.lit(0), col(copies) - 1))).drop(copies)
     return rows.join(there, same & (col(salt) == col(salt_))).drop(group_, value_, salt, salt_)
 

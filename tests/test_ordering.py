@@ -33,6 +33,44 @@ def test_a_hot_value_does_not_sort_into_one_task(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+@pytest.mark.parametrize("sort", [cw.sort_asc, cw.sort_desc])
+def test_copies_of_one_row_are_dealt_over_tasks(spark, sort):
+    n = 200_000
+    half = spark.range(0, n, numPartitions=8).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 1000).alias("v"), F.when(F.col("id") % 2 == 1, F.col("id")).alias("id"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made = sort(half, "v", split_copies=True, part_rows=1000)
+        sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == n and max(sizes) <= 2 * n / 8
+    found = [tuple(r) for r in made.collect()]
+    assert [r[0] for r in found] == sorted((r[0] for r in found), reverse=sort is cw.sort_desc)
+    assert Counter(found) == rows(half)
+
+
+def test_sorted_copies_come_out_as_they_went_in(spark):
+    values = [(None, "a", None, -0.0), ("a", None, [1.5], 0.0), (None, None, [-0.0], float("nan")), (None, None, [0.0], None)]
+    df = spark.createDataFrame(values * 300, "a string, b string, c array<double>, tie float").repartition(5)
+    made = cw.sort_asc(df, "a", split_copies=True, part_rows=100)
+    assert made.columns == df.columns
+    assert Counter(map(repr, made.collect())) == Counter(map(repr, df.collect()))
+    assert [r.a for r in made.collect()] == [None] * 900 + ["a"] * 300
+    few = cw.sort_asc(df, "a", split_copies=True, part_rows=1000)
+    assert Counter(map(repr, few.collect())) == Counter(map(repr, df.collect()))
+    assert cw.sort_asc(df.limit(0), "a", split_copies=True).collect() == []
+    mapped = df.limit(5).withColumn("m", F.create_map(F.lit(1), F.lit(2)))
+    assert cw.sort_asc(mapped, "a", split_copies=True, part_rows=1).count() == 5
+
+
+def test_filters_reach_the_scan_of_a_sort_with_copies(spark, tmp_path):
+    path = str(tmp_path / "copies")
+    spark.range(3000).select((F.col("id") % 2).alias("v"), F.lit("x").alias("t")).write.parquet(path)
+    made = cw.filter_equal(cw.sort_asc(cw.read_parquet(spark, path), "v", split_copies=True, part_rows=1000), "v", 1)
+    assert made.count() == 1500
+    assert "EqualTo(v,1)" in made._jdf.queryExecution().toString()
+
+
 def test_sort_by_date(spark):
     texts = ["03/02/2024", "bad", "29/12/2023", None, "01/03/2024"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, d string").coalesce(1)
