@@ -18,9 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colwright.columns import col, require
-from colwright.llm.text import free_name, whole
+from colwright.llm.text import free_name, let, running, whole
 
 SCOPE = 200
+# Code points of the blocks from which pieces of a text are cut.
+CUT = 1024
 PLACEHOLDER = "[SECRET]"
 # The three base patterns and the shortest lengths that count.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -57,19 +59,23 @@ def find(text: Column, kind: str) -> Column:
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     none = F.array().cast(f"array<{SPAN}>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        good = x["hit"].isNotNull()
-        if kind == "assign":
-            good = good & (F.length(F.regexp_extract(x["hit"], pattern, 2)) >= ASSIGNED_CHARS)
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
-        out = F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+    def fields(x: Column) -> Column:
+        hit = F.length(x["hit"])
+        good = F.length(F.regexp_extract(x["hit"], pattern, 2)) >= ASSIGNED_CHARS if kind == "assign" else F.lit(True)
+        return F.struct((F.length(x["piece"]) + hit).alias("step"), hit.alias("chars"), good.alias("good"))
 
-    parts = F.zip_with(pieces, hits, lambda p, h: F.struct(p.alias("piece"), h.alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(none)
+    def spans(parts: Column) -> Column:
+        ends = running(F.transform(parts, lambda x: x["step"]))
+        made = F.zip_with(
+            parts, ends,
+            lambda x, end: F.struct((end - x["chars"]).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), x["good"].alias("good")),
+        )
+        kept = F.filter(made, lambda s: s["good"])
+        return F.transform(kept, lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"])).cast(f"array<{SPAN}>")
+
+    # The piece behind the last hit has no hit and no span.
+    parts = F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.struct(p.alias("piece"), h.alias("hit")))
+    return F.when(text.rlike(pattern), let(F.transform(parts, fields), spans)).otherwise(none)
 
 
 def digest(spans: Column) -> Column:
@@ -148,18 +154,33 @@ def scan(df: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
 def redact(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
     """Replace each span of the text, overlapping ones together, by a placeholder; null texts stay null."""
     body = col(text)
+    ordered = F.array_sort(F.transform(col(spans), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+
+    def runs(spans: Column) -> Column:
+        """Runs of overlapping spans: one opens where a span starts at or behind the highest end so far."""
+
+        def of(reach: Column) -> Column:
+            opens = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: (i == 0) | (F.get(spans, i)["start"] >= F.get(reach, i - 1)))
+
+            def run(at: Column) -> Column:
+                last = lambda k: F.coalesce(F.get(at, k + 1), F.size(spans)) - 1
+                return F.transform(at, lambda i, k: F.struct(F.get(spans, i)["start"].alias("start"), F.get(reach, last(k)).alias("end")))
+
+            return let(opens, run)
+
+        return let(running(F.transform(spans, lambda s: s["end"]), F.greatest), of)
+
+    def cut(blocks: Column, low: Column, high: Column) -> Column:
+        """Code points from low to high: only the blocks that hold them are looked at."""
+        first = F.floor(low / CUT).cast("int")
+        near = F.array_join(F.slice(blocks, first + 1, F.floor(high / CUT).cast("int") - first + 1), "")
+        return near.substr(low - first * CUT + 1, high - low)
+
+    def cleaned(found: Column, blocks: Column) -> Column:
+        lows = F.concat(F.array(F.lit(0)), F.transform(found, lambda s: s["end"]))
+        highs = F.concat(F.transform(found, lambda s: s["start"]), F.array(F.length(body)))
+        return F.array_join(F.zip_with(lows, highs, lambda low, high: cut(blocks, low, high)), PLACEHOLDER)
 
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["at"]
-        piece = F.concat(body.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(PLACEHOLDER))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(apart, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"),
-        )
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate(
-        F.array_sort(spans), start, step,
-        lambda acc: F.concat(F.array_join(acc["out"], ""), body.substr(acc["at"] + 1, F.length(body) - acc["at"])),
-    )
+    blocks = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+    clean = let(let(ordered, runs), lambda found: let(blocks, lambda b: cleaned(found, b)))
     return df.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(body))

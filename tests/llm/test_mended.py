@@ -1,11 +1,14 @@
 """Cases that an earlier form of an operator lost or shifted."""
 
 import random
+import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from colwright.llm import contamination, language, licenses, mixing, secrets
+from colwright.llm import contamination, language, licenses, mixing, quality, secrets
+from colwright.llm.text import running
 
 
 def test_a_mix_does_not_depend_on_the_dealing(spark):
@@ -136,3 +139,43 @@ def test_six_hundred_languages(spark):
     asked = spark.createDataFrame([(n, " ".join(random.choices(own[n], k=12))) for n in names], "lang string, text string")
     found = language.predict(asked, model).collect()
     assert np.mean([r.lang == r.lang_pred for r in found]) > 0.95
+
+
+def test_spans_of_very_many_hits_are_linear(spark):
+    text = "".join(f"é{i} token: abcdefghijkl{i:06d}, AKIA0123456789ABCD{i % 10}😀 \n" for i in range(8000))
+    df = secrets.scan(spark.createDataFrame([(text,), ("token=short",), ("",), (None,)], "text string"))
+    began = time.perf_counter()
+    found = [(r.spans, r.text) for r in secrets.redact(df).collect()]
+    assert time.perf_counter() - began < 30
+    assert [len(s) for s, _ in found if s] == [16_000]
+    spans, clean = next(x for x in found if x[0])
+    assert all(text[s.start : s.end].startswith("token" if s.kind == "assign" else "AKIA") for s in spans)
+    assert clean == re.sub(r"token: \w+|AKIA[A-Z0-9]+", secrets.PLACEHOLDER, text)
+
+
+def test_overlapping_spans_are_one_placeholder(spark):
+    rows = [("0123456789" * 300, [(10, 20), (12, 15), (14, 22), (22, 25), (1500, 2900)]), ("abc", []), ("xyz", [(0, 3)])]
+    df = spark.createDataFrame(rows, "text string, spans array<struct<start:int,end:int>>")
+    t = "0123456789" * 300
+    p = secrets.PLACEHOLDER
+    assert {r.text for r in secrets.redact(df).collect()} == {t[:10] + p + p + t[25:1500] + p + t[2900:], "abc", p}
+
+
+def test_running(spark):
+    df = spark.createDataFrame([([],), ([5],), ([3, -1, 4, 1, -5, 9, 2],)], "a array<int>")
+    made = df.select(running(F.col("a")).alias("s"), running(F.col("a"), F.greatest).alias("m")).collect()
+    assert [list(r.s) for r in made] == [[], [5], [3, 2, 6, 7, 2, 11, 13]]
+    assert [list(r.m) for r in made] == [[], [5], [3, 3, 4, 4, 4, 9, 9]]
+
+
+def test_the_cheaper_of_two_rules_comes_first_each_time(spark):
+    texts = [(i, f"word{i} " * (20 + i % 50)) for i in range(400)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    third = lambda n: n % 3 == 0
+    cheap = quality.Rule("cheap", lambda t, w, n: third(n))
+    dear = quality.Rule("dear", lambda t, w, n: third(n) & (F.size(F.filter(w, lambda x: x.rlike("[a-z]+[0-9]+"))) >= 0))
+    never = quality.Rule("never", lambda t, w, n: n < 0)
+    for i in range(3):
+        assert [e.rule.name for e in quality.plan_cascade(df.repartition(i + 1), rules=(never, dear, cheap))] == ["cheap", "dear", "never"]
+    none = quality.plan_cascade(df.limit(0), rules=(dear, cheap))
+    assert [(e.rule.name, e.rejected) for e in none] == [("dear", 0.0), ("cheap", 0.0)]
