@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colwright.columns import require
-from colwright.llm.text import whole
+from colwright.llm.text import running, whole
 from colwright.sources.shared import kept
 
 BUDGET = 2048
@@ -128,16 +128,17 @@ def windows(df: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens=
 
     made = made.withColumn("head", F.concat(F.lit("<s>"), F.array_join(F.transform("repeated", frame), "")))
 
-    def step(acc: Column, turn: Column) -> Column:
-        start = acc["at"] + F.length(escape(turn["role"])) + 3
-        stop = start + F.length(escape(turn["text"]))
-        span = F.struct(start.alias("start"), stop.alias("end"))
-        is_target = F.lower(turn["role"]) == "assistant"
-        return F.struct(
-            (stop + 5).alias("at"), F.when(is_target, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out")
-        )
-
-    zero = F.struct(F.length("head").alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    # A frame is five characters longer than the text's end, which lies behind the role and three more.
+    sizes = F.transform("new", lambda t: F.length(escape(t["role"])) + F.length(escape(t["text"])) + 8)
+    laid_out = F.zip_with(
+        "new", running(sizes),
+        lambda t, end: F.struct(
+            (F.length("head") + end - 5 - F.length(escape(t["text"]))).alias("start"),
+            (F.length("head") + end - 5).alias("end"),
+            (F.lower(t["role"]) == "assistant").alias("target"),
+        ),
+    )
+    loss = F.transform(F.filter(laid_out, lambda s: s["target"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     total = F.aggregate(F.concat("repeated", "new"), F.lit(0).cast("bigint"), lambda n, t: n + t["tokens"])
     return made.select(
         "conv_id",
@@ -147,5 +148,5 @@ def windows(df: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens=
         total.alias("n_tokens"),
         (total > budget).alias("over_budget"),
         F.concat("head", F.array_join(F.transform("new", frame), "")).alias("formatted"),
-        F.aggregate("new", zero, step, lambda acc: acc["out"]).alias("loss"),
+        loss.alias("loss"),
     )
